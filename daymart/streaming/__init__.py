@@ -1,0 +1 @@
+"""Continuous arrival of comments."""

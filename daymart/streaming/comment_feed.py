@@ -1,0 +1,32 @@
+"""Comments arriving as files, appended to the same log as batch comments."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from daymart import schemas
+from daymart.operators.annotations import accepted_requests
+from daymart.sources.comments import stamped
+
+
+def comment_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Submitted comments as a stream of JSON files."""
+    return spark.readStream.schema(schemas.COMMENT_REQUEST).json(folder)
+
+
+def append_feed(requests: DataFrame, alias: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Keep appending accepted comments to the log.
+
+    The file sink's own commit log makes each micro-batch appear exactly once, also after a restart.
+    Validation and alias lookup are stateless, so no watermark is needed.
+    """
+    rows = stamped(accepted_requests(requests, alias))
+    writer = (
+        rows.writeStream.format("parquet")
+        .outputMode("append")
+        .partitionBy("metric")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+    )
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
