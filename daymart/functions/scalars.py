@@ -67,11 +67,10 @@ def guarded_growth(now: Column, before: Column) -> Column:
 
 def clamp_day(day: Column, first: str = FIRST_DAY, last: str = LAST_DAY) -> Column:
     """A date moved into the bounds; an absent or empty one becomes the lower bound."""
-    given = filled(day.cast("string")).try_cast("date")
-    return F.coalesce(
-        F.greatest(F.lit(first).cast("date"), F.least(given, F.lit(last).cast("date"))),
-        F.lit(first).cast("date"),
-    )
+    lowest, highest = F.lit(first).cast("date"), F.lit(last).cast("date")
+    # greatest and least skip nulls, so an absent date has to be settled first.
+    given = F.coalesce(filled(day.cast("string")).try_cast("date"), lowest)
+    return F.greatest(lowest, F.least(given, highest))
 
 
 def ordered_range(start: Column, end: Column) -> Column:

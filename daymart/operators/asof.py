@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from daymart.functions.scalars import match_key
 from daymart.operators.canonical import canonicalize, clean_alias
+from daymart.session import stage
 
 
 def validity_intervals(yearly: DataFrame, value: str = "gdp_ppp_per_capita") -> DataFrame:
@@ -34,7 +35,8 @@ def asof_join(
 
     ``days`` must hold one row per (entity, day); see :func:`one_row_per_day`.
     """
-    intervals = validity_intervals(yearly, value)
+    # Staged for its true size: a small yearly table is then broadcast and the days are not shuffled.
+    intervals = stage(validity_intervals(yearly, value))
     year = F.year(day)
     in_force = (
         (match_key(F.col(entity)) == F.col("entity_key"))
@@ -61,16 +63,17 @@ def enrich_mart(mart: DataFrame, yearly: DataFrame, alias: DataFrame, unique_day
     others stay in the task that read them. This relies on the mart's key, one row per raw name and
     day; for a table without it pass ``unique_days=False`` and every row is compared.
     """
-    named = canonicalize(mart.withColumn("_raw", F.col("country")), alias)
+    lookup = clean_alias(alias)
+    named = canonicalize(mart.withColumn("_raw", F.col("country")), lookup)
     if unique_days:
-        targets = clean_alias(alias).select(F.col("canonical").alias("_target")).distinct()
+        targets = lookup.select(F.col("canonical").alias("_target")).distinct()
         marked = named.join(targets, F.col("country") == F.col("_target"), "left")
         alone = marked.where(F.col("_target").isNull())
         meeting = one_row_per_day(marked.where(F.col("_target").isNotNull()), "country", "d", "_raw")
         days = alone.unionByName(meeting).drop("_target")
     else:
         days = one_row_per_day(named, "country", "d", "_raw")
-    return asof_join(days.drop("_raw"), canonicalize(yearly, alias))
+    return asof_join(days.drop("_raw"), canonicalize(yearly, lookup))
 
 
 def gdp_with_cases(

@@ -14,7 +14,12 @@ from daymart.functions.scalars import filled, match_key
 
 
 def clean_alias(alias: DataFrame) -> DataFrame:
-    """One row per upper-cased alias; of several canonical names the smallest wins."""
+    """One row per upper-cased alias; of several canonical names the smallest wins.
+
+    A table already in that form is returned as it is, so it can be prepared once and used often.
+    """
+    if alias.columns == ["alias_key", "canonical"]:
+        return alias
     return (
         alias.where(F.col("alias").isNotNull() & F.col("canonical").isNotNull())
         .groupBy(match_key(F.col("alias")).alias("alias_key"))

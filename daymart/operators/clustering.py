@@ -19,7 +19,8 @@ from daymart.operators.features import FEATURES
 
 # Points per block of the exact silhouette: a task compares two blocks, 4 million distances.
 BLOCK = 2_000
-FITS_AT_ONCE = 4
+FITS_AT_ONCE = 5
+TOLERANCE = 1e-4
 
 
 def cluster_count(n: int) -> int:
@@ -44,9 +45,12 @@ def kmeans_labels(
     come to the driver. Numbering by sorted centroids makes labels independent of the winning seed.
     """
     vectors = with_vector(points, columns).persist()
+    variance = points.agg(sum(F.var_pop(c) for c in columns) / len(columns)).first()[0] or 0.0
+    # A fit ends when all centroids together move less than TOLERANCE of the mean variance, squared.
+    step = (TOLERANCE * variance / k) ** 0.5
 
     def fit(offset: int):
-        return KMeans(k=k, seed=seed + offset, maxIter=300, tol=1e-4, featuresCol="features").fit(vectors)
+        return KMeans(k=k, seed=seed + offset, maxIter=300, tol=step, featuresCol="features").fit(vectors)
 
     # Independent fits are small jobs waiting on the scheduler; a few at a time keep executors busy.
     with ThreadPool(min(FITS_AT_ONCE, restarts)) as pool:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,16 +29,17 @@ def _numbers(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("double").alias(c) for c in names]).unpivot([], names, "column_name", "value")
 
 
+def _texts(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    as_text = df.select(*[F.col(c).cast("string").alias(c) for c in names])
+    return as_text.unpivot([], list(names), "column_name", "value")
+
+
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column_name, value, n): how often each value of each column occurs, null included.
 
     Counting is map-side first, so a value held by a third of the rows is one row per task.
     """
-    names = list(columns or df.columns)
-    as_text = df.select(*[F.col(c).cast("string").alias(c) for c in names])
-    return as_text.unpivot([], names, "column_name", "value").groupBy("column_name", "value").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    return _texts(df, columns or df.columns).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_values(counts: DataFrame, k: int = 10) -> DataFrame:
@@ -55,75 +55,59 @@ def top_values(counts: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
-def column_profile(df: DataFrame, exact_distinct: bool = True, quartiles: bool = True) -> DataFrame:
+NUMBER_STATS = {
+    "n_zero": lambda v: F.count(F.when(v == 0, 1)),
+    "n_negative": lambda v: F.count(F.when(v < 0, 1)),
+    "mean": F.avg,
+    "std": F.stddev_samp,
+}
+
+
+def column_profile(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
     """One row per column: rows, nulls, distinct values, zeros, negatives, mean, deviation, range, quartiles.
 
-    Sums and counts of all columns are one pass. Exact distinct counts shuffle each column's distinct
-    values once; ``exact_distinct=False`` replaces that by a sketch in the same pass.
+    Columns are rows of one grouped aggregation instead of hundreds of aggregates side by side: generated
+    code stays small enough to be compiled, and everything combines map-side. Exact distinct counts
+    shuffle each column's distinct values once; ``exact_distinct=False`` uses a sketch instead.
     """
-    numeric = set(numeric_columns(df))
-    rows = []
-    aggregates = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(df.columns):
-        aggregates.append(F.count(F.col(c)).alias(f"_known{i}"))
-        if not exact_distinct:
-            aggregates.append(F.approx_count_distinct(F.col(c)).alias(f"_distinct{i}"))
-        if c in numeric:
-            v = F.col(c).cast("double")
-            aggregates += [
-                F.count(F.when(v == 0, 1)).alias(f"_zero{i}"),
-                F.count(F.when(v < 0, 1)).alias(f"_negative{i}"),
-                F.avg(v).alias(f"_mean{i}"),
-                F.stddev_samp(v).alias(f"_dev{i}"),
-                F.min(v).alias(f"_min{i}"),
-                F.max(v).alias(f"_max{i}"),
-            ]
-
-        def stat(name: str, kind: str, numeric_only: bool = True, i: int = i, c: str = c):
-            return F.col(f"{name}{i}") if c in numeric or not numeric_only else F.lit(None).cast(kind)
-
-        rows.append(
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.lit("number" if c in numeric else "other").alias("kind"),
-                F.col("_rows").alias("n_rows"),
-                (F.col("_rows") - F.col(f"_known{i}")).alias("n_null"),
-                *([] if exact_distinct else [F.col(f"_distinct{i}").alias("n_distinct")]),
-                stat("_zero", "long").alias("n_zero"),
-                stat("_negative", "long").alias("n_negative"),
-                stat("_mean", "double").alias("mean"),
-                stat("_dev", "double").alias("std"),
-                stat("_min", "double").alias("min_value"),
-                stat("_max", "double").alias("max_value"),
-            )
-        )
-    profile = df.agg(*aggregates).select(F.inline(F.array(*rows)))
     if exact_distinct:
-        distinct = value_counts(df).groupBy("column_name").agg(F.count("value").alias("n_distinct"))
-        profile = profile.join(distinct, "column_name", "left")
-    if quartiles and numeric:
-        middle = exact_quantiles(_numbers(df), "value", QUARTILES, ["column_name"]).select(
-            "column_name", F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75")
+        counted = value_counts(df).groupBy("column_name").agg(
+            F.sum("n").alias("n_rows"),
+            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_null"),
+            F.count("value").alias("n_distinct"),
+        )
+    else:
+        counted = _texts(df, df.columns).groupBy("column_name").agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count(F.when(F.col("value").isNull(), 1)).alias("n_null"),
+            F.approx_count_distinct("value").alias("n_distinct"),
         )
-        profile = profile.join(middle, "column_name", "left")
-    return profile
+    numeric = numeric_columns(df)
+    kind = F.when(F.col("column_name").isin(numeric), "number").otherwise("other").alias("kind")
+    counted = counted.select("column_name", kind, "n_rows", "n_null", "n_distinct")
+    if not numeric:
+        return counted
+    numbers = exact_quantiles(_numbers(df), "value", QUARTILES, ["column_name"], NUMBER_STATS)
+    described = numbers.drop("n").withColumnsRenamed({"q0": "p25", "q1": "p50", "q2": "p75"})
+    # One row per column on either side.
+    return counted.join(F.broadcast(described), "column_name", "left")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(left_column, right_column, correlation) for each pair of numeric columns, in one pass."""
-    pairs = list(combinations(columns or numeric_columns(df), 2))
-    measured = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    return measured.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), F.col(f"c{i}").alias("correlation")
-                    )
-                    for i, (a, b) in enumerate(pairs)
-                ]
-            )
-        )
+    """(left_column, right_column, correlation) for each pair of numeric columns, over rows knowing both.
+
+    One pass with one row per left column, so that a group needs only one aggregate per right column.
+    """
+    names = list(columns or numeric_columns(df))
+    doubles = [F.col(c).cast("double").alias(c) for c in names]
+    copies = [F.col(c).cast("double").alias(f"left_{c}") for c in names[:-1]]
+    long = df.select(*doubles, *copies).unpivot(names, [f"left_{c}" for c in names[:-1]], "left_column", "_x")
+    measured = long.groupBy(F.substring("left_column", 6, 1_000).alias("left_column")).agg(
+        *[F.corr("_x", c).alias(c) for c in names[1:]]
+    )
+    order = F.array(*[F.lit(c) for c in names])
+    return measured.unpivot(["left_column"], names[1:], "right_column", "correlation").where(
+        F.array_position(order, F.col("left_column")) < F.array_position(order, F.col("right_column"))
     )
 
 

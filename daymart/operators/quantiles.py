@@ -9,9 +9,11 @@ outside its band would raise an error.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import add, or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 # The sketch misplaces a rank by at most n / SKETCH_ACCURACY rows. Bands are five times as wide on
@@ -23,29 +25,42 @@ WHOLE_RANGE = 10_000
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probabilities: Sequence[float], groups: Sequence[str] = ()
+    df: DataFrame,
+    value: str,
+    probabilities: Sequence[float],
+    groups: Sequence[str] = (),
+    also: Mapping[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles per group as q0, q1, ... with n, min_value and max_value.
 
-    Nulls are left out. Meant for few groups (none, or the columns of a table) of any size.
+    ``also`` names further aggregates of the value, computed in the sketch's pass.
+
+    Nulls are left out. Meant for few groups (none, or the columns of a table) of any size. The input
+    is read twice; stage it first if it is costly to compute.
     """
     by = list(groups)
     known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    bands = _bands(known, probabilities, by)
+    also = dict(also or {})
+    bands = _bands(known, probabilities, by, also)
+
+    # Bands are one row per group, and groups are few: they are broadcast. Without groups they are a
+    # handful of numbers, fetched and written into the plan as constants.
+    settled = bands.select(*by, F.struct(*[c for c in bands.columns if c not in by]).alias("_s"))
+    constant = None if by else _constant(settled.first()["_s"], list(also))
 
     def with_bands(rows: DataFrame) -> DataFrame:
-        """Bands are one row per group, and groups are few: a broadcast, or a scalar without groups."""
-        if by:
-            return rows.join(F.broadcast(bands.select(*by, F.struct("*").alias("_s"))), by)
-        return rows.withColumn("_s", bands.select(F.struct("*")).scalar())
+        return rows.join(F.broadcast(settled), by) if by else rows.withColumn("_s", constant)
 
-    inside = F.exists("_s.bands", lambda band: F.col("_v").between(band["lo"], band["hi"]))
-    below = F.size(F.filter("_s.bands", lambda band: F.col("_v") > band["hi"]))
+    # Spelled out per band rather than as array lambdas, which would run outside generated code.
+    edges = [(F.col("_s.bands")[i]["lo"], F.col("_s.bands")[i]["hi"]) for i in range(len(probabilities))]
+    inside = reduce(or_, [F.col("_v").between(lo, hi) for lo, hi in edges])
+    below = reduce(add, [(F.col("_v") > hi).cast("int") for _, hi in edges])
     listed = (
         with_bands(known)
         .groupBy(*by, below.alias("_below"), F.when(inside, F.col("_v")).alias("_key"))
         .agg(F.count(F.lit(1)).alias("_rows"), F.min("_v").alias("_low"))
     )
+    # Listed rows are few by construction, also without groups.
     running = with_bands(
         listed.withColumn("_upto", F.sum("_rows").over(Window.partitionBy(*by).orderBy("_low")))
     )
@@ -61,6 +76,7 @@ def exact_quantiles(
         F.col("_s.n").alias("n"),
         F.col("_s.min_value").alias("min_value"),
         F.col("_s.max_value").alias("max_value"),
+        *[F.col(f"_s.{name}").alias(name) for name in also],
         *[
             (_checked(f"_a{i}") + (_checked(f"_b{i}") - _checked(f"_a{i}")) * (rank - F.floor(rank))).alias(f"q{i}")
             for i, rank in enumerate(ranks)
@@ -68,13 +84,19 @@ def exact_quantiles(
     )
 
 
-def _bands(known: DataFrame, probabilities: Sequence[float], by: list[str]) -> DataFrame:
+def _bands(
+    known: DataFrame,
+    probabilities: Sequence[float],
+    by: list[str],
+    also: Mapping[str, Callable[[Column], Column]],
+) -> DataFrame:
     edges = [edge for p in probabilities for edge in (max(p - BAND, 0.0), min(p + BAND, 1.0))]
     sketch = known.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.min("_v").alias("min_value"),
         F.max("_v").alias("max_value"),
         F.percentile_approx("_v", edges, SKETCH_ACCURACY).alias("_edges"),
+        *[aggregate(F.col("_v")).alias(name) for name, aggregate in also.items()],
     )
     small = F.col("n") < WHOLE_RANGE
     pairs = [
@@ -84,7 +106,23 @@ def _bands(known: DataFrame, probabilities: Sequence[float], by: list[str]) -> D
         )
         for i in range(len(probabilities))
     ]
-    return sketch.select(*by, "n", "min_value", "max_value", F.array(*pairs).alias("bands"))
+    return sketch.select(*by, "n", "min_value", "max_value", *also, F.array(*pairs).alias("bands"))
+
+
+def _constant(found: Row, names: list[str]) -> Column:
+    """The fetched bands as a literal of the same shape."""
+    return F.struct(
+        *[F.lit(found[name]).alias(name) for name in names],
+        F.lit(found["n"]).alias("n"),
+        F.lit(found["min_value"]).cast("double").alias("min_value"),
+        F.lit(found["max_value"]).cast("double").alias("max_value"),
+        F.array(
+            *[
+                F.struct(F.lit(b["lo"]).cast("double").alias("lo"), F.lit(b["hi"]).cast("double").alias("hi"))
+                for b in found["bands"]
+            ]
+        ).alias("bands"),
+    )
 
 
 def _at_rank(rank: Column) -> Column:

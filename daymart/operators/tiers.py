@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from daymart.functions.fixed_values import TIERS
 from daymart.operators.quantiles import exact_quantiles
+from daymart.session import stage
 
 
 def entity_maximum(mart: DataFrame, value: str = "gdp_ppp_per_capita", entity: str = "country") -> DataFrame:
@@ -18,27 +19,24 @@ def tiers(mart: DataFrame, value: str = "gdp_ppp_per_capita", entity: str = "cou
     """(entity, max, tier, tier_ord): terciles of the entities' maxima.
 
     Where tercile edges coincide the range is cut into three equal widths instead; where all
-    maxima are equal everyone is in the middle tier. The edges are one row, read as a scalar.
+    maxima are equal everyone is in the middle tier. Maxima are staged, so the mart is read once;
+    of them only the four edges come to the driver.
     """
     top = f"max_{value}"
-    maxima = entity_maximum(mart, value, entity)
-    edge = exact_quantiles(maxima, top, [1 / 3, 2 / 3]).select(F.struct("*")).scalar()
-    low, high, q1, q2 = (edge[c] for c in ("min_value", "max_value", "q0", "q1"))
-    distinct_edges = (low < q1) & (q1 < q2) & (q2 < high)
-    cut1 = F.when(distinct_edges, q1).otherwise(low + (high - low) / 3)
-    cut2 = F.when(distinct_edges, q2).otherwise(low + (high - low) * 2 / 3)
-    position = (
-        F.when(F.col(top).isNull(), None)
-        .when(F.col("_low") == F.col("_high"), 1)
-        .when(F.col(top) <= F.col("_cut1"), 0)
-        .when(F.col(top) <= F.col("_cut2"), 1)
-        .otherwise(2)
-    )
+    maxima = stage(entity_maximum(mart, value, entity))
+    edge = exact_quantiles(maxima, top, [1 / 3, 2 / 3]).first()
+    if edge is None:
+        unknown = {"gdp_tier": F.lit(None).cast("string"), "tier_ord": F.lit(None).cast("int")}
+        return maxima.withColumns(unknown)
+    low, high, cut1, cut2 = edge["min_value"], edge["max_value"], edge["q0"], edge["q1"]
+    if not low < cut1 < cut2 < high:
+        cut1, cut2 = low + (high - low) / 3, low + (high - low) * 2 / 3
+    position = F.when(F.col(top) <= cut1, 0).when(F.col(top) <= cut2, 1).when(F.col(top).isNotNull(), 2)
+    if low == high:
+        position = F.when(F.col(top).isNotNull(), 1)
     names = F.array(*[F.lit(name) for name in TIERS])
-    return (
-        maxima.withColumns({"_low": low, "_high": high, "_cut1": cut1, "_cut2": cut2})
-        .withColumn("tier_ord", position.cast("int"))
-        .select(entity, top, F.get(names, F.col("tier_ord")).alias("gdp_tier"), "tier_ord")
+    return maxima.withColumn("tier_ord", position.cast("int")).select(
+        entity, top, F.get(names, F.col("tier_ord")).alias("gdp_tier"), "tier_ord"
     )
 
 

@@ -17,9 +17,10 @@ from daymart.functions.fixed_values import (
 from daymart.functions.scalars import match_key, zero_if_null
 from daymart.operators.annotations import annotate_series
 from daymart.operators.asof import asof_join, gdp_with_cases
-from daymart.operators.canonical import canonicalize, distinct_entities
+from daymart.operators.canonical import canonicalize, clean_alias, distinct_entities
 from daymart.operators.series import valid_points, yearly_last
 from daymart.operators.snapshots import bubble_points, pivot_metrics
+from daymart.session import stage
 
 
 def allowed_metrics() -> list[str]:
@@ -118,9 +119,10 @@ def chart_frame(
     """
     name = metric.upper()
     if name in GDP_METRICS:
-        known = distinct_entities(yearly, alias).withColumnRenamed("country", "_canonical")
+        lookup = clean_alias(alias)
+        known = stage(distinct_entities(yearly, lookup).withColumnRenamed("country", "_canonical"))
         mart = (
-            canonicalize(mart, alias, out="_canonical", trimmed=True)
+            canonicalize(mart, lookup, out="_canonical", trimmed=True)
             .join(known, "_canonical", "left_semi")
             .drop("_canonical")
         )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,19 +31,29 @@ def build_session(app: str = "daymart", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
+
+    Only a local session may fall back to a folder of its own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="daymart-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, so a lost executor re-reads instead of recomputing.
+    """Write the rows to the shared folder and read them back.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only a local session may fall back
-    to a folder of its own.
+    This cuts lineage, so a lost executor re-reads instead of recomputing, and several readers cost
+    one computation. The stored files also tell Spark the true size: a join with a staged table is
+    broadcast when it is below the broadcast threshold and shuffled when it is not, while the
+    estimate for a table that came out of joins is far too high to choose by.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="daymart-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

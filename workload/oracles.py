@@ -293,7 +293,7 @@ ORACLES: dict[str, str] = {
     WHERE tier_ord IS NOT NULL AND new_cases_per_100k IS NOT NULL),
   slots(tier_ord, gdp_tier) AS (VALUES (0, 'Low GDP'), (1, 'Mid GDP'), (2, 'High GDP'))
   SELECT d, CAST(s.tier_ord AS INTEGER) AS tier_ord, s.gdp_tier,
-         (SELECT round(avg(v), 6) FROM points p WHERE p.d = x.d AND p.tier_ord = s.tier_ord) AS new_cases_per_100k
+         (SELECT round(avg(v), 10) FROM points p WHERE p.d = x.d AND p.tier_ord = s.tier_ord) AS new_cases_per_100k
   FROM (SELECT DISTINCT d FROM points) x, slots s""",
     "latest_snapshot": f"""WITH {ENRICHED}
   SELECT e.country, e.d, e.gdp_ppp_per_capita, e.new_deaths FROM enriched e
@@ -352,8 +352,8 @@ ORACLES: dict[str, str] = {
          coalesce(len, 0) AS len, coalesce(nnz, 0) AS nnz, first, last
   FROM customer LEFT JOIN stats ON country = CAST(c_custkey AS VARCHAR) ORDER BY ok DESC, 1""",
     "features": f"""WITH {USER_DAY}, {_daily('user_day', 'daily_vaccinations')}, {FEATURES}
-  SELECT country, round(growth, 4) AS growth, round(volatility, 4) AS volatility, round(peak_level, 4) AS peak_level, time_to_peak,
-         round(recent_mean, 4) AS recent_mean, round(recent_trend, 4) AS recent_trend FROM features""",
+  SELECT country, round(growth, 8) AS growth, round(volatility, 8) AS volatility, round(peak_level, 8) AS peak_level, time_to_peak,
+         round(recent_mean, 8) AS recent_mean, round(recent_trend, 8) AS recent_trend FROM features""",
     "standardized_features": f"WITH {USER_DAY}, {_daily('user_day', 'daily_vaccinations')}, {FEATURES}, {STANDARD} SELECT country, "
     + ", ".join(f"round({c}, 4) AS {c}" for c in _FEATURE_NAMES)
     + " FROM standard",

@@ -167,8 +167,8 @@ def tier_roster(spark, folder):
 
 
 def tier_series(spark, folder):
-    mart = enriched(spark, folder)
-    return rounded(tiers.tier_series(mart, tiers.tiers(mart), CASES), CASES)
+    mart = stage(enriched(spark, folder).select("country", "d", GDP, CASES))
+    return rounded(tiers.tier_series(mart, tiers.tiers(mart), CASES), CASES, places=10)
 
 
 def latest_snapshot(spark, folder):
@@ -269,7 +269,7 @@ def diagnostics(spark, folder):
 def feature_table(spark, folder):
     return rounded(
         features.series_features(v.user_day(spark, folder), PRICE),
-        "growth", "volatility", "peak_level", "recent_mean", "recent_trend", places=4,
+        "growth", "volatility", "peak_level", "recent_mean", "recent_trend", places=8,
     )
 
 
