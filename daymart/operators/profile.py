@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,12 +25,16 @@ def infinities_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: finite_or_null(F.col(c)) for c in floats})
 
 
-def _numbers(df: DataFrame) -> DataFrame:
+def _numbers(df: DataFrame) -> DataFrame | None:
     names = numeric_columns(df)
+    if not names:
+        return None
     return df.select(*[F.col(c).cast("double").alias(c) for c in names]).unpivot([], names, "column_name", "value")
 
 
-def _texts(df: DataFrame, names: Sequence[str]) -> DataFrame:
+def _texts(df: DataFrame, names: Sequence[str]) -> DataFrame | None:
+    if not names:
+        return None
     as_text = df.select(*[F.col(c).cast("string").alias(c) for c in names])
     return as_text.unpivot([], list(names), "column_name", "value")
 
@@ -70,11 +75,21 @@ def column_profile(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
     code stays small enough to be compiled, and everything combines map-side. Exact distinct counts
     shuffle each column's distinct values once; ``exact_distinct=False`` uses a sketch instead.
     """
+    numeric = numeric_columns(df)
     if exact_distinct:
-        counted = value_counts(df).groupBy("column_name").agg(
+        # Numbers are counted as numbers; writing them out as text would cost more than counting them.
+        others = _texts(df, [c for c in df.columns if c not in numeric])
+        parts = [part for part in (_numbers(df), others) if part is not None]
+        counts = [
+            part.groupBy("column_name", "value")
+            .agg(F.count(F.lit(1)).alias("n"))
+            .select("column_name", "n", F.col("value").isNull().alias("absent"))
+            for part in parts
+        ]
+        counted = reduce(DataFrame.unionByName, counts).groupBy("column_name").agg(
             F.sum("n").alias("n_rows"),
-            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_null"),
-            F.count("value").alias("n_distinct"),
+            F.coalesce(F.sum(F.when(F.col("absent"), F.col("n"))), F.lit(0)).alias("n_null"),
+            F.count(F.when(~F.col("absent"), 1)).alias("n_distinct"),
         )
     else:
         counted = _texts(df, df.columns).groupBy("column_name").agg(
@@ -82,7 +97,6 @@ def column_profile(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
             F.count(F.when(F.col("value").isNull(), 1)).alias("n_null"),
             F.approx_count_distinct("value").alias("n_distinct"),
         )
-    numeric = numeric_columns(df)
     kind = F.when(F.col("column_name").isin(numeric), "number").otherwise("other").alias("kind")
     counted = counted.select("column_name", kind, "n_rows", "n_null", "n_distinct")
     if not numeric:

@@ -13,9 +13,11 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import add, or_
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from daymart.session import stage
+
 # The sketch misplaces a rank by at most n / SKETCH_ACCURACY rows. Bands are five times as wide on
 # either side, so about n / 2000 rows per quantile are listed. Under WHOLE_RANGE rows that margin is
 # less than the rounding of one rank, and the band is the whole range instead.
@@ -40,43 +42,44 @@ def exact_quantiles(
     """
     by = list(groups)
     known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    also = dict(also or {})
+    by, also = list(groups), dict(also or {})
+    known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
     bands = _bands(known, probabilities, by, also)
+    edges = [(f"_lo{i}", f"_hi{i}") for i in range(len(probabilities))]
+    edge_names = [name for pair in edges for name in pair]
 
-    # Bands are one row per group, and groups are few: they are broadcast. Without groups they are a
-    # handful of numbers, fetched and written into the plan as constants.
-    settled = bands.select(*by, F.struct(*[c for c in bands.columns if c not in by]).alias("_s"))
-    constant = None if by else _constant(settled.first()["_s"], list(also))
+    # Bands are one row per group, and groups are few: they are staged, so that the sketch is made once,
+    # and broadcast. Without groups they are a handful of numbers, fetched and used as constants.
+    bands, found = (stage(bands), None) if by else (bands, bands.first())
 
-    def with_bands(rows: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(settled), by) if by else rows.withColumn("_s", constant)
+    def with_bands(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+        if by:
+            return rows.join(F.broadcast(bands.select(*by, *names)), by)
+        kinds = dict(bands.dtypes)
+        return rows.withColumns({name: F.lit(found[name]).cast(kinds[name]) for name in names})
 
-    # Spelled out per band rather than as array lambdas, which would run outside generated code.
-    edges = [(F.col("_s.bands")[i]["lo"], F.col("_s.bands")[i]["hi"]) for i in range(len(probabilities))]
-    inside = reduce(or_, [F.col("_v").between(lo, hi) for lo, hi in edges])
-    below = reduce(add, [(F.col("_v") > hi).cast("int") for _, hi in edges])
+    inside = reduce(or_, [F.col("_v").between(F.col(lo), F.col(hi)) for lo, hi in edges])
+    below = reduce(add, [(F.col("_v") > F.col(hi)).cast("int") for _, hi in edges])
     listed = (
-        with_bands(known)
+        with_bands(known, edge_names)
         .groupBy(*by, below.alias("_below"), F.when(inside, F.col("_v")).alias("_key"))
         .agg(F.count(F.lit(1)).alias("_rows"), F.min("_v").alias("_low"))
     )
     # Listed rows are few by construction, also without groups.
     running = with_bands(
-        listed.withColumn("_upto", F.sum("_rows").over(Window.partitionBy(*by).orderBy("_low")))
+        listed.withColumn("_upto", F.sum("_rows").over(Window.partitionBy(*by).orderBy("_low"))),
+        ["n", "min_value", "max_value", *also],
     )
 
-    ranks = [F.lit(float(p)) * (F.col("_s.n") - 1) for p in probabilities]
-    picked = running.groupBy(*by).agg(
-        F.any_value("_s").alias("_s"),
+    ranks = [F.lit(float(p)) * (F.col("n") - 1) for p in probabilities]
+    whole = ["n", "min_value", "max_value", *also]
+    picked = running.groupBy(*by, *whole).agg(
         *[_at_rank(F.floor(rank)).alias(f"_a{i}") for i, rank in enumerate(ranks)],
-        *[_at_rank(F.least(F.floor(rank) + 1, F.col("_s.n") - 1)).alias(f"_b{i}") for i, rank in enumerate(ranks)],
+        *[_at_rank(F.least(F.floor(rank) + 1, F.col("n") - 1)).alias(f"_b{i}") for i, rank in enumerate(ranks)],
     )
     return picked.select(
         *by,
-        F.col("_s.n").alias("n"),
-        F.col("_s.min_value").alias("min_value"),
-        F.col("_s.max_value").alias("max_value"),
-        *[F.col(f"_s.{name}").alias(name) for name in also],
+        *whole,
         *[
             (_checked(f"_a{i}") + (_checked(f"_b{i}") - _checked(f"_a{i}")) * (rank - F.floor(rank))).alias(f"q{i}")
             for i, rank in enumerate(ranks)
@@ -90,39 +93,20 @@ def _bands(
     by: list[str],
     also: Mapping[str, Callable[[Column], Column]],
 ) -> DataFrame:
-    edges = [edge for p in probabilities for edge in (max(p - BAND, 0.0), min(p + BAND, 1.0))]
+    margins = [edge for p in probabilities for edge in (max(p - BAND, 0.0), min(p + BAND, 1.0))]
     sketch = known.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.min("_v").alias("min_value"),
         F.max("_v").alias("max_value"),
-        F.percentile_approx("_v", edges, SKETCH_ACCURACY).alias("_edges"),
+        F.percentile_approx("_v", margins, SKETCH_ACCURACY).alias("_edges"),
         *[aggregate(F.col("_v")).alias(name) for name, aggregate in also.items()],
     )
     small = F.col("n") < WHOLE_RANGE
-    pairs = [
-        F.struct(
-            F.when(small, F.col("min_value")).otherwise(F.col("_edges")[2 * i]).alias("lo"),
-            F.when(small, F.col("max_value")).otherwise(F.col("_edges")[2 * i + 1]).alias("hi"),
-        )
-        for i in range(len(probabilities))
-    ]
-    return sketch.select(*by, "n", "min_value", "max_value", *also, F.array(*pairs).alias("bands"))
-
-
-def _constant(found: Row, names: list[str]) -> Column:
-    """The fetched bands as a literal of the same shape."""
-    return F.struct(
-        *[F.lit(found[name]).alias(name) for name in names],
-        F.lit(found["n"]).alias("n"),
-        F.lit(found["min_value"]).cast("double").alias("min_value"),
-        F.lit(found["max_value"]).cast("double").alias("max_value"),
-        F.array(
-            *[
-                F.struct(F.lit(b["lo"]).cast("double").alias("lo"), F.lit(b["hi"]).cast("double").alias("hi"))
-                for b in found["bands"]
-            ]
-        ).alias("bands"),
-    )
+    pairs = []
+    for i in range(len(probabilities)):
+        pairs.append(F.when(small, F.col("min_value")).otherwise(F.col("_edges")[2 * i]).alias(f"_lo{i}"))
+        pairs.append(F.when(small, F.col("max_value")).otherwise(F.col("_edges")[2 * i + 1]).alias(f"_hi{i}"))
+    return sketch.select(*by, "n", "min_value", "max_value", *also, *pairs)
 
 
 def _at_rank(rank: Column) -> Column:

@@ -332,7 +332,7 @@ def column_profile(spark, folder):
 
 
 def mart_profile(spark, folder):
-    mart = profile.infinities_to_null(enriched(spark, folder))
+    mart = profile.infinities_to_null(stage(enriched(spark, folder)))
     return rounded(profile.column_profile(mart), "mean", "std", "min_value", "max_value", "p25", "p50", "p75", places=4)
 
 
