@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from daymart.functions.fixed_values import COMMENTS_FROM, COMMENTS_TO, NEWEST_COMMENTS, NO_COMMENTS
 from daymart.functions.scalars import clamp_day, comment_line, filled
 from daymart.operators.canonical import canonicalize
+from daymart.session import stage
 
 KEYS = ("country", "date", "metric")
 # Comments held by one document row. Longer documents continue in further parts.
@@ -51,19 +52,29 @@ def annotation_docs(log: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
 
     Comments keep arrival order inside a part. A key with more than ``part_size`` comments, which
     could be a third of the log, is spread over several parts by a hash of the comment's identity,
-    so no task ever gathers more than about one part. Sizes are counted map-side first.
+    so no task ever gathers more than about one part. Such keys are found by a count that combines
+    map-side; there are at most rows / part_size of them, and their staged list is broadcast when its
+    true size allows. The log itself is shuffled once.
     """
     keys = list(KEYS)
-    sizes = log.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("ts").alias("created_at")
-    ).withColumn("parts", F.ceil(F.col("_n") / part_size).cast("int")).drop("_n")
-    part = F.when(F.col("parts") == 1, 0).otherwise(F.pmod(F.xxhash64("comment_id"), F.col("parts")).cast("int"))
-    # Partitioning by the part as well lets adaptive execution split the skewed side of the join;
-    # otherwise the grouping would reuse the join's partitioning and put a key into one task.
-    split = log.join(sizes, keys).withColumn("part", part).repartition(*keys, "part")
-    entry = F.struct("ts", "comment_id", "user", "text")
-    ordered = F.array_sort(F.collect_list(entry))
-    return split.groupBy(*keys, "part", "parts", "created_at").agg(
+    busy = stage(
+        log.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_first"))
+        .where(F.col("_n") > part_size)
+        .select(*keys, F.ceil(F.col("_n") / part_size).cast("int").alias("_parts"), "_first")
+    )
+    parts = F.coalesce("_parts", F.lit(1))
+    split = (
+        log.join(busy, keys, "left")
+        .withColumn("parts", parts)
+        .withColumn("part", F.pmod(F.xxhash64("comment_id"), F.col("parts")).cast("int"))
+        # Said out loud: after a shuffled join the grouping would otherwise keep the join's
+        # partitioning by key alone and bring all parts of a key back into one task.
+        .repartition(*keys, "part")
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("ts", "comment_id", "user", "text")))
+    return split.groupBy(*keys, "part", "parts").agg(
+        F.coalesce(F.min("_first"), F.min("ts")).alias("created_at"),
         F.count(F.lit(1)).alias("n_comments"),
         F.transform(ordered, lambda c: F.struct(c["user"], c["text"], c["ts"])).alias("comments"),
     )

@@ -1,7 +1,7 @@
 """Latest-known yearly value for each entity-day.
 
 The yearly table is turned into validity intervals [year, next_year), so every day meets
-at most one interval and the join never fans out. The reference form (join all earlier years,
+at most one interval and the join never fans out. The literal form (join all earlier years,
 rank, keep the first) multiplies each day by its number of earlier years before dropping them.
 """
 

@@ -6,6 +6,7 @@ Gardner and McKenzie (1985). Each task fits whole series, and a series is bounde
 
 from __future__ import annotations
 
+import datetime
 import itertools
 
 import numpy as np
@@ -41,8 +42,10 @@ def _start(y: np.ndarray, season: int) -> tuple[float, float, np.ndarray]:
         pattern = flat.reshape(cycles, season).mean(0)
         pattern = pattern - pattern.mean()
     n = min(10, len(y))
-    trend, level = np.polyfit(np.arange(1, n + 1), y[:n] - pattern[np.arange(n) % len(pattern)], 1)
-    return level, trend, pattern
+    t = np.arange(1, n + 1)
+    flat = y[:n] - pattern[np.arange(n) % len(pattern)]
+    trend = ((t - t.mean()) * (flat - flat.mean())).sum() / ((t - t.mean()) ** 2).sum()
+    return flat.mean() - trend * t.mean(), trend, pattern
 
 
 def _smooth(y: np.ndarray, weights: np.ndarray, season: int, horizon: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,29 +86,25 @@ def _fit(y: np.ndarray, season: int, horizon: int) -> tuple[np.ndarray, np.ndarr
 
 def _forecast_one(keys: tuple, pdf: pd.DataFrame, horizon: int) -> pd.DataFrame:
     """History rows as they are, then the forecast rows, where there are enough points."""
-    history = pdf.sort_values("date")
-    out = history.assign(low=np.nan, high=np.nan, ahead=False)
-    known = history.dropna(subset=["value"])
-    if len(known) < FEWEST_POINTS:
-        return out
-    days = pd.to_datetime(known["date"])
-    offsets = (days - days.iloc[0]).dt.days.to_numpy()
-    y = np.interp(np.arange(offsets[-1] + 1), offsets, known["value"].to_numpy(float)).clip(min=0)
-    season = SEASON_DAYS if len(y) >= 2 * SEASON_DAYS else 0
-    residuals, ahead = _fit(y, season, horizon)
-    spread = residuals.std(ddof=1) if len(residuals) > FEW_RESIDUALS else 0.0
-    future = pd.DataFrame(
-        {
-            "date": (days.iloc[-1] + pd.to_timedelta(np.arange(1, horizon + 1), "D")).date,
-            "value": ahead,
-            "low": (ahead - INTERVAL_Z * spread).clip(min=0),
-            "high": ahead + INTERVAL_Z * spread,
-            "ahead": True,
-        }
+    days, values = pdf["date"].to_numpy(), pdf["value"].to_numpy(float)
+    absent = np.full(len(days), np.nan)
+    low, high, ahead = absent, absent, np.zeros(len(days), bool)
+    known = ~np.isnan(values)
+    if known.sum() >= FEWEST_POINTS:
+        ordinals = np.array([day.toordinal() for day in days[known]])
+        order = ordinals.argsort()
+        ordinals, points = ordinals[order], values[known][order]
+        y = np.interp(np.arange(ordinals[0], ordinals[-1] + 1), ordinals, points).clip(min=0)
+        residuals, future = _fit(y, SEASON_DAYS if len(y) >= 2 * SEASON_DAYS else 0, horizon)
+        spread = residuals.std(ddof=1) if len(residuals) > FEW_RESIDUALS else 0.0
+        days = np.append(days, [datetime.date.fromordinal(int(ordinals[-1]) + i) for i in range(1, horizon + 1)])
+        values = np.append(values, future)
+        low = np.append(low, (future - INTERVAL_Z * spread).clip(min=0))
+        high = np.append(high, future + INTERVAL_Z * spread)
+        ahead = np.append(ahead, np.ones(horizon, bool))
+    return pd.DataFrame(
+        {"country": keys[0], "metric": keys[1], "date": days, "value": values, "low": low, "high": high, "ahead": ahead}
     )
-    for name, key in zip(("country", "metric"), keys):
-        future[name] = key
-    return pd.concat([out, future[out.columns]], ignore_index=True)
 
 
 def forecast_all(series: DataFrame, horizon: int = HORIZON) -> DataFrame:

@@ -35,8 +35,13 @@ def cluster_entities(
     not_before: str | None = None,
     requested: DataFrame | None = None,
     scaled: bool = True,
+    exact_silhouette: bool = True,
 ) -> ClusterRun:
-    """Cluster all requested entities (default: all in the mart) by their recent weekly behaviour."""
+    """Cluster all requested entities (default: all in the mart) by their recent weekly behaviour.
+
+    The exact silhouette compares every two entities, as its definition asks. From about a million
+    entities on, ``exact_silhouette=False`` leaves it out; ``squared_silhouette`` is the linear measure.
+    """
     value = metric.lower()
     days = look_back(mart.select("country", "d", value), end, window_days, not_before)
     if requested is not None:
@@ -55,4 +60,5 @@ def cluster_entities(
     points = stage(standardize(features)) if scaled else features
     labels = kmeans_labels(points, cluster_count(n))
     labelled = features.join(labels.select("country", "cluster"), "country")
-    return ClusterRun(report, features, labelled, silhouette(labels), principal_view(labels))
+    mean_width = silhouette(labels) if exact_silhouette else None
+    return ClusterRun(report, features, labelled, mean_width, principal_view(labels))

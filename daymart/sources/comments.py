@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from daymart.session import stage
 
 
 def read_comments(spark: SparkSession, path: str) -> DataFrame:
-    """The log, empty if nothing was written yet. Filters on metric prune folders."""
+    """The log. Filters on metric prune folders."""
     return spark.read.schema(schemas.COMMENT_LOG).parquet(path)
 
 
@@ -40,15 +41,13 @@ def append_comments(requests: DataFrame, alias: DataFrame, path: str) -> dict[st
     spark = requests.sparkSession
     # Staged once: identity and time must be the same for counting and writing, also after a retry.
     rows = stage(stamped(accepted_requests(requests, alias)))
-    if not path_exists(spark, path):
-        counts = upsert_counts(rows.limit(0), rows)
-    else:
-        counts = upsert_counts(read_comments(spark, path), rows)
+    try:
+        log = read_comments(spark, path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        log = rows.limit(0)
+    counts = upsert_counts(log, rows)
     result = counts.first().asDict()
     append_rows(rows, path)
     return {name: int(number) for name, number in result.items()}
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from daymart.functions import fixed_values as fixed
 from daymart.operators import clustering, forecast
 from daymart.plans.cluster_run import cluster_entities
+from daymart.plans.forecast_run import forecast_metric
 from tests.conftest import day
 
 COLUMNS = list(clustering.FEATURES)
@@ -153,6 +154,14 @@ def test_gates(spark):
         forecast.forecast_all(series(spark, [1.0] * 20), 91)
 
 
+def test_request_gates_and_covers_every_entity(week_mart):
+    got = forecast_metric(week_mart(2), "new_cases", 7)
+    assert kinds(got) == {"history": 90, "forecast": 14, "conf_low": 14, "conf_high": 14}
+    assert forecast_metric(week_mart(2), "new_cases", 7, entities=["E1"]).select("country").distinct().count() == 1
+    with pytest.raises(ValueError):
+        forecast_metric(week_mart(2), "gdp_ppp_per_capita")
+
+
 def test_fit_reduces_error_against_a_flat_guess():
     rng = np.random.default_rng(0)
     y = np.cumsum(rng.normal(0, 1, 80)) + 50

@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 
 from daymart.functions import fixed_values as fixed
 from daymart.operators import patterns
+from daymart.plans import pattern_query
 from tests.conftest import day
 
 
@@ -65,6 +66,20 @@ def test_tags_cover_exactly_the_runs(make_series):
     assert rows[1].span_start == day("2024-01-02") and rows[1].span_end == day("2024-01-04")
 
 
+def test_request_cuts_the_range_first_and_names_exactly(make_series, tmp_path):
+    df = make_series({"a": [1.0, 2.0, 3.0, 4.0], "A": [1.0, 2.0, 3.0, 4.0]}, value="new_cases")
+    assert pattern_query.pattern_matches(df, fixed.STREAKS, "2024-01-02", None, ["a"], 3).count() == 0
+    matches = pattern_query.pattern_matches(df, fixed.STREAKS, "2024-01-01", "2024-01-04", ["a"], 3)
+    assert [(r.country, r.streak_len) for r in matches.collect()] == [("a", 3)]
+    overlay = pattern_query.pattern_overlay(df, fixed.STREAKS, entities=["a"])
+    assert overlay.count() == 4 and overlay.where("span_start IS NOT NULL").count() == 3
+    assert pattern_query.pattern_overlay(df, fixed.SPIKES, multiplier=2.0).where("spike_value IS NOT NULL").count() == 2
+    pattern_query.write_matches(matches, fixed.STREAKS, str(tmp_path / "m"))
+    assert df.sparkSession.read.option("header", True).csv(str(tmp_path / "m")).columns[0] == "Country"
+    with pytest.raises(ValueError):
+        pattern_query.pattern_overlay(df, fixed.SURGES, min_len=31)
+
+
 values = st.lists(st.one_of(st.none(), st.integers(0, 3).map(float)), min_size=1, max_size=25)
 
 
