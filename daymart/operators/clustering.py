@@ -19,7 +19,7 @@ from daymart.operators.features import FEATURES
 
 # Points per block of the exact silhouette: a task compares two blocks, 4 million distances.
 BLOCK = 2_000
-FITS_AT_ONCE = 5
+FITS_AT_ONCE = 10
 TOLERANCE = 1e-4
 
 
@@ -41,8 +41,8 @@ def kmeans_labels(
 ) -> DataFrame:
     """Add ``cluster``: the best of several seeded k-means fits, numbered by centroid order.
 
-    ``points`` should be staged: every iteration of every fit reads it. Only the k centroids
-    come to the driver. Numbering by sorted centroids makes labels independent of the winning seed.
+    Every iteration of every fit reads the points, which are kept in memory, so ``points`` should
+    be quick to rebuild, as from staged features. Only the k centroids come to the driver. Numbering by sorted centroids makes labels independent of the winning seed.
     """
     vectors = with_vector(points, columns).persist()
     variance = points.agg(sum(F.var_pop(c) for c in columns) / len(columns)).first()[0] or 0.0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,15 +18,34 @@ from daymart.session import stage
 
 @dataclass
 class ClusterRun:
-    """Results of one run. Frames without enough data are None and ``warnings`` says why."""
+    """Results of one run. Without enough data ``labels`` is None and ``warnings`` says why.
+
+    Silhouette and view are computed when they are first asked for.
+    """
 
     report: DataFrame
     features: DataFrame
-    labelled: DataFrame | None = None
-    silhouette: DataFrame | None = None
-    view: DataFrame | None = None
+    labels: DataFrame | None = None
     warnings: list[str] = field(default_factory=list)
 
+    @cached_property
+    def labelled(self) -> DataFrame | None:
+        """Features as measured, with their cluster."""
+        if self.labels is None:
+            return None
+        return self.features.join(self.labels.select("country", "cluster"), "country")
+
+    @cached_property
+    def silhouette(self) -> DataFrame | None:
+        """Exact mean silhouette. It compares every two entities, as its definition asks; for millions
+        of entities take :func:`daymart.operators.clustering.squared_silhouette` of ``labels``."""
+        return None if self.labels is None else silhouette(self.labels)
+
+    @cached_property
+    def view(self) -> DataFrame | None:
+        """Each entity's place in the plane of the first two principal components."""
+        return None if self.labels is None else principal_view(self.labels)
+
 
 def cluster_entities(
     mart: DataFrame,
@@ -35,30 +55,21 @@ def cluster_entities(
     not_before: str | None = None,
     requested: DataFrame | None = None,
     scaled: bool = True,
-    exact_silhouette: bool = True,
 ) -> ClusterRun:
-    """Cluster all requested entities (default: all in the mart) by their recent weekly behaviour.
-
-    The exact silhouette compares every two entities, as its definition asks. From about a million
-    entities on, ``exact_silhouette=False`` leaves it out; ``squared_silhouette`` is the linear measure.
-    """
+    """Cluster all requested entities (default: all in the mart) by their recent weekly behaviour."""
     value = metric.lower()
     days = look_back(mart.select("country", "d", value), end, window_days, not_before)
     if requested is not None:
         days = days.join(requested.select("country").distinct(), "country", "left_semi")
-    filled = days.withColumn(value, zero_if_null(F.col(value)))
-    # Staged because the report, the features and every model fit read it.
-    weekly_source = daily_interpolated(filled, value)
-    features = stage(weekly_features(weekly_mean(weekly_source, value), value))
+    daily = daily_interpolated(days.withColumn(value, zero_if_null(F.col(value))), value)
+    # Staged because every model fit goes back to it.
+    features = stage(weekly_features(weekly_mean(daily, value), value))
     names = requested if requested is not None else mart.select("country")
-    report = series_report(names, series_stats(weekly_source, value))
+    report = series_report(names, series_stats(daily, value))
     n = features.count()
     if n == 0:
         return ClusterRun(report, features, warnings=[f"no usable series ({FEW_WEEKS}); widen window or selection"])
     if n < 2:
         return ClusterRun(report, features, warnings=["one usable series; select more entities"])
-    points = stage(standardize(features)) if scaled else features
-    labels = kmeans_labels(points, cluster_count(n))
-    labelled = features.join(labels.select("country", "cluster"), "country")
-    mean_width = silhouette(labels) if exact_silhouette else None
-    return ClusterRun(report, features, labelled, mean_width, principal_view(labels))
+    points = standardize(features) if scaled else features
+    return ClusterRun(report, features, kmeans_labels(points, cluster_count(n)))

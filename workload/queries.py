@@ -274,7 +274,9 @@ def feature_table(spark, folder):
 
 
 def standardized_features(spark, folder):
-    return rounded(features.standardize(features.series_features(v.user_day(spark, folder), PRICE)), *features.FEATURES, places=4)
+    # Read twice, for the moments and for the rows.
+    found = stage(features.series_features(v.user_day(spark, folder), PRICE))
+    return rounded(features.standardize(found), *features.FEATURES, places=4)
 
 
 def _run(spark, folder):
@@ -299,8 +301,8 @@ def cluster_report(spark, folder):
 
 def silhouette_widths(spark, folder):
     """Silhouette of a labelling that SQL can state too: whether a user's recent mean exceeds the average."""
-    found = features.series_features(v.user_day(spark, folder), PRICE)
-    scaled = stage(features.standardize(found))
+    found = stage(features.series_features(v.user_day(spark, folder), PRICE))
+    scaled = features.standardize(found)
     labelled = scaled.withColumn("cluster", F.when(F.round("recent_mean", 9) > 0, 1).otherwise(0))
     return rounded(clustering.silhouette_widths(labelled), "width", places=4)
 
