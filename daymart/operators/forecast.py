@@ -122,11 +122,11 @@ def forecast_all(series: DataFrame, horizon: int = HORIZON) -> DataFrame:
     # Fitting is heavy for its few bytes, and adaptive execution would put many series into one task
     # by their size. A fixed number of partitions keeps all cores busy; hashing still spreads any number.
     spark = series.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     wide = (
         series.where(~F.upper("metric").isin(*GDP_METRICS))
         .select("country", "metric", "date", F.col("value").cast("double").alias("value"))
-        .repartition(4 * tasks, "country", "metric")
+        .repartition(tasks, "country", "metric")
         .groupBy("country", "metric")
         .applyInPandas(
             fit, "country string, metric string, date date, value double, low double, high double, ahead boolean"

@@ -1,4 +1,6 @@
-"""Every query beside its SQL, on the smallest tables."""
+"""Every query beside its SQL, on the smallest tables, and what its plan must not hold."""
+
+import re
 
 import pytest
 from check_oracles import compare, open_tables
@@ -12,9 +14,17 @@ def con():
     return open_tables(SMALL)
 
 
+IN_PYTHON = ("forecast", "forecast_segments", "silhouette", "silhouette_widths")
+
+
 @pytest.mark.parametrize("name", list(queries()))
 def test_query_equals_sql(spark, con, name):
-    assert compare(name, spark, con, SMALL) == ""
+    df = queries()[name](spark, SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    python_nodes = re.findall(r"FlatMap\w+InPandas|ArrowEvalPython|BatchEvalPython|MapInPandas", plan)
+    assert bool(python_nodes) == (name in IN_PYTHON)
+    assert compare(name, spark, con, SMALL, df) == ""
 
 
 def test_every_oracle_has_a_query():

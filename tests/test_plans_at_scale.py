@@ -5,7 +5,6 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
 from daymart.operators import annotations, asof, patterns, profile, series, snapshots
 from daymart.operators.features import series_features
 from tests.conftest import SMALL
@@ -79,14 +78,6 @@ def test_columns_and_filters_reach_the_scan(mart):
     assert "GreaterThanOrEqual(d" in plan
 
 
-@pytest.mark.parametrize("name", [q for q in queries() if q not in ("clusters", "pca_points", "silhouette", "cluster_report")])
-def test_no_query_pairs_everything(spark, name):
-    plan = plan_of(queries()[name](spark, SMALL))
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-    python_nodes = re.findall(r"FlatMap\w+InPandas|ArrowEvalPython|BatchEvalPython|MapInPandas", plan)
-    assert bool(python_nodes) == (name in ("forecast", "forecast_segments", "silhouette_widths"))
-
-
 def test_skewed_comments(spark):
     """A third of 30,000 comments on one key, and all of them at one moment."""
     log = spark.range(30_000).select(
