@@ -93,10 +93,24 @@ def annotate_series(series: DataFrame, docs: DataFrame) -> DataFrame:
     """Attach the document of the same (country, date, metric) as a nullable struct.
 
     Names are matched exactly. A day keeps one row, unless its document has several parts: then it
-    appears once per part, so that no comment is lost and no array grows without bound.
+    appears once per part, so that no comment is lost and no array grows without bound. Days are
+    repeated per part before the join, which is by part as well: the parts of one document meet
+    their day in different tasks. ``docs`` should be a stored table; it is read twice, the first time
+    without its comments.
     """
+    keys = list(KEYS)
+    several = stage(docs.where("parts > 1").groupBy(*keys).agg(F.max("parts").alias("_parts")))
+    days = series.join(several, keys, "left").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    )
     struct = F.struct("created_at", "part", "parts", "n_comments", "comments").alias("annotation")
-    return series.join(docs.select(*KEYS, struct), list(KEYS), "left")
+    right = docs.select(*keys, F.col("part").alias("_part"), struct)
+    return (
+        days.join(right, [*keys, "_part"], "left")
+        # Hashing may leave a part of a split document without comments.
+        .where(F.col("_parts").isNull() | F.col("annotation").isNotNull())
+        .select(*series.columns, "annotation")
+    )
 
 
 def explode_docs(docs: DataFrame) -> DataFrame:

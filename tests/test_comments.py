@@ -56,6 +56,7 @@ def test_annotated_series_matches_exact_names_and_keeps_every_part(spark, busy_l
     assert got["A"] is None and got["a"].n_comments == 250
     parts = annotations.annotate_series(series, annotations.annotation_docs(busy_log, 40)).where("country = 'a'")
     assert parts.agg(F.sum("annotation.n_comments")).first()[0] == 250
+    assert parts.where("annotation IS NULL").count() == 0 and parts.columns == [*series.columns, "annotation"]
 
 
 def test_range_read(busy_log):

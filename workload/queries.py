@@ -204,7 +204,7 @@ def annotation_docs(spark, folder):
 
 
 def annotated_series(spark, folder):
-    docs = annotations.annotation_docs(v.user_comments(spark, folder))
+    docs = stage(annotations.annotation_docs(v.user_comments(spark, folder)))
     answered = metric_series.metric_response(
         metric_series.metric_series(v.user_day(spark, folder), "NEW_DEATHS"), docs
     )
