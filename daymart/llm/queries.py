@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daymart.llm import bpe, line_crf, secret_scan, wordpiece
+from daymart.llm import bpe, hmm, line_crf, mixing, repeats, secret_scan, simhash, wordpiece
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,7 +20,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 def op1_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Every text encoded and decoded again, as digests."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.decode(bpe.encode(documents(spark, folder), path), path).select(
+    return bpe.encode(documents(spark, folder), path, decoded=True).select(
         "doc_id",
         "n_tokens",
         F.sha2("token_ids", 256).alias("ids_sha256"),
@@ -59,14 +59,91 @@ def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_hidden_states(spark: SparkSession, folder: str) -> DataFrame:
+    return hmm.score(documents(spark, folder))
+
+
+def op6_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, folder)).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256")
+    )
+
+
+def op7_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_groups(documents(spark, folder)).select(
+        "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return wordpiece.token_counts(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_table(documents(spark, folder))
+
+
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op3_line_quality": op3_line_quality,
     "op4_secrets": op4_secrets,
+    "op5_hidden_states": op5_hidden_states,
+    "op6_repeated_passages": op6_repeated_passages,
+    "op7_simhash_groups": op7_simhash_groups,
     "op9_token_counts": op9_token_counts,
+    "op10_source_mix": op10_source_mix,
 }
-ORACLES: dict[str, str] = {}
+
+#: Word counts, targets by repeated sharing out, and the sample by one running sum for each source.
+OP10 = """
+WITH RECURSIVE rows AS (
+  SELECT doc_id, source,
+         CAST(length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+', 'w', 'g'), '[^w]', '', 'g')) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || '#' || md5(coalesce(text, ''))) AS h
+  FROM documents),
+sized AS (SELECT *, ('0x' || substr(h, 1, 13))::BIGINT AS draw, ('0x' || substr(h, 14, 13))::BIGINT AS second FROM rows),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         CAST([1, 2, 3][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1] AS DOUBLE) AS weight
+  FROM sized GROUP BY source),
+stops AS (SELECT *, 3.0 * source_size / weight AS stop,
+                 row_number() OVER (ORDER BY 3.0 * source_size / weight, source NULLS LAST) AS k FROM sources),
+levels AS (
+  SELECT k, stop, ((SELECT sum(source_size) FROM stops) - coalesce((SELECT sum(3.0 * b.source_size) FROM stops b WHERE b.k < a.k), 0))
+                  / (SELECT sum(b.weight) FROM stops b WHERE b.k >= a.k) AS level FROM stops a),
+level AS (SELECT min_by(level, k) AS level FROM levels WHERE level <= stop),
+targets AS (
+  SELECT source, source_size,
+         CAST(CASE WHEN level IS NULL OR stop <= level THEN 3.0 * source_size ELSE level * weight END AS DOUBLE) AS target
+  FROM stops, level),
+shares AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS share FROM targets),
+ranked AS (
+  SELECT doc_id, size, s.source, s.source_size, target, draw, second, floor(share) AS whole, share - floor(share) AS part,
+         target - floor(share) * s.source_size AS missing, (draw + 0.5::DOUBLE) / 4503599627370496 AS u
+  FROM sized JOIN shares s ON sized.source IS NOT DISTINCT FROM s.source),
+odds AS (SELECT *, CASE WHEN part > 0 THEN (u / (1 - u)) / (part / (1 - part)) END AS odds FROM ranked),
+placed AS (SELECT *, CASE WHEN part > 0 THEN least(CAST(floor(odds / (1 + odds) * 281474976710656) AS BIGINT), 281474976710655) END AS rank FROM odds),
+alike AS (SELECT source, rank, draw, second, any_value(missing) AS missing, sum(size) AS size FROM placed WHERE part > 0 GROUP BY ALL),
+running AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, draw, second) AS until FROM alike),
+gaps AS (SELECT source, any_value(missing) - coalesce(max(until) FILTER (until <= missing), 0) AS gap FROM running GROUP BY source),
+judged AS (
+  SELECT p.*, coalesce(r.until <= r.missing, false) AS fits, g.gap FROM placed p
+  LEFT JOIN running r ON p.source IS NOT DISTINCT FROM r.source AND p.rank = r.rank AND p.draw = r.draw AND p.second = r.second
+  LEFT JOIN gaps g ON p.source IS NOT DISTINCT FROM g.source),
+largest AS (
+  SELECT source, arg_min(struct_pack(a := rank, b := draw, c := second), struct_pack(o := -size, a := rank, b := draw, c := second)) AS f,
+         max(size) AS filled
+  FROM judged WHERE part > 0 AND NOT fits AND size BETWEEN 1 AND gap GROUP BY source),
+again AS (
+  SELECT j.*, coalesce(f = struct_pack(a := rank, b := draw, c := second), false) AS one, gap - coalesce(filled, 0) AS still
+  FROM judged j LEFT JOIN largest l ON j.source IS NOT DISTINCT FROM l.source),
+nearest AS (
+  SELECT source, arg_min(struct_pack(a := rank, b := draw, c := second), struct_pack(o := abs(still - size), a := rank, b := draw, c := second)) AS f
+  FROM again WHERE part > 0 AND NOT fits AND NOT one AND abs(still - size) < still GROUP BY source)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (whole + CASE WHEN part > 0 AND (fits OR one OR coalesce(f = struct_pack(a := rank, b := draw, c := second), false)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM again LEFT JOIN nearest ON again.source IS NOT DISTINCT FROM nearest.source
+"""
+
+ORACLES: dict[str, str] = {"op10_source_mix": OP10}

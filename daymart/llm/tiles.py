@@ -30,11 +30,11 @@ ROWS_ARROW = pa.schema([("tile", pa.int64()), ("kind", pa.int32()), ("bucket", p
 TILE_BYTES = 8 << 20
 
 
-def pack(*arrays: np.ndarray | bytes) -> bytes:
+def pack(*arrays: np.ndarray | bytes, level: int = 3) -> bytes:
     """Arrays as one compressed body: a head of lengths, then their bytes."""
     raw = [a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes() for a in arrays]
     head = np.array([len(raw), *map(len, raw)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(raw))
+    return zstandard.ZstdCompressor(level=level).compress(head + b"".join(raw))
 
 
 def unpack(body: bytes, *types) -> list:
@@ -92,27 +92,28 @@ def cut_tiles(batches: Iterable[pa.RecordBatch], tile_bytes: int = TILE_BYTES) -
             yield Tile(batch.column(0).slice(start, end - start), batch.column(1).slice(start, end - start))
 
 
-def rows_of(tile: int, kept: bytes, asked: dict[int, bytes]) -> pa.RecordBatch:
-    buckets = list(asked)
+def rows_of(tile: int, kept: bytes, asked: dict[int, bytes], *aside: bytes, aside_kind: int | None = None) -> pa.RecordBatch:
+    buckets, own = list(asked), tile & 0x7FFFFFFF
     return pa.record_batch(
         [
-            pa.array([tile] * (len(buckets) + 1), pa.int64()),
-            pa.array([KEPT] + [ASKED] * len(buckets), pa.int32()),
-            pa.array([tile & 0x7FFFFFFF, *buckets], pa.int32()),
-            pa.array([kept, *asked.values()], pa.binary()),
+            pa.array([tile] * (len(buckets) + 1 + len(aside)), pa.int64()),
+            pa.array([KEPT] + [ASKED] * len(buckets) + [aside_kind] * len(aside), pa.int32()),
+            pa.array([own, *buckets, *[own] * len(aside)], pa.int32()),
+            pa.array([kept, *asked.values(), *aside], pa.binary()),
         ],
         schema=ROWS_ARROW,
     )
 
 
-def ask(docs: DataFrame, id_col: str, text_col: str, cut: Callable[[Tile], tuple[bytes, dict[int, bytes]]]) -> DataFrame:
-    """Rows in flight: ``cut`` gives what the tile keeps and a question body for each bucket."""
+def ask(docs: DataFrame, id_col: str, text_col: str, cut: Callable[[Tile], tuple], aside_kind: int | None = None, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """Rows in flight: ``cut`` gives what the tile keeps, a question body for each bucket, and any more
+    bodies to be set aside under a kind of their own."""
 
     def asking(batches):
         base, number = TaskContext.get().partitionId(), 0
-        for tile in cut_tiles(batches):
+        for tile in cut_tiles(batches, tile_bytes):
             # The partition's number stays in the low bits, so tiles spread evenly over tasks.
-            yield rows_of(number << 32 | base, *cut(tile))
+            yield rows_of(number << 32 | base, *cut(tile), aside_kind=aside_kind)
             number += 1
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(asking, ROWS)
@@ -124,9 +125,9 @@ def answer(rows: DataFrame, buckets: int, reply: Callable[[list[bytes]], list[by
     def answering(batches):
         waiting: dict[int, list[tuple[int, bytes]]] = {}
         for batch in batches:
-            kept = batch.filter(pc.equal(batch.column("kind"), KEPT))
-            if kept.num_rows:
-                yield kept
+            rest = batch.filter(pc.not_equal(batch.column("kind"), ASKED))
+            if rest.num_rows:
+                yield rest
             asked = batch.filter(pc.equal(batch.column("kind"), ASKED))
             for tile, bucket, body in zip(*(asked.column(c).to_pylist() for c in ("tile", "bucket", "body")), strict=True):
                 waiting.setdefault(bucket, []).append((tile, body))
