@@ -30,11 +30,15 @@ from daymart.llm import tiles
 #: Cut rules: mean, least and largest bytes of a chunk.
 MEAN_BITS, LEAST, LARGEST = 10, 256, 8192
 WINDOW = 32
+#: Compression of what crosses the shuffle, and bytes of text in a tile.
+LEVEL, TILE_BYTES = 6, 6 << 20
 GEAR = np.random.default_rng(20240101).integers(0, 2**32, 256, dtype=np.uint32)
 #: The fixed split of byte-level BPE into words.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A visible ASCII character with white space behind it: a word ends here in any text.
 BORDER = re.compile(rb"[!-~](?=[ \t\n\r])")
+#: Rows that leave a task together.
+ROWS_OUT = 500
 ENCODED = "id {id_type}, n_tokens long, token_ids binary"
 
 
@@ -79,6 +83,9 @@ class Vocabulary:
         table = self.bytes_of
         return b"".join([table[i] for i in ids.tolist()])
 
+    def text(self, ids: np.ndarray) -> str:
+        return self.decode(ids[ids < len(self.bytes_of)]).decode("utf-8", "replace")
+
 
 def cut_places(data: np.ndarray) -> np.ndarray:
     """Ends of chunks that the rolling hash allows, at borders of characters."""
@@ -109,8 +116,9 @@ def chunks_of(data: np.ndarray, start: int, end: int, places: np.ndarray):
     return borders
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_tokens long, token_ids binary`` for each row of ``docs``, in any order.
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """``id_col, n_tokens long, token_ids binary`` for each row of ``docs``, in any order; with
+    ``decoded`` also ``text``, what ``decode`` makes of the ids, without another pass.
 
     ``token_ids`` are unsigned 32-bit integers in little-endian order, the ids that the definition at
     ``tokenizer_path`` (read by the driver, bounded by the vocabulary) gives for the whole text.
@@ -150,7 +158,8 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         items = np.where(items >= 0, renumber[np.maximum(items, 0)], items).astype(np.int32)
         kept = tiles.pack(tile.packed_ids(), np.array(counts, np.int32), items)
         return kept, {
-            b: tiles.pack(np.array([len(c) for _, c in own], np.uint32), b"".join(c for _, c in own)) for b, own in asked.items()
+            b: tiles.pack(np.array([len(c) for _, c in own], np.uint32), b"".join(c for _, c in own), level=LEVEL)
+            for b, own in asked.items()
         }
 
     def reply(bodies: list[bytes]) -> list[bytes]:
@@ -164,7 +173,10 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                     found = known[chunk] = encoded_chunk(vocab, chunk)
                 parts.append(found)
             marks = np.array([x[:2] for x in parts], np.int32).reshape(-1, 2)
-            out.append(tiles.pack(np.array([x[2].size for x in parts], np.uint32), marks, np.concatenate([x[2] for x in parts])))
+            ids = np.concatenate([x[2] for x in parts])
+            high = (ids >> 16).astype(np.uint16)
+            sizes = np.array([x[2].size for x in parts], np.uint32)
+            out.append(tiles.pack(sizes, marks, ids.astype(np.uint16), high if high.any() else high[:0], level=LEVEL))
         return out
 
     def done(_tile: int, kept: bytes, answers: list[bytes]):
@@ -172,7 +184,10 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         raw, counts, items = tiles.unpack(kept, None, np.int32, np.int32)
         chunks = []
         for body in answers:
-            sizes, marks, ids = tiles.unpack(body, np.uint32, np.int32, np.uint32)
+            sizes, marks, low, high = tiles.unpack(body, np.uint32, np.int32, np.uint16, np.uint16)
+            ids = low.astype(np.uint32)
+            if high.size:
+                ids |= high.astype(np.uint32) << 16
             ends = np.cumsum(sizes, dtype=np.int64).tolist()
             chunks += [(ids[e - s : e], a, b) for e, s, (a, b) in zip(ends, sizes.tolist(), marks.reshape(-1, 2).tolist(), strict=True)]
         ids, known, at, out = tiles.unpacked_ids(raw), {}, 0, []
@@ -180,14 +195,17 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             own = items[at : at + count].tolist()
             at += count
             out.append(joined(vocab, own, chunks, known))
-        yield pa.record_batch(
-            [ids, pa.array([o.size for o in out], pa.int64()), pa.array([o.tobytes() for o in out], pa.binary())],
-            ["id", "n_tokens", "token_ids"],
-        )
+        for start in range(0, len(out), ROWS_OUT):
+            part = out[start : start + ROWS_OUT]
+            columns = [pa.array([o.size for o in part], pa.int64()), pa.array([o.tobytes() for o in part], pa.binary())]
+            if decoded:
+                columns.append(pa.array([vocab.text(o) for o in part], pa.string()))
+            yield pa.record_batch([ids.slice(start, ROWS_OUT), *columns], ["id", "n_tokens", "token_ids", "text"][: 3 + decoded])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = tiles.answer(tiles.ask(docs, id_col, text_col, cut), n, reply)
-    return tiles.finish(rows, n, done, ENCODED.format(id_type=kind)).withColumnRenamed("id", id_col)
+    rows = tiles.answer(tiles.ask(docs, id_col, text_col, cut, tile_bytes=TILE_BYTES), n, reply)
+    schema = ENCODED.format(id_type=kind) + ", text string" * decoded
+    return tiles.finish(rows, n, done, schema).withColumnRenamed("id", id_col)
 
 
 def encoded_chunk(vocab: Vocabulary, chunk: bytes) -> tuple[int, int, np.ndarray]:
@@ -247,15 +265,8 @@ def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id") -> D
 
     def decoding(batches):
         vocab = vocabulary(sent.value)
-        top = len(vocab.bytes_of)
         for batch in batches:
-            texts = []
-            for body in batch.column(2).to_pylist():
-                if body is None:
-                    texts.append(None)
-                    continue
-                ids = np.frombuffer(body, "<u4")
-                texts.append(vocab.decode(ids[ids < top]).decode("utf-8", "replace"))
+            texts = [None if b is None else vocab.text(np.frombuffer(b, "<u4")) for b in batch.column(2).to_pylist()]
             yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], ["id", "n_tokens", "token_ids", "text"])
 
     own = encoded.select(encoded[id_col].alias("id"), "n_tokens", "token_ids")
