@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daymart.llm import bpe, hmm, line_crf, mixing, repeats, secret_scan, simhash, wordpiece
+from daymart.llm import bpe, hmm, line_crf, mixing, neighbours, repeats, secret_scan, simhash, wordpiece
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op1_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_graph_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.search(table(spark, folder, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op3_line_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     field = line_crf.train(docs, table(spark, folder, "labels"))
@@ -85,6 +89,7 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op2_graph_neighbours": op2_graph_neighbours,
     "op3_line_quality": op3_line_quality,
     "op4_secrets": op4_secrets,
     "op5_hidden_states": op5_hidden_states,
