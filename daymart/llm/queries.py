@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daymart.llm import bpe, hmm, line_crf, mixing, neighbours, repeats, secret_scan, simhash, wordpiece
+from daymart.llm import bpe, hmm, line_crf, line_dedup, mixing, neighbours, repeats, secret_scan, simhash, wordpiece
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -79,6 +79,12 @@ def op7_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.without_repeated_lines(documents(spark, folder)).select(
+        "doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.sha2(F.encode("line_dedup.kept_text", "UTF-8"), 256).alias("kept_sha256")
+    )
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return wordpiece.token_counts(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -95,6 +101,7 @@ QUERIES = {
     "op5_hidden_states": op5_hidden_states,
     "op6_repeated_passages": op6_repeated_passages,
     "op7_simhash_groups": op7_simhash_groups,
+    "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_source_mix": op10_source_mix,
 }
