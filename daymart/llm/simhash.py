@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daymart.llm.graph import components
+from daymart.session import stage
 
 SEED = 42
 #: Fingerprints in a tile, and guests compared with it at a time.
@@ -175,8 +176,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     belong to their component, but never name it unless it has no other id; repeated rows are kept;
     other columns are ignored; an empty table gives an empty one.
     """
-    prints = fingerprints(docs, id_col, text_col, shingle).select(F.col(id_col).alias("id"), "print")
-    nodes = prints.groupBy("print").agg(F.min("id").alias("least"))
+    prints = stage(fingerprints(docs, id_col, text_col, shingle).select(F.col(id_col).alias("id"), "print"))
+    nodes = stage(prints.groupBy("print").agg(F.min("id").alias("least")))
     roots = components(links(nodes.select("print"), radius))
     named = nodes.join(roots, nodes["print"] == roots["node"], "left").select(
         "print", "least", F.coalesce("root", "print").alias("root")
