@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from daymart.llm.graph import components
 from daymart.session import stage
@@ -185,3 +186,25 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = named.join(names, "root").select(F.col("print").alias("node"), "component_id")
     return prints.join(of_print, prints["print"] == of_print["node"]).select(F.col("id").alias(id_col), "print", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 3) -> DataFrame:
+    """The rows of ``docs`` with all their columns, one of each group of ``near_groups``: the one with the
+    smallest id; a null id only where a group has no other. Columns may not begin with ``simhash_``."""
+    place = docs.columns.index(text_col)
+
+    def printing(batches):
+        for batch in batches:
+            prints = [fingerprint((t or "").encode(), shingle) for t in batch.column(place).to_pylist()]
+            columns = [*batch.columns, pa.array(np.array(prints, np.uint64).view(np.int64))]
+            yield pa.record_batch(columns, [*batch.schema.names, "simhash_print"])
+
+    schema = StructType([*docs.schema.fields, StructField("simhash_print", LongType())])
+    printed = stage(docs.mapInArrow(printing, schema))
+    nodes = stage(printed.select(F.col("simhash_print").alias("print")).distinct())
+    roots = components(links(nodes, radius)).select(F.col("node").alias("simhash_node"), F.col("root").alias("simhash_root"))
+    grouped = printed.join(roots, printed["simhash_print"] == roots["simhash_node"], "left")
+    own = F.struct(*[F.col(c) for c in docs.columns])
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(*[F.col(c) for c in docs.columns]))
+    least = grouped.groupBy(F.coalesce("simhash_root", "simhash_print").alias("simhash_group")).agg(F.min_by(own, order).alias("simhash_row"))
+    return least.select("simhash_row.*")
