@@ -18,11 +18,6 @@ def filled(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
-def first_filled(*texts: Column) -> Column:
-    """The first text that is neither null nor empty."""
-    return F.coalesce(*[filled(text) for text in texts])
-
-
 def lenient_double(value: Column) -> Column:
     """A double, or null where the text is no number or is NaN.
 

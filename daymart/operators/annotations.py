@@ -1,4 +1,8 @@
-"""Comments: the append log, its nested document form, and both sides of reading them."""
+"""Comments: the append log, its documents, and both sides of reading them.
+
+A document is the set of comments of one (country, date, metric). Comments stay rows at any size; what a
+document adds to them, when it began and how many it holds, is a header row of its own.
+"""
 
 from __future__ import annotations
 
@@ -7,24 +11,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from daymart.functions.fixed_values import COMMENTS_FROM, COMMENTS_TO, NEWEST_COMMENTS, NO_COMMENTS
+from daymart.functions.fixed_values import FIRST_DAY, LAST_DAY, NEWEST_COMMENTS, NO_COMMENTS
 from daymart.functions.scalars import clamp_day, comment_line, filled
 from daymart.operators.canonical import canonicalize
-from daymart.session import stage
 
 KEYS = ("country", "date", "metric")
-# Comments held by one document row. Longer documents continue in further parts.
-PART_SIZE = 10_000
+# Tasks that share the newest comments of one key before they meet in one.
+SALTS = 32
 
 
-def accepted_requests(requests: DataFrame, alias: DataFrame) -> DataFrame:
-    """Submitted comments as log rows: one per target entity, names and dates put right.
+def accepted_requests(requests: DataFrame, alias: DataFrame, first: str = FIRST_DAY, last: str = LAST_DAY) -> DataFrame:
+    """Submitted comments as log rows: one per target entity, names put right, dates clamped to ``first``..``last``.
 
     Requests without a user, a text or a target are left out. Identity and time are added on writing.
     """
     cleaned = requests.select(
         F.explode("countries").alias("country"),
-        clamp_day(F.col("date")).alias("date"),
+        clamp_day(F.col("date"), first, last).alias("date"),
         "metric",
         F.trim("user").alias("user"),
         F.trim("comment").alias("text"),
@@ -35,7 +38,8 @@ def accepted_requests(requests: DataFrame, alias: DataFrame) -> DataFrame:
 def upsert_counts(log: DataFrame, incoming: DataFrame) -> DataFrame:
     """How many incoming comments meet an existing document and how many documents are new."""
     new_keys = incoming.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
-    old_keys = log.join(new_keys, list(KEYS), "left_semi").select(*KEYS).distinct().withColumn("old", F.lit(True))
+    # Distinct first, which combines map-side: a busy key of the log crosses the shuffle once per task.
+    old_keys = log.select(*KEYS).distinct().withColumn("old", F.lit(True))
     return (
         new_keys.join(old_keys, list(KEYS), "left")
         .agg(
@@ -47,42 +51,14 @@ def upsert_counts(log: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
-def annotation_docs(log: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
-    """Documents (country, date, metric, part, parts, created_at, n_comments, comments).
-
-    Comments keep arrival order inside a part. A key with more than ``part_size`` comments, which
-    could be a third of the log, is spread over several parts by a hash of the comment's identity,
-    so no task ever gathers more than about one part. Such keys are found by a count that combines
-    map-side; there are at most rows / part_size of them, and their staged list is broadcast when its
-    true size allows. The log itself is shuffled once.
-    """
-    keys = list(KEYS)
-    busy = stage(
-        log.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_first"))
-        .where(F.col("_n") > part_size)
-        .select(*keys, F.ceil(F.col("_n") / part_size).cast("int").alias("_parts"), "_first")
-    )
-    parts = F.coalesce("_parts", F.lit(1))
-    split = (
-        log.join(busy, keys, "left")
-        .withColumn("parts", parts)
-        .withColumn("part", F.pmod(F.xxhash64("comment_id"), F.col("parts")).cast("int"))
-        # Said out loud: after a shuffled join the grouping would otherwise keep the join's
-        # partitioning by key alone and bring all parts of a key back into one task.
-        .repartition(*keys, "part")
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "comment_id", "user", "text")))
-    return split.groupBy(*keys, "part", "parts").agg(
-        F.coalesce(F.min("_first"), F.min("ts")).alias("created_at"),
-        F.count(F.lit(1)).alias("n_comments"),
-        F.transform(ordered, lambda c: F.struct(c["user"], c["text"], c["ts"])).alias("comments"),
-    )
+def annotation_docs(log: DataFrame) -> DataFrame:
+    """Headers (country, date, metric, created_at, n_comments), counted map-side; one row per document of any size."""
+    return log.groupBy(*KEYS).agg(F.min("ts").alias("created_at"), F.count(F.lit(1)).alias("n_comments"))
 
 
-def read_annotations(docs: DataFrame, country: str, metric: str, start: str, end: str) -> DataFrame:
-    """Documents of one entity and metric (exact names) dated in the inclusive range."""
-    return docs.where(
+def read_annotations(rows: DataFrame, country: str, metric: str, start: str, end: str) -> DataFrame:
+    """Headers or comments of one entity and metric (exact names) dated in the inclusive range."""
+    return rows.where(
         (F.col("country") == country)
         & (F.col("metric") == metric)
         & F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
@@ -90,32 +66,18 @@ def read_annotations(docs: DataFrame, country: str, metric: str, start: str, end
 
 
 def annotate_series(series: DataFrame, docs: DataFrame) -> DataFrame:
-    """Attach the document of the same (country, date, metric) as a nullable struct.
+    """Attach the header of the same (country, date, metric) as a nullable struct; names match exactly.
 
-    Names are matched exactly. A day keeps one row, unless its document has several parts: then it
-    appears once per part, so that no comment is lost and no array grows without bound. Days are
-    repeated per part before the join, which is by part as well: the parts of one document meet
-    their day in different tasks. ``docs`` should be a stored table; it is read twice, the first time
-    without its comments.
+    A day keeps one row. Its comments are the rows of the log with the same three keys.
     """
-    keys = list(KEYS)
-    several = stage(docs.where("parts > 1").groupBy(*keys).agg(F.max("parts").alias("_parts")))
-    days = series.join(several, keys, "left").withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
-    )
-    struct = F.struct("created_at", "part", "parts", "n_comments", "comments").alias("annotation")
-    right = docs.select(*keys, F.col("part").alias("_part"), struct)
-    return (
-        days.join(right, [*keys, "_part"], "left")
-        # Hashing may leave a part of a split document without comments.
-        .where(F.col("_parts").isNull() | F.col("annotation").isNotNull())
-        .select(*series.columns, "annotation")
-    )
+    header = docs.select(*KEYS, F.struct("created_at", "n_comments").alias("annotation"))
+    return series.join(header, list(KEYS), "left").select(*series.columns, "annotation")
 
 
-def explode_docs(docs: DataFrame) -> DataFrame:
-    """Documents back to one row per comment; a document without comments gives none."""
-    return docs.select(*KEYS, F.inline("comments"))
+def comment_rows(log: DataFrame, series: DataFrame | None = None) -> DataFrame:
+    """One row per comment, of all documents or of those that a series' days have."""
+    rows = log.select(*KEYS, "user", "text", "ts")
+    return rows if series is None else rows.join(series.select(*KEYS), list(KEYS), "left_semi")
 
 
 def latest_comments(
@@ -125,18 +87,21 @@ def latest_comments(
     by: Sequence[str] = ("country", "metric"),
     newest: int = NEWEST_COMMENTS,
 ) -> DataFrame:
-    """The newest comments per entity and metric, ranked from 1.
+    """The newest comments per entity and metric, ranked from 1; without a range, of all comments.
 
-    Spark limits each group inside every map task before the shuffle, so a hot key sends at most
-    ``newest`` rows per task. The comment's identity settles equal times.
+    Spark limits each group inside every map task before a shuffle. A hot key is limited again in
+    SALTS tasks, so the last one gets ``newest`` rows from each of these and not from each map task.
+    The comment's identity settles equal times.
     """
-    in_range = log.where(
-        F.col("date").between(
-            F.lit(start or COMMENTS_FROM).cast("date"), F.lit(end or COMMENTS_TO).cast("date")
-        )
-    )
-    recent = Window.partitionBy(*by).orderBy(F.desc("ts"), F.desc("comment_id"))
-    return in_range.withColumn("position", F.row_number().over(recent)).where(F.col("position") <= newest)
+    if start:
+        log = log.where(F.col("date") >= F.lit(start).cast("date"))
+    if end:
+        log = log.where(F.col("date") <= F.lit(end).cast("date"))
+    salted = log.withColumn("_salt", F.pmod(F.xxhash64("comment_id"), F.lit(SALTS)))
+    for keys in ([*by, "_salt"], list(by)):
+        recent = Window.partitionBy(*keys).orderBy(F.desc("ts"), F.desc("comment_id"))
+        salted = salted.withColumn("position", F.row_number().over(recent)).where(F.col("position") <= newest)
+    return salted.drop("_salt")
 
 
 def comment_lines(latest: DataFrame, requested: DataFrame, by: Sequence[str] = ("country", "metric")) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from daymart.functions.scalars import match_key
 from daymart.operators.canonical import canonicalize, clean_alias
-from daymart.session import stage
 
 
 def validity_intervals(yearly: DataFrame, value: str = "gdp_ppp_per_capita") -> DataFrame:
@@ -35,8 +34,8 @@ def asof_join(
 
     ``days`` must hold one row per (entity, day); see :func:`one_row_per_day`.
     """
-    # Staged for its true size: a small yearly table is then broadcast and the days are not shuffled.
-    intervals = stage(validity_intervals(yearly, value))
+    # A yearly table read from storage has its true size: a small one is broadcast and the days stay put.
+    intervals = validity_intervals(yearly, value)
     year = F.year(day)
     in_force = (
         (match_key(F.col(entity)) == F.col("entity_key"))

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -17,8 +16,6 @@ from pyspark.sql import functions as F
 from daymart.functions.fixed_values import CLUSTERS, RESTARTS, SEED
 from daymart.operators.features import FEATURES
 
-# Points per block of the exact silhouette: a task compares two blocks, 4 million distances.
-BLOCK = 2_000
 FITS_AT_ONCE = 10
 TOLERANCE = 1e-4
 
@@ -56,6 +53,7 @@ def kmeans_labels(
     with ThreadPool(min(FITS_AT_ONCE, restarts)) as pool:
         models = pool.map(inheritable_thread_target(points.sparkSession)(fit), range(restarts))
     best = min(models, key=lambda model: model.summary.trainingCost)
+    vectors.unpersist()
     order = sorted(range(len(best.clusterCenters())), key=lambda i: tuple(best.clusterCenters()[i]))
     renumbered = F.array(*[F.lit(order.index(i)) for i in range(len(order))])
     labelled = best.setPredictionCol("_raw").transform(vectors)
@@ -85,66 +83,44 @@ def principal_view(points: DataFrame, columns: Sequence[str] = FEATURES, keep: S
     )
 
 
-def _block_sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """For each point of the left block, its summed distance to each cluster of the right block."""
-    if left.empty or right.empty:
-        return pd.DataFrame({"id": [], "own": [], "cluster": [], "total": [], "n": []})
-    a = np.array(left["point"].tolist())
-    b = np.array(right["point"].tolist())
-    distance = np.sqrt(sum((a[:, d, None] - b[None, :, d]) ** 2 for d in range(a.shape[1])))
-    parts = []
-    for label, members in right.groupby("cluster").indices.items():
-        parts.append(
-            pd.DataFrame(
-                {
-                    "id": left["id"],
-                    "own": left["cluster"],
-                    "cluster": label,
-                    "total": distance[:, members].sum(1),
-                    "n": len(members),
-                }
-            )
-        )
-    return pd.concat(parts)
-
-
-def silhouette_widths(
-    labelled: DataFrame, columns: Sequence[str] = FEATURES, entity: str = "country", block: int = BLOCK
-) -> DataFrame:
-    """Exact Euclidean silhouette of every entity: (entity, cluster, width).
+def silhouette_widths(labelled: DataFrame, columns: Sequence[str] = FEATURES, entity: str = "country") -> DataFrame:
+    """Silhouette of every entity under squared Euclidean distance: (entity, cluster, width).
 
-    Distances are formed block against block inside the tasks and leave them as one sum per point
-    and cluster; pairs are never rows. Work is quadratic in the number of entities by definition;
-    for very many of them use :func:`squared_silhouette`, which is linear.
+    The summed squared distance of a point to a cluster follows from the cluster's size, sum and sum of
+    squares, so the work is linear in the entities: one aggregation to a row per cluster, which every task
+    then has as one array. Clusters are few by their definition (``cluster_count``).
     """
     points = labelled.select(
         F.col(entity).cast("string").alias("id"),
         F.col("cluster").cast("int").alias("cluster"),
         F.array(*[F.col(c).cast("double") for c in columns]).alias("point"),
     )
-    blocks = points.agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).scalar()
-    placed = points.withColumn("_blocks", F.greatest(blocks, F.lit(1))).withColumn(
-        "_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
-    )
-    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    rows = placed.select("id", "cluster", "point", F.col("_own").alias("i"), every.alias("j"))
-    columns_side = placed.select("id", "cluster", "point", every.alias("i"), F.col("_own").alias("j"))
-    sums = (
-        rows.groupBy("i", "j")
-        .cogroup(columns_side.groupBy("i", "j"))
-        .applyInPandas(_block_sums, "id string, own int, cluster int, total double, n long")
+    square = F.aggregate("point", F.lit(0.0), lambda total, x: total + x * x)
+    clusters = points.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array(*[F.sum(F.col("point")[i]) for i in range(len(columns))]).alias("total"),
+        F.sum(square).alias("squares"),
     )
-    per_cluster = sums.groupBy("id", "own", "cluster").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-    inner = F.col("cluster") == F.col("own")
-    widths = per_cluster.groupBy("id", "own").agg(
-        F.max(F.when(inner, F.col("n"))).alias("_size"),
-        F.max(F.when(inner, F.col("total") / F.nullif(F.col("n") - 1, F.lit(0)))).alias("_a"),
-        F.min(F.when(~inner, F.col("total") / F.col("n"))).alias("_b"),
+    every = clusters.agg(F.collect_list(F.struct("cluster", "n", "total", "squares"))).scalar()
+
+    def apart(c):
+        dot = F.aggregate(F.zip_with("point", c["total"], lambda a, b: a * b), F.lit(0.0), lambda total, x: total + x)
+        return F.greatest(c["n"] * F.col("_square") - 2 * dot + c["squares"], F.lit(0.0))
+
+    beside = points.withColumn("_square", square).withColumn("_clusters", every)
+    own = F.filter("_clusters", lambda c: c["cluster"] == F.col("cluster"))[0]
+    others = F.filter("_clusters", lambda c: c["cluster"] != F.col("cluster"))
+    measured = beside.select(
+        "id",
+        "cluster",
+        own["n"].alias("_size"),
+        (apart(own) / F.nullif(own["n"] - 1, F.lit(0))).alias("_a"),
+        F.array_min(F.transform(others, lambda c: apart(c) / c["n"])).alias("_b"),
     )
     larger = F.greatest("_a", "_b")
-    return widths.select(
+    return measured.select(
         F.col("id").alias(entity),
-        F.col("own").alias("cluster"),
+        "cluster",
         # A point alone in its cluster counts as 0, and so does one at distance 0 from everything.
         F.when((F.col("_size") == 1) | (larger == 0), 0.0)
         .otherwise((F.col("_b") - F.col("_a")) / F.nullif(larger, F.lit(0.0)))
@@ -162,11 +138,3 @@ def silhouette(labelled: DataFrame, columns: Sequence[str] = FEATURES, entity: s
     )
     enough = (F.col("labels") > 1) & (F.col("n") > F.greatest(F.lit(CLUSTERS[0]), F.least(F.lit(CLUSTERS[1]), F.col("n"))))
     return shape.select("n", "labels", F.when(enough, F.col("_mean")).otherwise(F.lit(float("nan"))).alias("silhouette"))
-
-
-def squared_silhouette(labelled: DataFrame, columns: Sequence[str] = FEATURES) -> float:
-    """Mean silhouette under squared distance: linear work, but another measure than the exact one."""
-    from pyspark.ml.evaluation import ClusteringEvaluator
-
-    scored = with_vector(labelled, columns).withColumn("prediction", F.col("cluster").cast("double"))
-    return ClusteringEvaluator(featuresCol="features").evaluate(scored)

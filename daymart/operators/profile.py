@@ -116,7 +116,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     doubles = [F.col(c).cast("double").alias(c) for c in names]
     copies = [F.col(c).cast("double").alias(f"left_{c}") for c in names[:-1]]
     long = df.select(*doubles, *copies).unpivot(names, [f"left_{c}" for c in names[:-1]], "left_column", "_x")
-    measured = long.groupBy(F.substring("left_column", 6, 1_000).alias("left_column")).agg(
+    measured = long.groupBy(F.regexp_replace("left_column", "^left_", "").alias("left_column")).agg(
         *[F.corr("_x", c).alias(c) for c in names[1:]]
     )
     order = F.array(*[F.lit(c) for c in names])

@@ -1,29 +1,21 @@
 """Exact quantiles without gathering a column in one task.
 
-``percentile`` keeps every distinct value of a group in one aggregation buffer. Here an
-approximate sketch first brackets each wanted rank in a narrow band; one more pass counts
-the rows outside the bands and lists only the distinct values inside them. The result is
-exact: the sketch decides how much is listed, never what is returned, and a rank that fell
-outside its band would raise an error.
+``percentile`` keeps every distinct value of a group in one aggregation buffer. Here the range of a group is
+cut into a fixed number of equal buckets, counted map-side; the bucket that holds a wanted rank is cut again,
+between the smallest and the largest value in it, until it holds one value. No window ever sees more than
+BUCKETS rows of a group and range, whatever the table's size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
-from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daymart.session import stage
 
-# The sketch misplaces a rank by at most n / SKETCH_ACCURACY rows. Bands are five times as wide on
-# either side, so about n / 2000 rows per quantile are listed. Under WHOLE_RANGE rows that margin is
-# less than the rounding of one rank, and the band is the whole range instead.
-SKETCH_ACCURACY = 20_000
-BAND = 5.0 / SKETCH_ACCURACY
-WHOLE_RANGE = 10_000
+BUCKETS = 1024
 
 
 def exact_quantiles(
@@ -35,86 +27,59 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles per group as q0, q1, ... with n, min_value and max_value.
 
-    ``also`` names further aggregates of the value, computed in the sketch's pass.
-
-    Nulls are left out. Meant for few groups (none, or the columns of a table) of any size. The input
-    is read twice; stage it first if it is costly to compute.
+    ``also`` names further aggregates of the value, computed in the first pass. Nulls are left out; infinite
+    values and NaN must have been taken out. Each further pass reads only what lies in the ranges still open;
+    stage the input first if it is costly to compute.
     """
-    by = list(groups)
-    known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    by, also = list(groups), dict(also or {})
-    known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    bands = _bands(known, probabilities, by, also)
-    edges = [(f"_lo{i}", f"_hi{i}") for i in range(len(probabilities))]
-    edge_names = [name for pair in edges for name in pair]
-
-    # Bands are one row per group, and groups are few: they are staged, so that the sketch is made once,
-    # and broadcast. Without groups they are a handful of numbers, fetched and used as constants.
-    bands, found = (stage(bands), None) if by else (bands, bands.first())
-
-    def with_bands(rows: DataFrame, names: Sequence[str]) -> DataFrame:
-        if by:
-            return rows.join(F.broadcast(bands.select(*by, *names)), by)
-        kinds = dict(bands.dtypes)
-        return rows.withColumns({name: F.lit(found[name]).cast(kinds[name]) for name in names})
-
-    inside = reduce(or_, [F.col("_v").between(F.col(lo), F.col(hi)) for lo, hi in edges])
-    below = reduce(add, [(F.col("_v") > F.col(hi)).cast("int") for _, hi in edges])
-    listed = (
-        with_bands(known, edge_names)
-        .groupBy(*by, below.alias("_below"), F.when(inside, F.col("_v")).alias("_key"))
-        .agg(F.count(F.lit(1)).alias("_rows"), F.min("_v").alias("_low"))
-    )
-    # Listed rows are few by construction, also without groups.
-    running = with_bands(
-        listed.withColumn("_upto", F.sum("_rows").over(Window.partitionBy(*by).orderBy("_low"))),
-        ["n", "min_value", "max_value", *also],
+    by = list(groups) or ["_all"]
+    source = df if groups else df.withColumn("_all", F.lit(0))
+    known = source.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    whole = stage(
+        known.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("_v").alias("min_value"),
+            F.max("_v").alias("max_value"),
+            *[aggregate(F.col("_v")).alias(name) for name, aggregate in dict(also or {}).items()],
+        )
     )
-
-    ranks = [F.lit(float(p)) * (F.col("n") - 1) for p in probabilities]
-    whole = ["n", "min_value", "max_value", *also]
-    picked = running.groupBy(*by, *whole).agg(
-        *[_at_rank(F.floor(rank)).alias(f"_a{i}") for i, rank in enumerate(ranks)],
-        *[_at_rank(F.least(F.floor(rank) + 1, F.col("n") - 1)).alias(f"_b{i}") for i, rank in enumerate(ranks)],
+    slots = []
+    for p in probabilities:
+        low = F.floor(F.lit(float(p)) * (F.col("n") - 1))
+        slots += [low, F.least(low + 1, F.col("n") - 1)]
+    ranks = F.explode(F.array(*[F.struct(F.lit(i).alias("slot"), r.alias("rank")) for i, r in enumerate(slots)]))
+    wanted = whole.select(*by, ranks.alias("w"), F.col("min_value").alias("low"), F.col("max_value").alias("high")).select(
+        *by, "w.slot", "w.rank", "low", "high"
     )
-    return picked.select(
-        *by,
-        *whole,
+    while wanted.where("low < high").limit(1).count():
+        wanted = stage(_narrowed(known, wanted, by))
+    found = wanted.groupBy(*by).agg(*[F.max(F.when(F.col("slot") == i, F.col("low"))).alias(f"_r{i}") for i in range(len(slots))])
+    return whole.join(found, by).select(
+        *groups,
+        *[c for c in whole.columns if c not in by],
         *[
-            (_checked(f"_a{i}") + (_checked(f"_b{i}") - _checked(f"_a{i}")) * (rank - F.floor(rank))).alias(f"q{i}")
-            for i, rank in enumerate(ranks)
+            (F.col(f"_r{2 * i}") + (F.col(f"_r{2 * i + 1}") - F.col(f"_r{2 * i}")) * (F.lit(float(p)) * (F.col("n") - 1) - slots[2 * i])).alias(f"q{i}")
+            for i, p in enumerate(probabilities)
         ],
     )
 
 
-def _bands(
-    known: DataFrame,
-    probabilities: Sequence[float],
-    by: list[str],
-    also: Mapping[str, Callable[[Column], Column]],
-) -> DataFrame:
-    margins = [edge for p in probabilities for edge in (max(p - BAND, 0.0), min(p + BAND, 1.0))]
-    sketch = known.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("_v").alias("min_value"),
-        F.max("_v").alias("max_value"),
-        F.percentile_approx("_v", margins, SKETCH_ACCURACY).alias("_edges"),
-        *[aggregate(F.col("_v")).alias(name) for name, aggregate in also.items()],
+def _narrowed(known: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
+    """Wanted ranks with the range of the bucket that holds them; ranks count from the range's start."""
+    ranges = wanted.where("low < high").select(*by, "low", "high").distinct()
+    # Halves first, so that the width of a range cannot overflow.
+    share = (F.col("_v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
+    bucket = F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).alias("_bucket")
+    counted = (
+        known.join(ranges, by)
+        .where(F.col("_v").between(F.col("low"), F.col("high")))
+        .groupBy(*by, "low", "high", bucket)
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
     )
-    small = F.col("n") < WHOLE_RANGE
-    pairs = []
-    for i in range(len(probabilities)):
-        pairs.append(F.when(small, F.col("min_value")).otherwise(F.col("_edges")[2 * i]).alias(f"_lo{i}"))
-        pairs.append(F.when(small, F.col("max_value")).otherwise(F.col("_edges")[2 * i + 1]).alias(f"_hi{i}"))
-    return sketch.select(*by, "n", "min_value", "max_value", *also, *pairs)
-
-
-def _at_rank(rank: Column) -> Column:
-    """The first listed value whose running count passes the zero-based rank."""
-    return F.min(F.when(F.col("_upto") > rank, F.struct("_low", F.col("_key").isNotNull().alias("exact"))))
-
-
-def _checked(picked: str) -> Column:
-    return F.when(F.col(picked)["exact"], F.col(picked)["_low"]).when(
-        F.col(picked).isNotNull(), F.raise_error(F.lit("quantile rank fell outside its band"))
+    running = Window.partitionBy(*by, "low", "high").orderBy("_bucket")
+    placed = counted.withColumn("_until", F.sum("_n").over(running))
+    inside = (F.col("rank") < F.col("_until")) & (F.col("rank") >= F.col("_until") - F.col("_n"))
+    settled = wanted.where("low = high")
+    opened = wanted.where("low < high").join(placed, [*by, "low", "high"]).where(inside)
+    return settled.unionByName(
+        opened.select(*by, "slot", (F.col("rank") - (F.col("_until") - F.col("_n"))).alias("rank"), F.col("_least").alias("low"), F.col("_most").alias("high"))
     )

@@ -37,8 +37,7 @@ class ClusterRun:
 
     @cached_property
     def silhouette(self) -> DataFrame | None:
-        """Exact mean silhouette. It compares every two entities, as its definition asks; for millions
-        of entities take :func:`daymart.operators.clustering.squared_silhouette` of ``labels``."""
+        """Mean silhouette under squared distance, linear in the entities."""
         return None if self.labels is None else silhouette(self.labels)
 
     @cached_property

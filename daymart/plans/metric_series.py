@@ -11,16 +11,14 @@ from daymart.functions.fixed_values import (
     GDP_METRIC,
     GDP_METRICS,
     GDP_VS_CASES_METRIC,
-    METRIC_CHOICES,
     METRIC_COLUMNS,
 )
-from daymart.functions.scalars import match_key, zero_if_null
+from daymart.functions.scalars import match_key, number_or_null, zero_if_null
 from daymart.operators.annotations import annotate_series
 from daymart.operators.asof import asof_join, gdp_with_cases
 from daymart.operators.canonical import canonicalize, clean_alias, distinct_entities
 from daymart.operators.series import valid_points, yearly_last
-from daymart.operators.snapshots import bubble_points, pivot_metrics
-from daymart.session import stage
+from daymart.operators.snapshots import bubble_points
 
 
 def allowed_metrics() -> list[str]:
@@ -28,22 +26,6 @@ def allowed_metrics() -> list[str]:
     return sorted({*METRIC_COLUMNS, *GDP_METRICS})
 
 
-def base_metric_options() -> tuple[tuple[str, str], ...]:
-    return METRIC_CHOICES
-
-
-def non_gdp_metric_labels() -> list[str]:
-    return [label for label, metric in METRIC_CHOICES if is_forecastable(metric)]
-
-
-def build_metric_choices(allow_gdp: bool) -> list[tuple[str, str]]:
-    return [choice for choice in METRIC_CHOICES if allow_gdp or is_forecastable(choice[1])]
-
-
-def is_forecastable(metric: str) -> bool:
-    return metric not in GDP_METRICS
-
-
 def in_range(
     mart: DataFrame, start: str | None, end: str | None, entities: Sequence[str] | None, exact_names: bool = False
 ) -> DataFrame:
@@ -78,11 +60,10 @@ def metric_series(
     if name in GDP_METRICS:
         if yearly is None:
             raise ValueError(f"{name} needs the yearly table")
-        # One row per entity and day, whatever the mart repeats; map-side first.
+        # The mart's key is (country, d), so a day has one row already.
         if name == GDP_VS_CASES_METRIC:
-            cases = "new_cases_per_100k"
-            return gdp_with_cases(days.groupBy("country", "d").agg(F.min(cases).alias(cases)), yearly)
-        days, column = asof_join(days.select("country", "d").distinct(), yearly), "gdp_ppp_per_capita"
+            return gdp_with_cases(days, yearly)
+        days, column = asof_join(days.select("country", "d"), yearly), "gdp_ppp_per_capita"
     else:
         column = name.lower()
     return days.select(
@@ -120,16 +101,22 @@ def chart_frame(
     name = metric.upper()
     if name in GDP_METRICS:
         lookup = clean_alias(alias)
-        known = stage(distinct_entities(yearly, lookup).withColumnRenamed("country", "_canonical"))
+        known = distinct_entities(yearly, lookup).withColumnRenamed("country", "_canonical")
         mart = (
             canonicalize(mart, lookup, out="_canonical", trimmed=True)
             .join(known, "_canonical", "left_semi")
             .drop("_canonical")
         )
-    points = valid_points(metric_response(metric_series(mart, metric, start, end, entities, yearly)))
     if name == GDP_VS_CASES_METRIC:
-        columns = [GDP_METRIC, "NEW_CASES_PER_100K"]
-        return bubble_points(pivot_metrics(points, columns), *columns)
-    if name == GDP_METRIC:
-        return yearly_last(points)
-    return points
+        # The joined day holds both values already: they stay side by side.
+        days = asof_join(in_range(mart, start, end, entities).select("country", "d", "new_cases_per_100k"), yearly)
+        wide = days.select(
+            "country",
+            F.col("d").alias("date"),
+            number_or_null(F.col("gdp_ppp_per_capita")).alias(GDP_METRIC),
+            zero_if_null(F.col("new_cases_per_100k")).alias("NEW_CASES_PER_100K"),
+            F.year("d").alias("year"),
+        )
+        return bubble_points(wide, GDP_METRIC, "NEW_CASES_PER_100K")
+    points = valid_points(metric_response(metric_series(mart, metric, start, end, entities, yearly)))
+    return yearly_last(points) if name == GDP_METRIC else points

@@ -16,7 +16,7 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> i
     return seen.get["rows"]
 
 
-def write_mart(mart: DataFrame, path: str, files_per_year: int | None = None) -> int:
+def write_mart(mart: DataFrame, path: str) -> int:
     """Replace the mart, a folder per year, entities together inside it.
 
     Range partitioning by (year, country, d) cuts a large year or a large entity into several files
@@ -25,8 +25,7 @@ def write_mart(mart: DataFrame, path: str, files_per_year: int | None = None) ->
     """
     dated = mart.withColumn("year", F.year("d"))
     keys = [F.col("year"), F.col("country"), F.col("d")]
-    arranged = dated.repartitionByRange(files_per_year, *keys) if files_per_year else dated.repartitionByRange(*keys)
-    return write_table(arranged.sortWithinPartitions("year", "country", "d"), path, ["year"])
+    return write_table(dated.repartitionByRange(*keys).sortWithinPartitions("year", "country", "d"), path, ["year"])
 
 
 def write_bucketed(df: DataFrame, table: str, buckets: int, entity: str = "country", day: str = "d") -> None:

@@ -1,13 +1,12 @@
 import datetime
-import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from daymart import schemas
 from daymart.operators import annotations
+from daymart.plans import comment_request
 from daymart.sources import comments
-from daymart.streaming import comment_feed
 from tests.conftest import day
 
 START = datetime.datetime(2024, 1, 1)
@@ -34,35 +33,28 @@ def busy_log(spark):
     return log_rows(spark, rows)
 
 
-def test_documents_keep_order_and_duplicates(busy_log):
+def test_documents_have_one_header_of_the_same_shape_at_any_size(spark, busy_log):
     docs = {r.country: r for r in annotations.annotation_docs(busy_log).collect()}
-    assert [c.text for c in docs["a"].comments] == [f"t{i}" for i in range(250)]
-    assert docs["a"].created_at == START and docs["a"].parts == 1
-    assert [c.text for c in docs["b"].comments] == ["same", "same"]
+    assert docs["a"].created_at == START and docs["a"].n_comments == 250 and docs["b"].n_comments == 2
+    assert annotations.comment_rows(busy_log).where("country = 'b'").select("text").collect() == [("same",), ("same",)]
+    large = spark.range(30_000).selectExpr("string(id) comment_id", "'a' country", "date'2024-01-01' date", "'M' metric", "'u' user", "'t' text", "timestamp_ntz'2024-01-01 00:00:00' ts")
+    header = annotations.annotation_docs(large).collect()
+    assert len(header) == 1 and header[0].n_comments == 30_000 and annotations.comment_rows(large).count() == 30_000
 
 
-def test_a_busy_document_is_split_and_nothing_is_lost(busy_log):
-    docs = annotations.annotation_docs(busy_log, part_size=40).where("country = 'a'")
-    rows = docs.collect()
-    assert len(rows) == 7 and {r.parts for r in rows} == {7}
-    assert sum(r.n_comments for r in rows) == 250
-    assert all(list(r.comments) == sorted(r.comments, key=lambda c: c.ts) for r in rows)
-    assert annotations.explode_docs(docs).select("text").distinct().count() == 250
-
-
-def test_annotated_series_matches_exact_names_and_keeps_every_part(spark, busy_log):
+def test_annotated_series_matches_exact_names(spark, busy_log):
     series = spark.createDataFrame([("a", day("2024-01-01"), "M", 1.0), ("A", day("2024-01-01"), "M", 1.0)], "country string, date date, metric string, value double")
-    got = {r.country: r.annotation for r in annotations.annotate_series(series, annotations.annotation_docs(busy_log)).collect()}
-    assert got["A"] is None and got["a"].n_comments == 250
-    parts = annotations.annotate_series(series, annotations.annotation_docs(busy_log, 40)).where("country = 'a'")
-    assert parts.agg(F.sum("annotation.n_comments")).first()[0] == 250
-    assert parts.where("annotation IS NULL").count() == 0 and parts.columns == [*series.columns, "annotation"]
+    annotated = annotations.annotate_series(series, annotations.annotation_docs(busy_log))
+    got = {r.country: r.annotation for r in annotated.collect()}
+    assert got["A"] is None and got["a"].n_comments == 250 and annotated.columns == [*series.columns, "annotation"]
+    assert annotations.comment_rows(busy_log, series).count() == 250
 
 
 def test_range_read(busy_log):
     docs = annotations.annotation_docs(busy_log)
     assert annotations.read_annotations(docs, "a", "M", "2024-01-01", "2024-01-01").count() == 1
     assert annotations.read_annotations(docs, "a", "M", "2024-01-02", "2024-02-01").count() == 0
+    assert annotations.read_annotations(busy_log, "a", "M", "2024-01-01", "2024-01-01").count() == 250
 
 
 def test_latest_200_and_lines(spark, busy_log):
@@ -80,10 +72,13 @@ def test_line_of_a_blank_user(spark):
     assert annotations.comment_lines(annotations.latest_comments(log), asked).first().line == "2024-01-01 — —: hi"
 
 
-def test_comments_outside_the_default_range_are_left_out(spark):
+def test_only_a_request_has_a_default_range(spark):
     log = log_rows(spark, [("1", "a", day("2019-12-31"), "M", "u", "t", START)])
-    assert annotations.latest_comments(log).count() == 0
-    assert annotations.latest_comments(log, "2019-01-01").count() == 1
+    assert annotations.latest_comments(log).count() == 1
+    assert comment_request.newest_comments(log).count() == 0
+    assert comment_request.newest_comments(log, "2019-01-01").count() == 1
+    asked = log.select("country", "metric")
+    assert comment_request.printed_comments(log, asked, "2019-01-01").first().line == "2024-01-01 — u: t"
 
 
 def test_requests_are_cleaned_and_spread(spark, alias):
@@ -107,18 +102,3 @@ def test_append_counts_and_keeps_duplicates(spark, alias, tmp_path):
     assert comments.append_comments(both, alias, path) == {"matched": 2, "created": 1}
     log = comments.read_comments(spark, path)
     assert log.count() == 5 and log.select("comment_id").distinct().count() == 5
-
-
-def test_feed_appends_arriving_files(spark, alias, tmp_path):
-    inbox, path = tmp_path / "inbox", str(tmp_path / "log")
-    inbox.mkdir()
-
-    def arrive(name, text):
-        (inbox / name).write_text(json.dumps({"countries": ["deu", "Chad"], "date": "2021-01-01", "metric": "M", "user": "me", "comment": text}))
-        query = comment_feed.append_feed(comment_feed.comment_requests(spark, str(inbox)), alias, path, str(tmp_path / "ck"), once=True)
-        query.awaitTermination(120)
-
-    arrive("1.json", "one")
-    arrive("2.json", "two")
-    rows = comments.read_comments(spark, path).collect()
-    assert sorted((r.country, r.text) for r in rows) == [("Chad", "one"), ("Chad", "two"), ("Germany", "one"), ("Germany", "two")]

@@ -29,10 +29,9 @@ EVENT_DAY = _event_mart("event_day", "event_type")
 NATION_YEAR = """base AS (
   SELECT s_nationkey AS k, CAST(year(l_shipdate) AS INTEGER) AS year, round(sum(l_extendedprice), 2) AS total
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
-averaged AS (SELECT *, avg(total) OVER (PARTITION BY k) AS own, avg(total) OVER () AS overall FROM base),
 nation_year AS (
   SELECT n_name AS country, year, total AS gdp_ppp_per_capita
-  FROM averaged JOIN nation ON k = n_nationkey WHERE total >= own AND total >= overall
+  FROM base JOIN nation ON k = n_nationkey
   UNION ALL
   SELECT r_name, year, round(sum(total), 2)
   FROM base JOIN nation ON k = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2)"""
@@ -176,11 +175,8 @@ TOPIC_COMMENTS = """topics AS (
 
 
 def _docs(log: str, name: str = "docs") -> str:
-    stamp = "regexp_replace(regexp_replace(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), '0+$', ''), '\\.$', '')"
     return f"""{name} AS (
-  SELECT country, date, metric, min(ts) AS created_at, count(*) AS n_comments,
-         string_agg(concat_ws('|', {stamp}, "user", text), ';' ORDER BY ts, comment_id) AS comments_text
-  FROM {log} GROUP BY 1, 2, 3)"""
+  SELECT country, date, metric, min(ts) AS created_at, count(*) AS n_comments FROM {log} GROUP BY 1, 2, 3)"""
 
 
 def _profile(table: str, numeric: list[str], other: list[str]) -> str:
@@ -203,7 +199,7 @@ def _profile(table: str, numeric: list[str], other: list[str]) -> str:
 
 
 LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-TOP = ["l_returnflag", "l_linestatus", "l_suppkey", "l_quantity"]
+TOP = [*LINE_NUMBERS, "l_returnflag", "l_linestatus", "l_shipdate"]
 PLAIN = ("NEW_CASES", "NEW_DEATHS", "DAILY_VACCINATIONS")
 
 _catalogue = ", ".join(
@@ -214,14 +210,25 @@ _long = " UNION ALL ".join(
     f"SELECT country, d AS date, '{m}' AS metric, coalesce({m.lower()}, 0.0) AS value FROM {{mart}}" for m in PLAIN
 )
 
+TWELVE = "(" + ", ".join(f"'NATION_{i}'" for i in range(12)) + ")"
+
+ACCEPTED = f"""{ALIAS}, sent AS (
+    SELECT unnest([n_name, ' ' || lower(n_name) || ' ']) AS target, CAST(o_orderdate AS DATE) AS day, c_name,
+           CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE o_orderpriority END AS text
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+  accepted AS (
+    SELECT coalesce(canonical, trim(target)) AS country, greatest(DATE '1996-01-01', least(DATE '2000-12-31', day)) AS date,
+           'NEW_CASES' AS metric, c_name AS "user", text
+    FROM sent LEFT JOIN lookup ON alias_key = upper(trim(target)) WHERE text <> '')"""
+
 ORACLES: dict[str, str] = {
     "enriched_mart": f"WITH {ENRICHED} SELECT * FROM enriched",
     "metric_series_long": f"WITH {NATION_DAY} {_long.format(mart='nation_day')} "
     "UNION ALL SELECT country, d, 'NEW_CASES_PER_100K', coalesce(new_cases_per_100k, 0.0) FROM nation_day",
     "metric_series": f"WITH {NATION_DAY} SELECT country, d AS date, 'NEW_DEATHS' AS metric, new_deaths AS value FROM nation_day "
-    "WHERE d BETWEEN DATE '1995-01-01' AND DATE '2001-12-31' ORDER BY country, date",
+    f"WHERE d BETWEEN DATE '1996-03-01' AND DATE '1999-06-30' AND country IN {TWELVE} ORDER BY country, date",
     "sql_series": f"WITH {NATION_DAY} SELECT country, d AS date, new_cases AS value FROM nation_day "
-    "WHERE d BETWEEN DATE '1995-01-01' AND DATE '2001-12-31'",
+    "WHERE d BETWEEN DATE '1996-03-01' AND DATE '1999-06-30'",
     "date_span_defaults": f"""WITH {NATION_DAY}, span AS (SELECT min(d) AS first_day, max(d) AS last_day FROM nation_day),
   chosen AS (SELECT *, greatest(DATE '2020-01-01', first_day) AS a, least(DATE '2023-12-31', last_day) AS b FROM span)
   SELECT first_day, last_day, least(a, b) AS start_day, greatest(a, b) AS end_day,
@@ -307,11 +314,11 @@ ORACLES: dict[str, str] = {
     SELECT * FROM enriched WHERE gdp_ppp_per_capita IS NOT NULL AND new_cases_per_100k IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY country, year(d) ORDER BY d DESC) = 1)
   SELECT count(*) AS n_points, round(corr(gdp_ppp_per_capita, new_cases_per_100k), 6) AS correlation FROM snap""",
-    "entity_extract": f"WITH {NATION_DAY} SELECT country, d, new_cases_per_100k FROM nation_day",
+    "entity_extract": f"WITH {NATION_DAY} SELECT country, d, new_cases_per_100k FROM nation_day WHERE country IN {TWELVE}",
     "selected_entities": f"WITH {NATION_DAY}, {NATION_YEAR} SELECT country, d, new_cases FROM nation_day WHERE country IN (SELECT country FROM nation_year)",
     "annotation_docs": f"WITH {TOPIC_COMMENTS}, {_docs('topics')} SELECT * FROM docs",
     "annotated_series": f"""WITH {USER_DAY}, {USER_COMMENTS}, {_docs('log')}
-  SELECT s.country, s.d AS date, 'NEW_DEATHS' AS metric, coalesce(new_deaths, 0.0) AS value, created_at, n_comments, comments_text
+  SELECT s.country, s.d AS date, 'NEW_DEATHS' AS metric, coalesce(new_deaths, 0.0) AS value, created_at, n_comments
   FROM user_day s LEFT JOIN docs a ON a.country = s.country AND a.date = s.d AND a.metric = 'NEW_DEATHS'""",
     "exploded_docs": f'WITH {USER_COMMENTS} SELECT country, date, metric, "user", text, ts FROM log',
     "latest_comments": f"""WITH {TOPIC_COMMENTS}
@@ -329,19 +336,37 @@ ORACLES: dict[str, str] = {
   marked AS (SELECT *, EXISTS (SELECT 1 FROM topics t WHERE t.country = k.country AND t.date = k.date AND t.metric = k.metric) AS old FROM keys k)
   SELECT CAST(sum(CASE WHEN old THEN n ELSE n - 1 END) AS BIGINT) AS matched,
          CAST(sum(CASE WHEN old THEN 0 ELSE 1 END) AS BIGINT) AS created FROM marked""",
-    "comment_fanout": f"""WITH {ALIAS}, sent AS (
-    SELECT unnest([n_name, ' ' || lower(n_name) || ' ']) AS target, CAST(o_orderdate AS DATE) AS day, c_name,
-           CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE o_orderpriority END AS text
-    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
-  SELECT coalesce(canonical, trim(target)) AS country,
-         greatest(DATE '2020-01-01', least(DATE '2023-12-31', day)) AS date, 'NEW_CASES' AS metric, c_name AS "user", text, count(*) AS n
-  FROM sent LEFT JOIN lookup ON alias_key = upper(trim(target)) WHERE text <> '' GROUP BY 1, 2, 3, 4, 5""",
+    "comment_fanout": f"""WITH {ACCEPTED}
+  SELECT country, date, metric, "user", text, count(*) AS n FROM accepted GROUP BY 1, 2, 3, 4, 5""",
+    "comment_batches": f"""WITH {ACCEPTED},
+  olds AS (SELECT DISTINCT country, date, metric FROM accepted WHERE date < DATE '1998-01-01' OR ends_with("user", '7')),
+  keys AS (SELECT country, date, metric, count(*) AS n FROM accepted WHERE date >= DATE '1998-01-01' GROUP BY 1, 2, 3),
+  marked AS (SELECT k.*, o.country IS NOT NULL AS old FROM keys k LEFT JOIN olds o USING (country, date, metric))
+  SELECT CAST(coalesce(sum(CASE WHEN old THEN n ELSE n - 1 END), 0) AS BIGINT) AS matched,
+         CAST(coalesce(sum(CASE WHEN old THEN 0 ELSE 1 END), 0) AS BIGINT) AS created, CAST(coalesce(sum(n), 0) AS BIGINT) AS accepted FROM marked""",
+    "annotation_range": f"""WITH {TOPIC_COMMENTS}, {_docs('topics')}
+  SELECT * FROM docs WHERE country = 'click' AND metric = 'NEW_CASES' AND date BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'""",
+    "annotated_comments": f"""WITH {USER_COMMENTS} SELECT country, date, metric, "user", text, ts FROM log WHERE metric = 'NEW_DEATHS'""",
+    "chosen_entities": f"""WITH {NATION_DAY} SELECT country, d, new_cases FROM nation_day
+  WHERE country IN (SELECT DISTINCT country FROM nation_day ORDER BY 1 LIMIT 7)""",
+    "pattern_request": f"""WITH all_days AS (WITH {NATION_DAY} SELECT * FROM nation_day),
+  nation_day AS (SELECT * FROM all_days WHERE d BETWEEN DATE '1996-03-01' AND DATE '1999-06-30' AND country IN {TWELVE}), {_flags('new_cases')}
+  SELECT country, start_day, end_day, n AS streak_len, first_v AS start_cases, last_v AS end_cases FROM runs WHERE n >= 2""",
+    "spike_request": f"""WITH all_days AS (WITH {NATION_DAY} SELECT * FROM nation_day),
+  nation_day AS (SELECT * FROM all_days WHERE d BETWEEN DATE '1996-03-01' AND DATE '1999-06-30'), {_flags('new_cases')}, spikes AS (
+    SELECT *, round((v / nullif(prev, 0) - 1) * 100, 1) AS jump FROM flags WHERE prev > 0 AND v >= 2.0 * prev)
+  SELECT m.country, m.d, m.new_cases, s.v AS spike_value, s.prev AS prev_value, s.jump AS pct_jump
+  FROM nation_day m LEFT JOIN spikes s USING (country, d)""",
+    "cluster_checks": f"""WITH {USER_DAY},
+  windowed AS (SELECT country, d, coalesce(daily_vaccinations, 0.0) AS v FROM user_day WHERE d BETWEEN DATE '2024-01-02' AND DATE '2024-01-28'),
+  {_daily('windowed', 'v')}, {FEATURES}
+  SELECT count(*) AS n_entities, CAST(0 AS BIGINT) AS misplaced, true AS no_worse_than_halves FROM features""",
     "densify_interpolate": f"WITH {USER_DAY}, {_daily('user_day', 'new_deaths')} SELECT country, d, round(v, 6) AS new_deaths FROM daily",
     "weekly_mean": f"WITH {USER_DAY}, {_daily('user_day', 'daily_vaccinations')} SELECT country, week, round(w, 6) AS daily_vaccinations FROM weekly",
     "weekly_metric_series": f"""WITH {USER_DAY}, keyed AS (
     SELECT country || '/' || metric AS country, date AS d, value FROM ({_long.format(mart='user_day')})),
   {_daily('keyed', 'value')} SELECT country, week, round(w, 6) AS value FROM weekly""",
-    "look_back_weeks": f"""WITH {USER_DAY}, recent AS (SELECT * FROM user_day WHERE d BETWEEN DATE '2024-01-01' AND DATE '2024-01-31'),
+    "look_back_weeks": f"""WITH {USER_DAY}, recent AS (SELECT * FROM user_day WHERE d BETWEEN DATE '2024-01-05' AND DATE '2024-01-26'),
   {_daily('recent', 'new_cases')} SELECT country, week, round(w, 6) AS new_cases FROM weekly""",
     "diagnostics": f"""WITH {USER_DAY}, known AS (SELECT * FROM user_day WHERE new_deaths IS NOT NULL), {_daily('known', 'new_deaths')},
   stats AS (
@@ -360,14 +385,14 @@ ORACLES: dict[str, str] = {
     "silhouette_widths": f"""WITH {USER_DAY}, {_daily('user_day', 'daily_vaccinations')}, {FEATURES}, {STANDARD},
   labelled AS (SELECT *, CASE WHEN round(recent_mean, 9) > 0 THEN 1 ELSE 0 END AS cluster FROM standard),
   pairs AS (
-    SELECT a.country, a.cluster AS own, b.cluster AS other, sum(sqrt({' + '.join(f'(a.{c} - b.{c}) ** 2' for c in _FEATURE_NAMES)})) AS total, count(*) AS n
+    SELECT a.country, a.cluster AS own, b.cluster AS other, sum({' + '.join(f'(a.{c} - b.{c}) ** 2' for c in _FEATURE_NAMES)}) AS total, count(*) AS n
     FROM labelled a, labelled b GROUP BY 1, 2, 3),
   sides AS (
     SELECT country, own, max(CASE WHEN own = other THEN total / nullif(n - 1, 0) END) AS a, min(CASE WHEN own <> other THEN total / n END) AS b
     FROM pairs GROUP BY 1, 2)
   SELECT country, CAST(own AS INTEGER) AS cluster, round(coalesce((b - a) / nullif(greatest(a, b), 0), 0), 4) AS width FROM sides""",
     "cluster_report": f"""WITH {USER_DAY},
-  windowed AS (SELECT country, d, coalesce(daily_vaccinations, 0.0) AS v FROM user_day WHERE d BETWEEN DATE '2023-12-02' AND DATE '2024-01-31'),
+  windowed AS (SELECT country, d, coalesce(daily_vaccinations, 0.0) AS v FROM user_day WHERE d BETWEEN DATE '2024-01-02' AND DATE '2024-01-28'),
   {_daily('windowed', 'v')},
   stats AS (
     SELECT country, count(*) AS len, count(v) AS nnz, min(d) AS first, max(d) AS last,
@@ -399,6 +424,7 @@ ORACLES: dict[str, str] = {
         for i, a in enumerate(LINE_NUMBERS)
         for b in LINE_NUMBERS[i + 1 :]
     ),
-    "duplicate_rows": """SELECT count(*) AS n_rows, count(DISTINCT (l_suppkey, l_returnflag, l_linestatus)) AS n_distinct_rows,
-  count(*) - count(DISTINCT (l_suppkey, l_returnflag, l_linestatus)) AS n_duplicates FROM lineitem""",
+    "duplicate_rows": """SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_distinct_rows, CAST(sum(n - 1) AS BIGINT) AS n_duplicates
+  FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
+        l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)""",
 }

@@ -12,7 +12,7 @@ from daymart.functions.scalars import clamp_day, ordered_range
 from daymart.operators import annotations, canonical, clustering, features, forecast, patterns, profile, quantiles, series
 from daymart.operators import snapshots, tiers
 from daymart.operators.asof import enrich_mart
-from daymart.plans import cluster_run, metric_series
+from daymart.plans import cluster_run, metric_series, pattern_query
 from daymart.sources.sql import run_sql
 from daymart.sources.tables import clean_yearly
 from daymart.session import stage
@@ -50,9 +50,9 @@ def metric_series_long(spark, folder):
 
 
 def one_metric(spark, folder):
-    nations = [f"nation_{i}" for i in range(25)]
+    nations = [f"nation_{i}" for i in range(12)]
     return metric_series.metric_series(
-        v.nation_day(spark, folder), "new_deaths", "1995-01-01", "2001-12-31", nations
+        v.nation_day(spark, folder), "new_deaths", "1996-03-01", "1999-06-30", nations
     ).orderBy("country", "date")
 
 
@@ -60,7 +60,7 @@ def sql_series(spark, folder):
     return run_sql(
         spark,
         "SELECT country, d AS date, new_cases AS value FROM {mart} WHERE d BETWEEN :first AND :last",
-        {"first": "1995-01-01", "last": "2001-12-31"},
+        {"first": "1996-03-01", "last": "1999-06-30"},
         mart=v.nation_day(spark, folder),
     )
 
@@ -167,7 +167,7 @@ def tier_roster(spark, folder):
 
 
 def tier_series(spark, folder):
-    mart = stage(enriched(spark, folder).select("country", "d", GDP, CASES))
+    mart = enriched(spark, folder).select("country", "d", GDP, CASES)
     return rounded(tiers.tier_series(mart, tiers.tiers(mart), CASES), CASES, places=10)
 
 
@@ -185,7 +185,7 @@ def snapshot_correlation(spark, folder):
 
 
 def entity_extract(spark, folder):
-    named = [f"NATION_{i}" for i in range(25)]
+    named = [f"NATION_{i}" for i in range(12)]
     return snapshots.entity_series(v.nation_day(spark, folder), named, CASES)
 
 
@@ -194,13 +194,20 @@ def selected_entities(spark, folder):
     return snapshots.keep_selected(v.nation_day(spark, folder).select("country", "d", "new_cases"), chosen)
 
 
-def _joined(comments):
-    return F.array_join(F.transform(comments, lambda c: F.concat_ws("|", c["ts"].cast("string"), c["user"], c["text"])), ";")
+def annotation_docs(spark, folder):
+    return annotations.annotation_docs(v.topic_comments(spark, folder))
 
 
-def annotation_docs(spark, folder):
+def annotation_range(spark, folder):
+    """One key over some of its days."""
     docs = annotations.annotation_docs(v.topic_comments(spark, folder))
-    return docs.select("country", "date", "metric", "created_at", "n_comments", _joined(F.col("comments")).alias("comments_text"))
+    return annotations.read_annotations(docs, "click", "NEW_CASES", "2024-01-05", "2024-01-12")
+
+
+def annotated_comments(spark, folder):
+    """The comments that belong to the days of a series."""
+    days = metric_series.metric_series(v.user_day(spark, folder), "NEW_DEATHS")
+    return annotations.comment_rows(v.user_comments(spark, folder), days)
 
 
 def annotated_series(spark, folder):
@@ -215,12 +222,11 @@ def annotated_series(spark, folder):
         "value",
         F.col("annotation.created_at").alias("created_at"),
         F.col("annotation.n_comments").alias("n_comments"),
-        _joined(F.col("annotation.comments")).alias("comments_text"),
     )
 
 
 def exploded_docs(spark, folder):
-    return annotations.explode_docs(annotations.annotation_docs(v.user_comments(spark, folder)))
+    return annotations.comment_rows(v.user_comments(spark, folder))
 
 
 def latest_comments(spark, folder):
@@ -238,10 +244,20 @@ def comment_upserts(spark, folder):
 
 
 def comment_fanout(spark, folder):
-    accepted = annotations.accepted_requests(v.comment_requests(spark, folder), v.alias(spark, folder))
+    accepted = annotations.accepted_requests(v.comment_requests(spark, folder), v.alias(spark, folder), "1996-01-01", "2000-12-31")
     return accepted.groupBy("country", "date", "metric", "user", "text").agg(F.count(F.lit(1)).alias("n"))
 
 
+def comment_batches(spark, folder):
+    """Requests before a day and those from it on: what the second batch meets of the first."""
+    accepted = annotations.accepted_requests(v.comment_requests(spark, folder), v.alias(spark, folder), "1996-01-01", "2000-12-31")
+    early = F.col("date") < F.lit("1998-01-01").cast("date")
+    again = F.col("user").endswith("7")
+    first, second = accepted.where(early | again), accepted.where(~early)
+    counts = annotations.upsert_counts(first, second)
+    return counts.withColumn("accepted", second.agg(F.count(F.lit(1))).scalar())
+
+
 def densify_interpolate(spark, folder):
     return rounded(series.daily_interpolated(v.user_day(spark, folder), "new_deaths"), "new_deaths")
 
@@ -252,7 +268,7 @@ def weekly_mean(spark, folder):
 
 
 def look_back_weeks(spark, folder):
-    days = series.look_back(v.user_day(spark, folder), "2024-01-31", 30, "2024-01-01")
+    days = series.look_back(v.user_day(spark, folder), "2024-01-26", 30, "2024-01-05")
     return rounded(series.weekly_mean(series.daily_interpolated(days, "new_cases"), "new_cases"), "new_cases")
 
 
@@ -280,7 +296,7 @@ def standardized_features(spark, folder):
 
 
 def _run(spark, folder):
-    return cluster_run.cluster_entities(v.user_day(spark, folder), PRICE, "2024-01-31", 60)
+    return cluster_run.cluster_entities(v.user_day(spark, folder), PRICE, "2024-01-28", 60, "2024-01-02")
 
 
 def clusters(spark, folder):
@@ -334,7 +350,7 @@ def column_profile(spark, folder):
 
 
 def mart_profile(spark, folder):
-    mart = profile.infinities_to_null(stage(enriched(spark, folder)))
+    mart = profile.infinities_to_null(enriched(spark, folder))
     return rounded(profile.column_profile(mart), "mean", "std", "min_value", "max_value", "p25", "p50", "p75", places=4)
 
 
@@ -344,8 +360,7 @@ def value_quartiles(spark, folder):
 
 
 def top_values(spark, folder):
-    counted = profile.value_counts(v.table(spark, folder, "lineitem"), ["l_returnflag", "l_linestatus", "l_suppkey", "l_quantity"])
-    return profile.top_values(counted)
+    return profile.top_values(profile.value_counts(v.table(spark, folder, "lineitem")))
 
 
 def correlation_matrix(spark, folder):
@@ -353,7 +368,49 @@ def correlation_matrix(spark, folder):
 
 
 def duplicate_rows(spark, folder):
-    return profile.duplicate_rows(v.table(spark, folder, "lineitem").select("l_suppkey", "l_returnflag", "l_linestatus"))
+    return profile.duplicate_rows(v.table(spark, folder, "lineitem"))
+
+
+def chosen_entities(spark, folder):
+    """The caller's own first-n choice."""
+    days = v.nation_day(spark, folder).select("country", "d", "new_cases")
+    return snapshots.keep_selected(days, days.select("country"), max_entities=7)
+
+
+def pattern_request(spark, folder):
+    """Streaks of named entities in a range, with the caller's own length."""
+    named = [f"NATION_{i}" for i in range(12)]
+    return pattern_query.pattern_matches(v.nation_day(spark, folder), fixed.STREAKS, "1996-03-01", "1999-06-30", named, min_len=2)
+
+
+def spike_request(spark, folder):
+    """Every day of the range, spikes by the caller's own multiplier beside it."""
+    return pattern_query.pattern_overlay(
+        v.nation_day(spark, folder).select("country", "d", "new_cases"), fixed.SPIKES, "1996-03-01", "1999-06-30", multiplier=2.0
+    )
+
+
+def cluster_checks(spark, folder):
+    """What holds for any good partition: all entities are in it, each has its own mean as the nearest, and it
+    costs no more than splitting them by their recent mean."""
+    run = _run(spark, folder)
+    points = run.labels.select("country", "cluster", *features.FEATURES)
+    means = points.groupBy("cluster").agg(F.array(*[F.avg(c) for c in features.FEATURES]).alias("m"))
+    every = means.agg(F.collect_list(F.struct("cluster", "m"))).scalar()
+    point = F.array(*features.FEATURES)
+    away = F.transform("_means", lambda c: F.struct(F.aggregate(F.zip_with(point, c["m"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x).alias("far"), c["cluster"].alias("of")))
+    near = points.withColumn("_means", every).select("cluster", away.alias("_away"))
+    own = F.filter("_away", lambda x: x["of"] == F.col("cluster"))[0]["far"]
+    cost = near.agg(
+        F.count(F.lit(1)).alias("n_entities"),
+        F.sum((own > F.array_min(F.transform("_away", lambda x: x["far"])) + 1e-6).cast("long")).alias("misplaced"),
+        F.sum(own).alias("cost"),
+    )
+    half = points.withColumn("side", F.round("recent_mean", 9) > 0).groupBy("side").agg(
+        sum(F.var_pop(c) for c in features.FEATURES) * F.count(F.lit(1))
+    ).toDF("side", "part")
+    reference = half.agg(F.sum("part")).scalar()
+    return cost.select("n_entities", "misplaced", (F.col("cost") <= reference).alias("no_worse_than_halves"))
 
 
 def weekly_metric_series(spark, folder):
@@ -401,6 +458,9 @@ QUERIES: dict[str, Query] = {
     "comment_lines": comment_lines,
     "comment_upserts": comment_upserts,
     "comment_fanout": comment_fanout,
+    "comment_batches": comment_batches,
+    "annotation_range": annotation_range,
+    "annotated_comments": annotated_comments,
     "densify_interpolate": densify_interpolate,
     "weekly_mean": weekly_mean,
     "weekly_metric_series": weekly_metric_series,
@@ -409,6 +469,7 @@ QUERIES: dict[str, Query] = {
     "features": feature_table,
     "standardized_features": standardized_features,
     "clusters": clusters,
+    "cluster_checks": cluster_checks,
     "pca_points": pca_points,
     "silhouette": silhouette,
     "silhouette_widths": silhouette_widths,
@@ -421,4 +482,7 @@ QUERIES: dict[str, Query] = {
     "top_values": top_values,
     "correlation_matrix": correlation_matrix,
     "duplicate_rows": duplicate_rows,
+    "chosen_entities": chosen_entities,
+    "pattern_request": pattern_request,
+    "spike_request": spike_request,
 }
