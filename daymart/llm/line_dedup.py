@@ -89,8 +89,8 @@ def signed_lines(docs: DataFrame, threshold: Fraction) -> DataFrame:
     size = F.size("keys")
     bits = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
     prefix = F.slice("keys", 1, size - at_least(threshold, size) + 1)
-    # A word that occurs once meets nobody; position and word go on as one number, which sorts by word.
-    placed = F.filter(F.transform(prefix, lambda k, i: F.struct(k.bitwiseAND(0x7FFFFFFF).cast("int").alias("word"), i.cast("int").alias("place"), (F.shiftright(k, HASH_BITS) > 0).alias("twice"))), lambda p: p["twice"])
+    # A word that occurs once meets nobody: -1 keeps the places of those after it.
+    words = F.transform(prefix, lambda k: F.when(F.shiftright(k, HASH_BITS) > 0, k.bitwiseAND(0x7FFFFFFF)).otherwise(-1).cast("int"))
     return keyed.where(size > 0).select(
         "row_key",
         "id",
@@ -99,7 +99,7 @@ def signed_lines(docs: DataFrame, threshold: Fraction) -> DataFrame:
         F.xxhash64("keys", F.lit(1)).alias("h2"),
         size.alias("size"),
         bits.alias("bits"),
-        F.transform(placed, lambda p: F.struct(p["word"].alias("word"), p["place"].alias("place"))).alias("prefix"),
+        words.alias("prefix"),
     )
 
 
@@ -123,28 +123,29 @@ def may_match(a: str, b: str, threshold: Fraction, meet: bool) -> Column:
 
 def matched_lines(classes: DataFrame, docs: DataFrame, threshold: Fraction) -> DataFrame:
     """``row_key, number`` of class leaders that resemble an earlier leader."""
-    words = classes.select(
-        "row_key", "id", "number", "size", "bits", F.explode("prefix").alias("p")
-    ).select("row_key", "id", "number", "size", "bits", "p.word", "p.place")
+    words = classes.select("row_key", "id", "number", "size", "bits", F.posexplode("prefix").alias("place", "word")).where("word >= 0")
+    # Both sides of the join and the window before it deal out the same rows by word: one shuffle serves all.
     order = Window.partitionBy("word").orderBy("id", "number", "row_key")
-    own = F.struct("row_key", "id", "number", "size", "bits", "place")
-    grouped = words.select("word", own.alias("y"), F.first(own).over(order).alias("lead"))
-    held = grouped.withColumn("like_lead", F.col("y.row_key").isNotNull() & (F.col("y") != F.col("lead")) & may_match("y", "lead", threshold, False))
-    with_lead = held.where("like_lead").select("y.row_key", "y.number", F.col("lead.row_key").alias("x_key"), F.col("lead.number").alias("x_number"))
-    alone = held.where(~F.col("like_lead")).select("word", "y")
-    every = words.select("word", own.alias("x"))
+    fields = ("row_key", "id", "number", "size", "bits")
+    held = words.select("*", F.struct(*[F.first(c).over(order).alias(c) for c in fields]).alias("lead")).alias("y")
+    is_lead = (F.col("y.row_key") == F.col("lead.row_key")) & (F.col("y.number") == F.col("lead.number"))
+    held = held.withColumn("like_lead", ~is_lead & may_match("y", "lead", threshold, False))
+    names = [F.col("y.row_key").alias("row_key"), F.col("y.number").alias("number")]
+    with_lead = held.where("like_lead").select("row_key", "number", F.col("lead.row_key").alias("x_key"), F.col("lead.number").alias("x_number"))
     meeting = earlier("x", "y") & may_match("x", "y", threshold, True)
 
     def pairs(some: DataFrame) -> DataFrame:
-        found = some.join(every, "word").where(meeting)
-        return found.select("y.row_key", "y.number", F.col("x.row_key").alias("x_key"), F.col("x.number").alias("x_number"))
+        found = some.alias("y").join(words.alias("x"), F.col("y.word") == F.col("x.word")).where(meeting)
+        return found.select(*names, F.col("x.row_key").alias("x_key"), F.col("x.number").alias("x_number"))
 
+    alone = held.where("not like_lead").drop("lead", "like_lead")
     candidates = stage(with_lead.withColumn("by_lead", F.lit(True)).unionByName(pairs(alone).withColumn("by_lead", F.lit(False))).distinct())
     confirmed = stage(verified(candidates, docs, threshold))
     # Classes that only seemed to resemble a lead go through the whole join.
-    left = candidates.where("by_lead").select("row_key", "number").distinct().join(confirmed, ["row_key", "number"], "left_anti")
-    again = words.join(left, ["row_key", "number"], "left_semi").select("word", own.alias("y"))
-    rest = verified(pairs(again).distinct(), docs, threshold)
+    left = stage(candidates.where("by_lead").select("row_key", "number").distinct().join(confirmed, ["row_key", "number"], "left_anti"))
+    if left.limit(1).count() == 0:
+        return confirmed
+    rest = verified(stage(pairs(words.join(left, ["row_key", "number"], "left_semi")).distinct()), docs, threshold)
     return confirmed.unionByName(rest).distinct()
 
 
