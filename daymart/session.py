@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(app: str = "daymart", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution and skew handling on.
@@ -46,8 +48,16 @@ def stage(df: DataFrame) -> DataFrame:
     one computation. The stored files also tell Spark the true size: a join with a staged table is
     broadcast when it is below the broadcast threshold and shuffled when it is not, while the
     estimate for a table that came out of joins is far too high to choose by.
+
+    Nothing goes back behind a stored step, so its shuffle files are dropped as soon as it is written;
+    a chain of steps then needs the disk of its largest one.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
