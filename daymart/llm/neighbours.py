@@ -27,7 +27,9 @@ from daymart.session import stage
 #: Neighbours of a node, nearest of those that name it, rounds of descent, projections, nodes in a block.
 NEIGHBOURS, NAMED_BY, DESCENTS, PROJECTIONS, BLOCK = 32, 32, 4, 2, 256
 #: Beam of a query, nodes it opens in a round, most rounds, found nodes that are scored exactly.
-BEAM, OPENED, ROUNDS, RESCORED = 256, 64, 16, 64
+BEAM, OPENED, ROUNDS, RESCORED = 256, 128, 16, 64
+#: Nodes or queries that a task of a round takes on.
+IN_TASK = 1000
 SEED = 11
 GRAPH = "node long, code binary, ids binary, sims binary"
 GRAPH_ARROW = pa.schema([("node", pa.int64()), ("code", pa.binary()), ("ids", pa.binary()), ("sims", pa.binary())])
@@ -85,7 +87,12 @@ def clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return kept.where(F.size("vector") == lengths.select("n").scalar()).distinct()
 
 
-def merged(rows: DataFrame) -> DataFrame:
+def dealt(rows: DataFrame, key: str, parts: int) -> DataFrame:
+    """Rows of a key together, in as many tasks as the number of nodes asks for."""
+    return rows.repartitionById(parts, F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).sortWithinPartitions(key)
+
+
+def merged(rows: DataFrame, parts: int) -> DataFrame:
     """One graph row for each node from its own row (with a code) and rows of new neighbours."""
 
     def merging(batches):
@@ -108,10 +115,10 @@ def merged(rows: DataFrame) -> DataFrame:
 
         yield from in_batches(joined())
 
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(merging, GRAPH)
+    return dealt(rows, "node", parts).mapInArrow(merging, GRAPH)
 
 
-def first_graph(nodes: DataFrame, count: int) -> DataFrame:
+def first_graph(nodes: DataFrame, count: int, parts: int) -> DataFrame:
     """Neighbours within blocks of nodes that projections put side by side."""
     bits = max(0, math.ceil(math.log2(max(count, 1) / BLOCK)))
     bare = nodes.select("node", "code", F.lit(b"").alias("ids"), F.lit(b"").alias("sims"))
@@ -156,7 +163,7 @@ def first_graph(nodes: DataFrame, count: int) -> DataFrame:
 
         placed = nodes.mapInArrow(placing, "node long, code binary, cell long, along double")
         rows = rows.unionByName(placed.orderBy("cell", "along", "node").select("node", "code").mapInArrow(blocking, GRAPH))
-    return merged(rows)
+    return merged(rows, parts)
 
 
 def named(graph: DataFrame) -> DataFrame:
@@ -182,7 +189,7 @@ def meetings(graph: DataFrame) -> DataFrame:
     return edges.select(F.col("node").alias("at"), F.col("other").alias("node")).unionByName(back.select(F.col("other").alias("at"), "node"))
 
 
-def sent(graph: DataFrame, buckets: int, with_edge: bool) -> DataFrame:
+def sent(graph: DataFrame, buckets: int) -> DataFrame:
     """Codes on their way to the buckets of the nodes where they meet: a code goes to a bucket once for
     each batch of rows, however many of its meetings are there."""
     codes = graph.select("node", "code", F.col("sims"))
@@ -270,20 +277,24 @@ def descended(graph: DataFrame, buckets: int) -> DataFrame:
             (int(a[x]), None, b[x:y].tobytes(), s[x:y].astype(np.float32).tobytes()) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)
         )
 
-    return merged(graph.unionByName(sent(graph, buckets, True).mapInArrow(meeting, GRAPH)))
+    return merged(graph.unionByName(sent(graph, buckets).mapInArrow(meeting, GRAPH)), buckets)
 
 
 def build(nodes: DataFrame, count: int) -> DataFrame:
     """The graph of ``nodes`` (node, code): for each node its neighbours and similarities, nearest first.
     Every round is written to the shared folder."""
-    buckets = tiles.bucket_count(nodes)
-    graph = stage(first_graph(nodes, count))
+    parts = parts_for(count)
+    graph = stage(first_graph(nodes, count, parts))
     for _ in range(DESCENTS):
-        graph = stage(descended(graph, buckets))
+        graph = stage(descended(graph, parts))
     return graph
 
 
-def walkable(graph: DataFrame) -> str:
+def parts_for(count: int) -> int:
+    return max(1, math.ceil(count / IN_TASK))
+
+
+def walkable(graph: DataFrame, parts: int) -> str:
     """Store each node with the codes of all it is linked to, bucketed by node; gives the table's name."""
     buckets = tiles.bucket_count(graph)
 
@@ -304,7 +315,7 @@ def walkable(graph: DataFrame) -> str:
             yield graph_batch(rows)
 
     name = f"neighbour_graph_{uuid.uuid4().hex}"
-    linked = sent(graph, buckets, False).mapInArrow(gathering, GRAPH).select("node", F.col("code").alias("codes"), "ids")
+    linked = sent(graph, parts).mapInArrow(gathering, GRAPH).select("node", F.col("code").alias("codes"), "ids")
     linked.repartition(buckets, "node").write.bucketBy(buckets, "node").format("parquet").saveAsTable(name)
     return name
 
@@ -313,7 +324,7 @@ STATE = "query long, code binary, ids binary, sims binary, opened binary"
 STATE_ARROW = pa.schema([("query", pa.int64()), ("code", pa.binary()), ("ids", pa.binary()), ("sims", pa.binary()), ("opened", pa.binary())])
 
 
-def walked(states: DataFrame, table: str) -> DataFrame:
+def walked(states: DataFrame, table: str, parts: int) -> DataFrame:
     """One round of all queries: open nodes, look at what they are linked to, keep the best beam."""
     spark = states.sparkSession
 
@@ -383,7 +394,7 @@ def walked(states: DataFrame, table: str) -> DataFrame:
     frontier = states.mapInArrow(opening, "node long, query long, code binary, least float")
     at = frontier.join(spark.table(table), "node").select("query", "code", "least", "codes", "ids")
     rows = states.unionByName(at.mapInArrow(looking, STATE))
-    return rows.repartition("query").sortWithinPartitions("query").mapInArrow(keeping, STATE)
+    return dealt(rows, "query", parts).mapInArrow(keeping, STATE)
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -416,7 +427,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
 
     nodes = stage(classes.select("node", "vector").mapInArrow(coding, "node long, code binary"))
     graph = build(nodes, count)
-    table = walkable(graph)
+    parts = parts_for(count)
+    table = walkable(graph, parts)
     asking = rows.where(is_query(F.col("id"))).join(classes, "vector").select(F.col("id").alias("query"), "node", "vector")
 
     def starting(batches):
@@ -434,7 +446,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     begun = asking.select("query", "node").join(graph, "node").select("query", "node", "code", "ids", "sims")
     states = stage(begun.mapInArrow(starting, STATE))
     for _ in range(ROUNDS):
-        states = stage(walked(states, table))
+        states = stage(walked(states, table, parts))
         # A byte 0 marks a node of a beam that is not open yet.
         if states.where(F.instr(F.hex("opened"), "00") % 2 == 1).limit(1).count() == 0:
             break
