@@ -13,7 +13,7 @@ every task. Any fixed order makes the filters exact, a good one makes them sharp
 Lines with equal sets are one class with its first line, found by a map-side minimum. Classes that share
 a word meet in the group of that word. There a class is first held against the group's earliest line
 alone; only classes that do not resemble it are joined with all earlier ones, so a large family of near
-copies makes as many pairs as it has members. Pairs are verified on the words themselves, and a class
+copies makes as many pairs as it has members. Pairs are verified on all words (as 64-bit hashes), and a class
 whose resemblance to the earliest line was not confirmed is joined with all earlier ones after all.
 """
 
@@ -105,12 +105,16 @@ def signed_lines(docs: DataFrame, threshold: Fraction) -> DataFrame:
 
 def earlier(a: str, b: str) -> Column:
     """Whether line a stands before line b; a null id stands first."""
-    return F.struct(f"{a}.id", f"{a}.number", f"{a}.row_key") < F.struct(f"{b}.id", f"{b}.number", f"{b}.row_key")
+    return F.struct(f"{a}.id", f"{a}.spot", f"{a}.row_key") < F.struct(f"{b}.id", f"{b}.spot", f"{b}.row_key")
+
+
+def number_of(spot: str) -> Column:
+    return F.shiftright(F.col(spot), 32).cast("int")
 
 
 def may_match(a: str, b: str, threshold: Fraction, meet: bool) -> Column:
     """Length, position and signature filters for two lines that share a prefix word."""
-    n, m = F.col(f"{a}.size"), F.col(f"{b}.size")
+    n, m = (F.col(f"{x}.spot").bitwiseAND(0xFFFFFFFF).cast("int") for x in (a, b))
     least, most = F.least(n, m), F.greatest(n, m)
     need = at_least(threshold / (1 + threshold), n + m)
     fits = least >= at_least(threshold, most)
@@ -123,20 +127,23 @@ def may_match(a: str, b: str, threshold: Fraction, meet: bool) -> Column:
 
 def matched_lines(classes: DataFrame, docs: DataFrame, threshold: Fraction) -> DataFrame:
     """``row_key, number`` of class leaders that resemble an earlier leader."""
-    words = classes.select("row_key", "id", "number", "size", "bits", F.posexplode("prefix").alias("place", "word")).where("word >= 0")
+    # Line number and size travel as one number.
+    spot = F.shiftleft(F.col("number").cast("long"), 32).bitwiseOR(F.col("size").cast("long")).alias("spot")
+    words = classes.select("row_key", "id", spot, "bits", F.posexplode("prefix").alias("place", "word")).where("word >= 0")
     # Both sides of the join and the window before it deal out the same rows by word: one shuffle serves all.
-    order = Window.partitionBy("word").orderBy("id", "number", "row_key")
-    fields = ("row_key", "id", "number", "size", "bits")
+    order = Window.partitionBy("word").orderBy("id", "spot", "row_key")
+    fields = ("row_key", "id", "spot", "bits")
     held = words.select("*", F.struct(*[F.first(c).over(order).alias(c) for c in fields]).alias("lead")).alias("y")
-    is_lead = (F.col("y.row_key") == F.col("lead.row_key")) & (F.col("y.number") == F.col("lead.number"))
+    is_lead = (F.col("y.row_key") == F.col("lead.row_key")) & (F.col("y.spot") == F.col("lead.spot"))
     held = held.withColumn("like_lead", ~is_lead & may_match("y", "lead", threshold, False))
-    names = [F.col("y.row_key").alias("row_key"), F.col("y.number").alias("number")]
-    with_lead = held.where("like_lead").select("row_key", "number", F.col("lead.row_key").alias("x_key"), F.col("lead.number").alias("x_number"))
+    with_lead = held.where("like_lead").select("row_key", number_of("spot").alias("number"), F.col("lead.row_key").alias("x_key"), number_of("lead.spot").alias("x_number"))
     meeting = earlier("x", "y") & may_match("x", "y", threshold, True)
 
     def pairs(some: DataFrame) -> DataFrame:
         found = some.alias("y").join(words.alias("x"), F.col("y.word") == F.col("x.word")).where(meeting)
-        return found.select(*names, F.col("x.row_key").alias("x_key"), F.col("x.number").alias("x_number"))
+        return found.select(
+            F.col("y.row_key").alias("row_key"), number_of("y.spot").alias("number"), F.col("x.row_key").alias("x_key"), number_of("x.spot").alias("x_number")
+        )
 
     alone = held.where("not like_lead").drop("lead", "like_lead")
     candidates = stage(with_lead.withColumn("by_lead", F.lit(True)).unionByName(pairs(alone).withColumn("by_lead", F.lit(False))).distinct())
@@ -145,7 +152,7 @@ def matched_lines(classes: DataFrame, docs: DataFrame, threshold: Fraction) -> D
     left = stage(candidates.where("by_lead").select("row_key", "number").distinct().join(confirmed, ["row_key", "number"], "left_anti"))
     if left.limit(1).count() == 0:
         return confirmed
-    rest = verified(stage(pairs(words.join(left, ["row_key", "number"], "left_semi")).distinct()), docs, threshold)
+    rest = verified(stage(pairs(words.join(left.select("row_key", F.col("number").alias("_n")), (words["row_key"] == left["row_key"]) & (number_of("spot") == F.col("_n")), "left_semi")).distinct()), docs, threshold)
     return confirmed.unionByName(rest).distinct()
 
 
@@ -157,7 +164,8 @@ def verified(candidates: DataFrame, docs: DataFrame, threshold: Fraction) -> Dat
     numbers = wanted.groupBy("row_key").agg(F.collect_list("number").alias("numbers"))  # at most the lines of a document
     own = docs.select(F.xxhash64("id", text).alias("row_key"), text.alias("text"))
     found = own.join(numbers, "row_key").select("row_key", F.explode("numbers").alias("number"), F.split(plain_text(F.col("text")), "\n", -1).alias("lines"))
-    sets = stage(found.select("row_key", "number", words_of(F.get("lines", F.col("number"))).alias("words")).dropDuplicates(["row_key", "number"]))
+    hashes = F.transform(words_of(F.get("lines", F.col("number"))), lambda w: F.xxhash64(w))
+    sets = stage(found.select("row_key", "number", hashes.alias("words")).dropDuplicates(["row_key", "number"]))
     others = sets.select(F.col("row_key").alias("x_key"), F.col("number").alias("x_number"), F.col("words").alias("x_words"))
     both = candidates.join(sets, ["row_key", "number"]).join(others, ["x_key", "x_number"])
     shared = F.size(F.array_intersect("words", "x_words"))
