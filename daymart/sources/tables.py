@@ -52,6 +52,13 @@ def read_csv_trimmed(spark: SparkSession, path: str) -> DataFrame:
     return raw.toDF(*[c.strip() for c in raw.columns])
 
 
+def csv_rows(lines: DataFrame, header: str, column: str = "value") -> DataFrame:
+    """Rows of CSV lines that are already in a column, all text, blanks around headings removed."""
+    names = [name.strip() for name in header.split(",")]
+    parsed = F.from_csv(column, ", ".join(f"`{name}` STRING" for name in names))
+    return lines.select(parsed.alias("row")).select("row.*")
+
+
 def drop_serial(df: DataFrame) -> DataFrame:
     """Without the first serial-number column that is present, under any of its spellings."""
     for name in SERIAL_COLUMNS:
@@ -80,6 +87,11 @@ def read_yearly_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_wide_csv(spark: SparkSession, path: str) -> DataFrame:
     """The yearly table from a file with a column per year, as it stands: (country, <year>, ...)."""
-    wide = drop_serial(read_csv_trimmed(spark, path)).withColumnRenamed("Country", "country")
+    return wide_numbers(read_csv_trimmed(spark, path))
+
+
+def wide_numbers(raw: DataFrame) -> DataFrame:
+    """(country, <year>, ...) from text columns."""
+    wide = drop_serial(raw).withColumnRenamed("Country", "country")
     years = [c for c in wide.columns if c != "country"]
     return wide.select("country", *[lenient_double(F.col(f"`{c}`")).alias(c) for c in years])

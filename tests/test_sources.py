@@ -31,6 +31,16 @@ def mart(spark):
     return spark.createDataFrame(rows, "country string, d date, new_cases double, new_cases_per_100k double")
 
 
+def test_a_large_year_is_written_by_several_tasks(spark, tmp_path):
+    year = spark.range(4_000).selectExpr("concat('c', id % 40) country", "date_add(date'2020-01-01', int(id / 40)) d", "double(id) new_cases")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert sinks.write_mart(year, str(tmp_path / "mart")) == 4_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(list((tmp_path / "mart" / "year=2020").glob("*.parquet"))) > 4
+
+
 def test_mart_round_trip_prunes(spark, mart, tmp_path):
     path = str(tmp_path / "mart")
     assert sinks.write_mart(mart, path) == 18

@@ -252,6 +252,8 @@ ORACLES: dict[str, str] = {
   SELECT country, CAST(y AS INTEGER) AS year, value FROM spans LEFT JOIN lasts USING (country, y)""",
     "melt_years": f"WITH {NATION_YEAR} SELECT country, year, gdp_ppp_per_capita FROM nation_year",
     "yearly_clean": f"WITH {NATION_YEAR} SELECT country, year, gdp_ppp_per_capita FROM nation_year WHERE gdp_ppp_per_capita IS NOT NULL",
+    "yearly_csv": f"WITH {NATION_YEAR} SELECT country, year, gdp_ppp_per_capita FROM nation_year",
+    "wide_csv": f"WITH {NATION_YEAR} SELECT country, year, gdp_ppp_per_capita FROM nation_year",
     "yearly_last": f"""WITH {NATION_DAY}, lasts AS (
     SELECT country, year(d) AS y, arg_max(new_deaths, d) AS v FROM nation_day WHERE new_deaths IS NOT NULL GROUP BY 1, 2),
   spans AS (SELECT country, unnest(generate_series(min(y), max(y))) AS y FROM lasts GROUP BY 1)

@@ -14,7 +14,7 @@ from daymart.operators import snapshots, tiers
 from daymart.operators.asof import enrich_mart
 from daymart.plans import cluster_run, metric_series, pattern_query
 from daymart.sources.sql import run_sql
-from daymart.sources.tables import clean_yearly
+from daymart.sources.tables import clean_yearly, csv_rows, wide_numbers
 from daymart.session import stage
 from workload import views as v
 
@@ -118,6 +118,23 @@ def yearly_clean(spark, folder):
     return clean_yearly(v.yearly_text(spark, folder))
 
 
+def _lines(df):
+    return df.select(F.to_csv(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value"))
+
+
+def yearly_csv(spark, folder):
+    """The yearly file line by line, with padded headings and every kind of unreadable cell."""
+    return clean_yearly(csv_rows(_lines(v.yearly_text(spark, folder)), " Sr.No ,Country , Year, GDP_PPP_Per_Capita "))
+
+
+def wide_csv(spark, folder):
+    """The file with a column per year line by line, then a row per year."""
+    wide = v.yearly_wide(spark, folder)
+    header = "S No, " + " , ".join("Country" if c == "country" else c for c in wide.columns)
+    numbered = wide.select(F.lit("1").alias("S No"), "*")
+    return snapshots.melt_years(wide_numbers(csv_rows(_lines(numbered), header)), ["country"])
+
+
 def yearly_last(spark, folder):
     return series.yearly_last(v.nation_day(spark, folder), "new_deaths", day="d")
 
@@ -433,6 +450,8 @@ QUERIES: dict[str, Query] = {
     "gdp_bars": gdp_bars,
     "melt_years": melt_years,
     "yearly_clean": yearly_clean,
+    "yearly_csv": yearly_csv,
+    "wide_csv": wide_csv,
     "yearly_last": yearly_last,
     "rising_streaks": rising_streaks,
     "spike_days": spike_days,
