@@ -158,4 +158,17 @@ SELECT doc_id, size, source_size, target,
 FROM again LEFT JOIN nearest ON again.source IS NOT DISTINCT FROM nearest.source
 """
 
-ORACLES: dict[str, str] = {"op10_source_mix": OP10}
+#: Every window of 35 words by itself, counted, and the words of those that occur twice or more taken out.
+OP6 = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+hashed AS (SELECT r, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS k FROM windows),
+twice AS (SELECT r, i FROM hashed QUALIFY count(*) OVER (PARTITION BY k) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM twice),
+words AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op6_repeated_passages": OP6, "op10_source_mix": OP10}
