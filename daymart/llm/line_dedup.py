@@ -50,7 +50,8 @@ def cell_of(word_hash: Column) -> Column:
 
 def rarity(lines: DataFrame) -> DataFrame:
     """One row with one array: for each cell the logarithm of its words' count in steps."""
-    words = lines.select(F.explode(words_of(F.col("line"))).alias("word"))
+    # The outer form keeps the optimizer from splitting each line once more to ask whether it has words.
+    words = lines.select(F.explode_outer(words_of(F.col("line"))).alias("word")).where(F.col("word").isNotNull())
     counts = words.groupBy(cell_of(F.xxhash64("word")).alias("cell")).agg(F.count("*").alias("n"))
     low = counts.select(F.shiftright("cell", SIDE).alias("row"), F.col("cell").bitwiseAND((1 << SIDE) - 1).alias("place"), F.ceil(STEPS * F.log2("n")).cast("int").alias("step"))
     rows = low.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("place", "step"))).alias("steps"))
@@ -75,6 +76,7 @@ def signed_lines(docs: DataFrame, threshold: Fraction) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = docs.select(F.xxhash64("id", text).alias("row_key"), "id", F.posexplode(F.split(plain_text(text), "\n", -1)).alias("number", "line"))
+    lines = lines.where(F.trim("line") != "")
     steps = rarity(lines).scalar()
     low = (1 << HASH_BITS) - 1
 
@@ -91,7 +93,7 @@ def signed_lines(docs: DataFrame, threshold: Fraction) -> DataFrame:
     prefix = F.slice("keys", 1, size - at_least(threshold, size) + 1)
     # A word that occurs once meets nobody: -1 keeps the places of those after it.
     words = F.transform(prefix, lambda k: F.when(F.shiftright(k, HASH_BITS) > 0, k.bitwiseAND(0x7FFFFFFF)).otherwise(-1).cast("int"))
-    return keyed.where(size > 0).select(
+    return keyed.select(
         "row_key",
         "id",
         "number",
@@ -130,29 +132,41 @@ def matched_lines(classes: DataFrame, docs: DataFrame, threshold: Fraction) -> D
     # Line number and size travel as one number.
     spot = F.shiftleft(F.col("number").cast("long"), 32).bitwiseOR(F.col("size").cast("long")).alias("spot")
     words = classes.select("row_key", "id", spot, "bits", F.posexplode("prefix").alias("place", "word")).where("word >= 0")
-    # Both sides of the join and the window before it deal out the same rows by word: one shuffle serves all.
+    # Nothing here is null; saying so keeps both sides of the join alike, so that one shuffle by word serves
+    # the window and the join.
+    words = words.where("bits is not null and spot is not null")
     order = Window.partitionBy("word").orderBy("id", "spot", "row_key")
     fields = ("row_key", "id", "spot", "bits")
     held = words.select("*", F.struct(*[F.first(c).over(order).alias(c) for c in fields]).alias("lead")).alias("y")
     is_lead = (F.col("y.row_key") == F.col("lead.row_key")) & (F.col("y.spot") == F.col("lead.spot"))
     held = held.withColumn("like_lead", ~is_lead & may_match("y", "lead", threshold, False))
-    with_lead = held.where("like_lead").select("row_key", number_of("spot").alias("number"), F.col("lead.row_key").alias("x_key"), number_of("lead.spot").alias("x_number"))
     meeting = earlier("x", "y") & may_match("x", "y", threshold, True)
 
-    def pairs(some: DataFrame) -> DataFrame:
-        found = some.alias("y").join(words.alias("x"), F.col("y.word") == F.col("x.word")).where(meeting)
-        return found.select(
-            F.col("y.row_key").alias("row_key"), number_of("y.spot").alias("number"), F.col("x.row_key").alias("x_key"), number_of("x.spot").alias("x_number")
-        )
-
-    alone = held.where("not like_lead").drop("lead", "like_lead")
-    candidates = stage(with_lead.withColumn("by_lead", F.lit(True)).unionByName(pairs(alone).withColumn("by_lead", F.lit(False))).distinct())
+    def pairs(some: DataFrame, how: str, only: Column) -> DataFrame:
+        return some.alias("y").join(words.alias("x"), (F.col("y.word") == F.col("x.word")) & only & meeting, how)
+
+    def pair(key: str, spot: str) -> list[Column]:
+        own = [F.col("y.row_key").alias("row_key"), number_of("y.spot").alias("number")]
+        return [*own, F.col(key).alias("x_key"), number_of(spot).alias("x_number")]
+
+    # A row that resembles its lead meets nobody else: the outer join keeps it as it is.
+    met = pairs(held, "left", ~F.col("y.like_lead"))
+    lead = F.col("y.like_lead")
+    by_lead = met.where(lead | F.col("x.row_key").isNotNull()).select(
+        F.col("y.row_key").alias("row_key"),
+        number_of("y.spot").alias("number"),
+        F.when(lead, F.col("y.lead.row_key")).otherwise(F.col("x.row_key")).alias("x_key"),
+        F.when(lead, number_of("y.lead.spot")).otherwise(number_of("x.spot")).alias("x_number"),
+        lead.alias("by_lead"),
+    )
+    candidates = stage(by_lead.distinct())
     confirmed = stage(verified(candidates, docs, threshold))
     # Classes that only seemed to resemble a lead go through the whole join.
     left = stage(candidates.where("by_lead").select("row_key", "number").distinct().join(confirmed, ["row_key", "number"], "left_anti"))
     if left.limit(1).count() == 0:
         return confirmed
-    rest = verified(stage(pairs(words.join(left.select("row_key", F.col("number").alias("_n")), (words["row_key"] == left["row_key"]) & (number_of("spot") == F.col("_n")), "left_semi")).distinct()), docs, threshold)
+    again = words.join(left.select("row_key", F.col("number").alias("_n")), (words["row_key"] == left["row_key"]) & (number_of("spot") == F.col("_n")), "left_semi")
+    rest = verified(stage(pairs(again, "inner", F.lit(True)).select(*pair("x.row_key", "x.spot")).distinct()), docs, threshold)
     return confirmed.unionByName(rest).distinct()
 
 
