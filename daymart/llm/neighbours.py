@@ -3,7 +3,7 @@
 Equal vectors are one node. Random projections put nodes in order, and blocks of that order give each
 node its first neighbours. Each round of the descent then joins every node's neighbours with each other:
 nodes send their codes to where their neighbours meet, pairs that are nearer than a node's furthest
-neighbour come back, and each node keeps the nearest. A query walks the finished graph from its own
+neighbour come back, and each node keeps the nearest, until next to no list changes any more. A query walks the finished graph from its own
 node: in each round it opens the nearest nodes of its beam that are not open yet, all queries at once in
 one join with the graph. What is found is scored again on the original vectors in double precision.
 
@@ -24,15 +24,18 @@ from pyspark.sql import functions as F
 from daymart.llm import tiles
 from daymart.session import stage
 
-#: Neighbours of a node, nearest of those that name it, rounds of descent, projections, nodes in a block.
-NEIGHBOURS, NAMED_BY, DESCENTS, PROJECTIONS, BLOCK = 32, 32, 4, 2, 256
-#: Beam of a query, nodes it opens in a round, most rounds, found nodes that are scored exactly.
-BEAM, OPENED, ROUNDS, RESCORED = 256, 128, 16, 64
+#: Neighbours of a node, nearest of those that name it, projections, nodes in a block.
+NEIGHBOURS, NAMED_BY, PROJECTIONS, BLOCK = 32, 32, 2, 256
+#: The descent ends after a round in which at most this share of all neighbours is new.
+SETTLED = 0.01
+#: Beam of a query, nodes it opens in a round, found nodes that are scored exactly.
+BEAM, OPENED, RESCORED = 256, 128, 64
 #: Nodes or queries that a task of a round takes on.
 IN_TASK = 1000
 SEED = 11
-GRAPH = "node long, code binary, ids binary, sims binary"
-GRAPH_ARROW = pa.schema([("node", pa.int64()), ("code", pa.binary()), ("ids", pa.binary()), ("sims", pa.binary())])
+#: ``fresh``: how many of the neighbours the last round found.
+GRAPH = "node long, code binary, ids binary, sims binary, fresh int"
+GRAPH_ARROW = pa.schema([("node", pa.int64()), ("code", pa.binary()), ("ids", pa.binary()), ("sims", pa.binary()), ("fresh", pa.int32())])
 
 
 def encode(vectors: np.ndarray, largest: float) -> list[bytes]:
@@ -97,21 +100,23 @@ def merged(rows: DataFrame, parts: int) -> DataFrame:
 
     def merging(batches):
         def joined():
-            at, code, ids, sims = None, None, [], []
-            for node, own, more, near in rows_of(batches):
+            at, code, had, ids, sims = None, None, b"", [], []
+            for node, own, more, near, _ in rows_of(batches):
                 if node != at:
                     if code is not None:
-                        yield finished(at, code, ids, sims)
-                    at, code, ids, sims = node, None, [], []
-                code = own if own is not None else code
+                        yield finished(at, code, had, ids, sims)
+                    at, code, had, ids, sims = node, None, b"", [], []
+                if own is not None:
+                    code, had = own, more
                 ids.append(np.frombuffer(more, np.int64))
                 sims.append(np.frombuffer(near, np.float32))
             if code is not None:
-                yield finished(at, code, ids, sims)
+                yield finished(at, code, had, ids, sims)
 
-        def finished(node, code, ids, sims):
+        def finished(node, code, had, ids, sims):
             best, near = nearest(np.concatenate(ids), np.concatenate(sims), NEIGHBOURS)
-            return node, code, best.tobytes(), near.tobytes()
+            fresh = len(best) - int(np.isin(best, np.frombuffer(had, np.int64)).sum())
+            return node, code, best.tobytes(), near.tobytes(), fresh
 
         yield from in_batches(joined())
 
@@ -121,7 +126,7 @@ def merged(rows: DataFrame, parts: int) -> DataFrame:
 def first_graph(nodes: DataFrame, count: int, parts: int) -> DataFrame:
     """Neighbours within blocks of nodes that projections put side by side."""
     bits = max(0, math.ceil(math.log2(max(count, 1) / BLOCK)))
-    bare = nodes.select("node", "code", F.lit(b"").alias("ids"), F.lit(b"").alias("sims"))
+    bare = nodes.select("node", "code", F.lit(b"").alias("ids"), F.lit(b"").alias("sims"), F.lit(0).alias("fresh"))
     rows = bare
     for turn in range(PROJECTIONS):
 
@@ -159,7 +164,7 @@ def first_graph(nodes: DataFrame, count: int, parts: int) -> DataFrame:
             most = min(NEIGHBOURS, len(block) - 1)
             best = np.argpartition(-sims, most - 1, axis=1)[:, :most]
             for name, own, near in zip(names.tolist(), best, np.take_along_axis(sims, best, 1), strict=True):
-                yield name, None, names[own].tobytes(), near.astype(np.float32).tobytes()
+                yield name, None, names[own].tobytes(), near.astype(np.float32).tobytes(), 0
 
         placed = nodes.mapInArrow(placing, "node long, code binary, cell long, along double")
         rows = rows.unionByName(placed.orderBy("cell", "along", "node").select("node", "code").mapInArrow(blocking, GRAPH))
@@ -274,7 +279,7 @@ def descended(graph: DataFrame, buckets: int) -> DataFrame:
         starts = np.nonzero(np.concatenate([[True], a[1:] != a[:-1]]))[0] if len(a) else np.zeros(0, int)
         ends = np.minimum(np.concatenate([starts[1:], [len(a)]]), starts + NEIGHBOURS) if len(a) else starts
         yield from in_batches(
-            (int(a[x]), None, b[x:y].tobytes(), s[x:y].astype(np.float32).tobytes()) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)
+            (int(a[x]), None, b[x:y].tobytes(), s[x:y].astype(np.float32).tobytes(), 0) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)
         )
 
     return merged(graph.unionByName(sent(graph, buckets).mapInArrow(meeting, GRAPH)), buckets)
@@ -282,12 +287,15 @@ def descended(graph: DataFrame, buckets: int) -> DataFrame:
 
 def build(nodes: DataFrame, count: int) -> DataFrame:
     """The graph of ``nodes`` (node, code): for each node its neighbours and similarities, nearest first.
-    Every round is written to the shared folder."""
+    Every round is written to the shared folder. Similarities of a list only grow, so the rounds end;
+    larger tables take more of them."""
     parts = parts_for(count)
     graph = stage(first_graph(nodes, count, parts))
-    for _ in range(DESCENTS):
+    while True:
         graph = stage(descended(graph, parts))
-    return graph
+        fresh, total = graph.agg(F.sum("fresh"), F.sum(F.length("ids") / 8)).first()
+        if (fresh or 0) <= SETTLED * (total or 0):
+            return graph
 
 
 def parts_for(count: int) -> int:
@@ -307,7 +315,7 @@ def walkable(graph: DataFrame, parts: int) -> str:
         for a, b in zip(borders[:-1], borders[1:], strict=True):
             own = which[a:b]
             own = own[np.unique(names[own], return_index=True)[1]]
-            rows.append((int(at[a]), codes[own].tobytes(), names[own].tobytes(), b""))
+            rows.append((int(at[a]), codes[own].tobytes(), names[own].tobytes(), b"", 0))
             if len(rows) == 500:
                 yield graph_batch(rows)
                 rows = []
@@ -445,7 +453,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
 
     begun = asking.select("query", "node").join(graph, "node").select("query", "node", "code", "ids", "sims")
     states = stage(begun.mapInArrow(starting, STATE))
-    for _ in range(ROUNDS):
+    while True:
         states = stage(walked(states, table, parts))
         # A byte 0 marks a node of a beam that is not open yet.
         if states.where(F.instr(F.hex("opened"), "00") % 2 == 1).limit(1).count() == 0:

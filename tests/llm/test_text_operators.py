@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from daymart.llm import bpe, hmm, line_crf, line_dedup, mixing, neighbours, repeats, secret_scan, simhash, wordpiece
@@ -123,6 +124,20 @@ def test_neighbours(spark):
     assert neighbours.search(frame.limit(0), lambda i: i % 20 == 0).collect() == []
 
 
+def test_descent_goes_on_until_settled(spark, monkeypatch):
+    fresh = iter([32, 20, 10, 6, 3, 1, 0])
+
+    def round_of(graph, parts):
+        return graph.drop("fresh").withColumn("fresh", F.lit(next(fresh)))
+
+    monkeypatch.setattr(neighbours, "descended", round_of)
+    points = np.random.default_rng(4).standard_normal((100, 8))
+    nodes = spark.createDataFrame([(k, bytearray(c)) for k, c in enumerate(neighbours.encode(points / 20, 1.0))], "node long, code binary")
+    neighbours.build(nodes, 100)
+    assert list(fresh) == []
+
+
+
 def plain_base(text):
     words = text.encode().split()
     windows = collections.Counter(tuple(words[k : k + 3]) for k in range(len(words) - 2))
