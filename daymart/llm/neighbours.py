@@ -8,7 +8,8 @@ node: in each round it opens the nearest nodes of its beam that are not open yet
 one join with the graph. What is found is scored again on the original vectors in double precision.
 
 Codes are vectors of signed bytes with one scale each, lengthened by a coordinate that gives all the
-same norm, so that the largest inner product and the least distance lead the same way.
+same norm, so that the graph links what is near. A query's own added coordinate is 0 in its walk, which
+therefore follows the inner product itself.
 """
 
 from __future__ import annotations
@@ -355,6 +356,7 @@ def walked(states: DataFrame, table: str, parts: int) -> DataFrame:
             links = batch.column(4).to_pylist()
             for query, code, least, near, ids in zip(batch.column(0).to_pylist(), codes, batch.column(2).to_pylist(), lists, links, strict=True):
                 point = np.frombuffer(code, np.int8, offset=4).astype(np.float32)
+                point[-1] = 0  # the added coordinate is no part of the inner product
                 names = np.frombuffer(ids, np.int64)
                 raw = np.frombuffer(near, np.uint8).reshape(len(names), -1)
                 sims = (raw[:, 4:].view(np.int8).astype(np.float32) @ point) * raw[:, :4].copy().view(np.float32)[:, 0]
@@ -441,17 +443,17 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
 
     def starting(batches):
         rows_out = []
-        for query, node, code, ids, sims in rows_of(batches):
-            own, near = np.frombuffer(ids, np.int64), np.frombuffer(sims, np.float32)
-            # The query's own node heads the beam; other rows may share it.
-            rows_out.append((query, code, np.append(own, node).tobytes(), np.append(near, np.float32(np.inf)).tobytes(), bytes(len(own) + 1)))
+        for query, node, code in rows_of(batches):
+            # The query's own node heads the beam; other rows may share it. Opening it gives its neighbours
+            # with their inner products; the graph's similarities are of another measure.
+            rows_out.append((query, code, np.int64(node).tobytes(), np.float32(np.inf).tobytes(), bytes(1)))
             if len(rows_out) == 500:
                 yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows_out, strict=True), STATE_ARROW, strict=True)], schema=STATE_ARROW)
                 rows_out = []
         if rows_out:
             yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows_out, strict=True), STATE_ARROW, strict=True)], schema=STATE_ARROW)
 
-    begun = asking.select("query", "node").join(graph, "node").select("query", "node", "code", "ids", "sims")
+    begun = asking.select("query", "node").join(nodes, "node").select("query", "node", "code")
     states = stage(begun.mapInArrow(starting, STATE))
     while True:
         states = stage(walked(states, table, parts))

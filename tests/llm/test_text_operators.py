@@ -124,6 +124,26 @@ def test_neighbours(spark):
     assert neighbours.search(frame.limit(0), lambda i: i % 20 == 0).collect() == []
 
 
+def recall(spark, points):
+    """Share of the 20 rows of largest inner product that search finds, over every 10th row."""
+    frame = spark.createDataFrame([(k, p) for k, p in enumerate(points.tolist())], "vec_id long, embedding array<double>")
+    found = collections.defaultdict(set)
+    for r in neighbours.search(frame, lambda i: i % 10 == 0).collect():
+        found[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, len(points), 10):
+        scores = points @ points[q]
+        scores[q] = -np.inf
+        hits += len(found[q] & set(np.argsort(-scores)[:20].tolist()))
+    return hits / (20 * len(range(0, len(points), 10)))
+
+
+def test_neighbours_of_different_lengths(spark):
+    rng = np.random.default_rng(2)
+    points = rng.standard_normal((1500, 32)) * np.exp(0.7 * rng.standard_normal((1500, 1)))
+    assert recall(spark, points) >= 0.95
+
+
 def test_descent_goes_on_until_settled(spark, monkeypatch):
     fresh = iter([32, 20, 10, 6, 3, 1, 0])
 
