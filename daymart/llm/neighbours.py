@@ -7,9 +7,13 @@ neighbour come back, and each node keeps the nearest, until next to no list chan
 node: in each round it opens the nearest nodes of its beam that are not open yet, all queries at once in
 one join with the graph. What is found is scored again on the original vectors in double precision.
 
-Codes are vectors of signed bytes with one scale each, lengthened by a coordinate that gives all the
-same norm, so that the graph links what is near. A query's own added coordinate is 0 in its walk, which
-therefore follows the inner product itself.
+Vectors whose lengths differ by less than a factor of 2 are a band, with a graph of its own. A query walks
+the graph of each band, from its own node and from the best of a sample that grows with the band; a small
+band is looked through whole.
+
+Codes are vectors of signed bytes with one scale each, and beside them a coordinate that gives all of a
+band the same norm, so that the graph links what is near. A walk leaves that coordinate out and therefore
+follows the inner product itself.
 """
 
 from __future__ import annotations
@@ -31,6 +35,11 @@ NEIGHBOURS, NAMED_BY, PROJECTIONS, BLOCK = 32, 32, 2, 256
 SETTLED = 0.01
 #: Beam of a query, nodes it opens in a round, found nodes that are scored exactly.
 BEAM, OPENED, RESCORED = 256, 128, 64
+#: Nodes of a band that every query looks at first: at least FIRST, and WIDER times the root of the band's
+#: size. A walk starts at the START best of them.
+FIRST, WIDER, START = 1024, 8, 16
+#: Bytes of a code before its signed bytes.
+HEAD = 8
 #: Nodes or queries that a task of a round takes on.
 IN_TASK = 1000
 SEED = 11
@@ -39,18 +48,43 @@ GRAPH = "node long, code binary, ids binary, sims binary, fresh int"
 GRAPH_ARROW = pa.schema([("node", pa.int64()), ("code", pa.binary()), ("ids", pa.binary()), ("sims", pa.binary()), ("fresh", pa.int32())])
 
 
-def encode(vectors: np.ndarray, largest: float) -> list[bytes]:
-    """Scale (float32) and signed bytes of each vector, with the added coordinate."""
-    spare = np.sqrt(np.maximum(largest**2 - (vectors**2).sum(1), 0.0))
-    long = np.concatenate([vectors, spare[:, None]], axis=1)
-    scale = np.abs(long).max(1) / 127
-    codes = np.rint(long / scale[:, None]).astype(np.int8)
-    return [s.tobytes() + c.tobytes() for s, c in zip(scale.astype(np.float32), codes, strict=True)]
+def log_lengths(vectors: np.ndarray) -> np.ndarray:
+    """Binary logarithms of the lengths, finite for all finite vectors that are not zero."""
+    peak = np.abs(vectors).max(1)
+    return np.log2(peak) + np.log2(((vectors / peak[:, None]) ** 2).sum(1)) / 2
+
+
+def encode(vectors: np.ndarray, top) -> list[bytes]:
+    """Scale and added coordinate (float32), then signed bytes of each vector, in units of the largest
+    length of its band, whose binary logarithm is ``top``."""
+    parts = vectors / np.abs(vectors).max(1, keepdims=True)
+    relative = np.exp2(log_lengths(vectors) - top)
+    parts *= (relative / np.sqrt((parts**2).sum(1)))[:, None]
+    spare = np.sqrt(np.maximum(1 - relative**2, 0.0))
+    scale = np.abs(parts).max(1) / 127
+    codes = np.rint(parts / scale[:, None]).astype(np.int8)
+    heads = np.stack([scale, spare], axis=1).astype(np.float32)
+    return [h.tobytes() + c.tobytes() for h, c in zip(heads, codes, strict=True)]
+
+
+def lengthened(raw: np.ndarray) -> np.ndarray:
+    """Vectors with their added coordinate, from rows of code bytes."""
+    heads = raw[:, :HEAD].copy().view(np.float32)
+    return np.concatenate([raw[:, HEAD:].view(np.int8).astype(np.float32) * heads[:, :1], heads[:, 1:]], axis=1)
 
 
 def decoded(codes: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
-    return raw[:, 4:].view(np.int8).astype(np.float32) * raw[:, :4].copy().view(np.float32)
+    return lengthened(np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1))
+
+
+def products(raw: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Inner products of coded vectors (rows) with bare signed bytes of queries, up to the queries' scale."""
+    return (raw[:, HEAD:].view(np.int8).astype(np.float32) @ points) * raw[:, :4].copy().view(np.float32)
+
+
+def bare(codes: list[bytes]) -> np.ndarray:
+    """Signed bytes of each code as floats, one column for each."""
+    return np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)[:, HEAD:].view(np.int8).astype(np.float32).T
 
 
 def nearest(ids: np.ndarray, sims: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,9 +125,9 @@ def clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return kept.where(F.size("vector") == lengths.select("n").scalar()).distinct()
 
 
-def dealt(rows: DataFrame, key: str, parts: int) -> DataFrame:
+def dealt(rows: DataFrame, parts: int, *keys: str) -> DataFrame:
     """Rows of a key together, in as many tasks as the number of nodes asks for."""
-    return rows.repartitionById(parts, F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).sortWithinPartitions(key)
+    return rows.repartitionById(parts, F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")).sortWithinPartitions(*keys)
 
 
 def merged(rows: DataFrame, parts: int) -> DataFrame:
@@ -121,14 +155,13 @@ def merged(rows: DataFrame, parts: int) -> DataFrame:
 
         yield from in_batches(joined())
 
-    return dealt(rows, "node", parts).mapInArrow(merging, GRAPH)
+    return dealt(rows, parts, "node").mapInArrow(merging, GRAPH)
 
 
 def first_graph(nodes: DataFrame, count: int, parts: int) -> DataFrame:
-    """Neighbours within blocks of nodes that projections put side by side."""
+    """Neighbours within blocks of nodes of a band that projections put side by side."""
     bits = max(0, math.ceil(math.log2(max(count, 1) / BLOCK)))
-    bare = nodes.select("node", "code", F.lit(b"").alias("ids"), F.lit(b"").alias("sims"), F.lit(0).alias("fresh"))
-    rows = bare
+    rows = nodes.select("node", "code", F.lit(b"").alias("ids"), F.lit(b"").alias("sims"), F.lit(0).alias("fresh"))
     for turn in range(PROJECTIONS):
 
         def placing(batches, turn=turn):
@@ -141,17 +174,17 @@ def first_graph(nodes: DataFrame, count: int, parts: int) -> DataFrame:
                 cell = (sides[:, :bits] > 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(points), np.int64)
                 yield pa.record_batch(
                     [*batch.columns, pa.array(cell.astype(np.int64)), pa.array(sides[:, bits].astype(np.float64))],
-                    ["node", "code", "cell", "along"],
+                    ["node", "code", "band", "cell", "along"],
                 )
 
         def blocking(batches):
             def found():
                 block: list[tuple] = []
                 for row in rows_of(batches):
-                    block.append(row)
-                    if len(block) == BLOCK:
+                    if len(block) == BLOCK or block and block[-1][2] != row[2]:
                         yield from among(block)
                         block = []
+                    block.append(row)
                 yield from among(block)
 
             yield from in_batches(found())
@@ -167,8 +200,8 @@ def first_graph(nodes: DataFrame, count: int, parts: int) -> DataFrame:
             for name, own, near in zip(names.tolist(), best, np.take_along_axis(sims, best, 1), strict=True):
                 yield name, None, names[own].tobytes(), near.astype(np.float32).tobytes(), 0
 
-        placed = nodes.mapInArrow(placing, "node long, code binary, cell long, along double")
-        rows = rows.unionByName(placed.orderBy("cell", "along", "node").select("node", "code").mapInArrow(blocking, GRAPH))
+        placed = nodes.select("node", "code", "band").mapInArrow(placing, "node long, code binary, band int, cell long, along double")
+        rows = rows.unionByName(placed.orderBy("band", "cell", "along", "node").select("node", "code", "band").mapInArrow(blocking, GRAPH))
     return merged(rows, parts)
 
 
@@ -262,7 +295,7 @@ def descended(graph: DataFrame, buckets: int) -> DataFrame:
         for a, b in zip(borders[:-1], borders[1:], strict=True):
             own = which[a:b]
             own = own[np.unique(names[own], return_index=True)[1]]
-            points = codes[own, 4:].view(np.int8).astype(np.float32) * codes[own, :4].copy().view(np.float32)
+            points = lengthened(codes[own])
             sims = points @ points.T
             np.fill_diagonal(sims, -np.inf)
             i, j = np.nonzero(sims > furthest[own][:, None])
@@ -287,7 +320,7 @@ def descended(graph: DataFrame, buckets: int) -> DataFrame:
 
 
 def build(nodes: DataFrame, count: int) -> DataFrame:
-    """The graph of ``nodes`` (node, code): for each node its neighbours and similarities, nearest first.
+    """The graph of ``nodes`` (node, code, band): for each node its neighbours and similarities, nearest first.
     Every round is written to the shared folder. Similarities of a list only grow, so the rounds end;
     larger tables take more of them."""
     parts = parts_for(count)
@@ -329,8 +362,8 @@ def walkable(graph: DataFrame, parts: int) -> str:
     return name
 
 
-STATE = "query long, code binary, ids binary, sims binary, opened binary"
-STATE_ARROW = pa.schema([("query", pa.int64()), ("code", pa.binary()), ("ids", pa.binary()), ("sims", pa.binary()), ("opened", pa.binary())])
+STATE = "query long, band int, code binary, ids binary, sims binary, opened binary"
+STATE_ARROW = pa.schema([("query", pa.int64()), ("band", pa.int32()), ("code", pa.binary()), ("ids", pa.binary()), ("sims", pa.binary()), ("opened", pa.binary())])
 
 
 def walked(states: DataFrame, table: str, parts: int) -> DataFrame:
@@ -338,36 +371,36 @@ def walked(states: DataFrame, table: str, parts: int) -> DataFrame:
     spark = states.sparkSession
 
     def opening(batches):
-        for query, code, ids, sims, opened in rows_of(batches):
+        for query, band, code, ids, sims, opened in rows_of(batches):
             ids, done = np.frombuffer(ids, np.int64), np.frombuffer(opened, np.uint8)
             least = float(np.frombuffer(sims, np.float32)[-1]) if len(ids) == BEAM else -np.inf
             go = ids[np.nonzero(done == 0)[0][:OPENED]]
             if len(go):
                 n = len(go)
                 yield pa.record_batch(
-                    [pa.array(go), pa.array([query] * n, pa.int64()), pa.array([code] * n, pa.binary()), pa.array([least] * n, pa.float32())],
-                    ["node", "query", "code", "least"],
+                    [
+                        pa.array(go),
+                        pa.array([query] * n, pa.int64()),
+                        pa.array([band] * n, pa.int32()),
+                        pa.array([code] * n, pa.binary()),
+                        pa.array([least] * n, pa.float32()),
+                    ],
+                    ["node", "query", "band", "code", "least"],
                 )
 
     def looking(batches):
         for batch in batches:
-            found: dict[int, list] = {}
-            codes, lists = batch.column(1).to_pylist(), batch.column(3).to_pylist()
-            links = batch.column(4).to_pylist()
-            for query, code, least, near, ids in zip(batch.column(0).to_pylist(), codes, batch.column(2).to_pylist(), lists, links, strict=True):
-                point = np.frombuffer(code, np.int8, offset=4).astype(np.float32)
-                point[-1] = 0  # the added coordinate is no part of the inner product
+            found: dict[tuple[int, int], list] = {}
+            for query, band, code, least, near, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 names = np.frombuffer(ids, np.int64)
-                raw = np.frombuffer(near, np.uint8).reshape(len(names), -1)
-                sims = (raw[:, 4:].view(np.int8).astype(np.float32) @ point) * raw[:, :4].copy().view(np.float32)[:, 0]
-                sims *= np.frombuffer(code, np.float32, 1)[0]
+                sims = products(np.frombuffer(near, np.uint8).reshape(len(names), -1), bare([code]))[:, 0]
                 good = sims > least
                 if good.any():
-                    found.setdefault(query, []).append((names[good], sims[good]))
+                    found.setdefault((query, band), []).append((names[good], sims[good]))
             rows = []
-            for query, parts in found.items():
+            for (query, band), parts in found.items():
                 ids, sims = nearest(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), BEAM)
-                rows.append((query, None, ids.tobytes(), sims.astype(np.float32).tobytes(), bytes(len(ids))))
+                rows.append((query, band, None, ids.tobytes(), sims.astype(np.float32).tobytes(), bytes(len(ids))))
             if rows:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), STATE_ARROW, strict=True)], schema=STATE_ARROW)
 
@@ -382,13 +415,13 @@ def walked(states: DataFrame, table: str, parts: int) -> DataFrame:
             kept, near = nearest(every, sims, BEAM)
             known = dict(zip(ids.tolist(), done.tolist(), strict=True))
             marks = bytes(known.get(i, 0) for i in kept.tolist())
-            return at, code, kept.tobytes(), near.tobytes(), marks
+            return *at, code, kept.tobytes(), near.tobytes(), marks
 
-        for query, c, ids, sims, opened in rows_of(batches):
-            if query != at:
+        for query, band, c, ids, sims, opened in rows_of(batches):
+            if (query, band) != at:
                 if own is not None:
                     out.append(settled())
-                at, code, own, parts = query, None, None, []
+                at, code, own, parts = (query, band), None, None, []
             if c is not None:
                 code, own = c, (ids, sims, opened)
             else:
@@ -401,10 +434,29 @@ def walked(states: DataFrame, table: str, parts: int) -> DataFrame:
         if out:
             yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), STATE_ARROW, strict=True)], schema=STATE_ARROW)
 
-    frontier = states.mapInArrow(opening, "node long, query long, code binary, least float")
-    at = frontier.join(spark.table(table), "node").select("query", "code", "least", "codes", "ids")
+    frontier = states.mapInArrow(opening, "node long, query long, band int, code binary, least float")
+    at = frontier.join(spark.table(table), "node").select("query", "band", "code", "least", "codes", "ids")
     rows = states.unionByName(at.mapInArrow(looking, STATE))
-    return dealt(rows, "query", parts).mapInArrow(keeping, STATE)
+    return dealt(rows, parts, "query", "band").mapInArrow(keeping, STATE)
+
+
+def first_looks(nodes: DataFrame, sizes: dict[int, int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each band the ids and code bytes of the nodes that every query looks at: all of a small band, of
+    others a choice by hash. The driver holds the root of the table's size times WIDER."""
+    if not sizes:
+        return {}
+    wanted = {b: max(FIRST, math.ceil(WIDER * math.sqrt(n))) for b, n in sizes.items()}
+    shares = nodes.sparkSession.createDataFrame([(b, min(1.0, wanted[b] / n)) for b, n in sizes.items()], "band int, share double")
+    draw = F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(2**30)) / 2**30
+    chosen = nodes.join(F.broadcast(shares), "band").where(draw < F.col("share")).select("band", "node", "code").toArrow()
+    found: dict[int, list] = {b: [] for b in sizes}
+    for band, node, code in rows_of(chosen.to_batches()):
+        found[band].append((node, code))
+    return {
+        b: (np.array([n for n, _ in own], np.int64), np.frombuffer(b"".join(c for _, c in own), np.uint8).reshape(len(own), -1))
+        for b, own in sorted(found.items())
+        if own
+    }
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -417,10 +469,20 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     links them; other columns are ignored; an empty table gives an empty result.
     """
     rows = stage(clean(vectors, id_col, vector_col))
-    classes = stage(rows.groupBy("vector").agg(F.min("id").alias("node")))
-    count = classes.count()
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    largest = classes.agg(F.max(norm)).first()[0] or 1.0
+
+    def measuring(batches):
+        for batch in batches:
+            if batch.num_rows:
+                lengths = log_lengths(np.array(batch.column(0).to_pylist(), float))
+                # Unit vectors are in the middle of their band.
+                bands = pa.array(np.floor(lengths + 0.5).astype(np.int32))
+                yield pa.record_batch([*batch.columns, pa.array(lengths), bands], ["vector", "node", "length", "band"])
+
+    distinct = rows.groupBy("vector").agg(F.min("id").alias("node"))
+    classes = stage(distinct.mapInArrow(measuring, "vector array<double>, node long, length double, band int"))
+    # A double has about 2,100 exponents, so there are at most so many bands.
+    bands = {r.band: (r.top, r.n) for r in classes.groupBy("band").agg(F.max("length").alias("top"), F.count("*").alias("n")).collect()}
+    count = sum(n for _, n in bands.values())
     # Of equal vectors only the k + 1 smallest ids can be answers. A salt keeps a common vector in many tasks.
     salted = rows.join(classes, "vector").select("node", "id", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt"))
     for keys in (["node", "salt"], ["node"]):
@@ -433,27 +495,35 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
             for start in range(0, batch.num_rows, 5000):
                 part = batch.slice(start, 5000)
                 points = np.array(part.column(1).to_pylist(), float)
-                yield pa.record_batch([part.column(0), pa.array(encode(points, largest), pa.binary())], ["node", "code"])
+                top = np.array([bands[b][0] for b in part.column(2).to_pylist()])
+                yield pa.record_batch([part.column(0), pa.array(encode(points, top), pa.binary()), part.column(2)], ["node", "code", "band"])
 
-    nodes = stage(classes.select("node", "vector").mapInArrow(coding, "node long, code binary"))
+    nodes = stage(classes.select("node", "vector", "band").mapInArrow(coding, "node long, code binary, band int"))
+    firsts = first_looks(nodes, {b: n for b, (_, n) in bands.items()})
     graph = build(nodes, count)
     parts = parts_for(count)
     table = walkable(graph, parts)
     asking = rows.where(is_query(F.col("id"))).join(classes, "vector").select(F.col("id").alias("query"), "node", "vector")
 
     def starting(batches):
-        rows_out = []
-        for query, node, code in rows_of(batches):
-            # The query's own node heads the beam; other rows may share it. Opening it gives its neighbours
-            # with their inner products; the graph's similarities are of another measure.
-            rows_out.append((query, code, np.int64(node).tobytes(), np.float32(np.inf).tobytes(), bytes(1)))
-            if len(rows_out) == 500:
-                yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows_out, strict=True), STATE_ARROW, strict=True)], schema=STATE_ARROW)
-                rows_out = []
-        if rows_out:
-            yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows_out, strict=True), STATE_ARROW, strict=True)], schema=STATE_ARROW)
-
-    begun = asking.select("query", "node").join(nodes, "node").select("query", "node", "code")
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                queries, own, codes, homes = (c.to_pylist() for c in part.columns)
+                points, out = bare(codes), []
+                for band, (ids, raw) in firsts.items():
+                    # A band of which all nodes are here needs no walk.
+                    whole = len(ids) == bands[band][1]
+                    for k, sims in enumerate(products(raw, points).T):
+                        names = ids
+                        if homes[k] == band:
+                            # The query's own node heads the beam; other rows may share it.
+                            names, sims = np.append(own[k], ids), np.append(np.float32(np.inf), sims)
+                        found, near = nearest(names, sims, BEAM if whole else START)
+                        out.append((queries[k], band, codes[k], found.tobytes(), near.astype(np.float32).tobytes(), bytes([whole]) * len(found)))
+                yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), STATE_ARROW, strict=True)], schema=STATE_ARROW)
+
+    begun = asking.select("query", "node").join(nodes, "node").select("query", "node", "code", "band")
     states = stage(begun.mapInArrow(starting, STATE))
     while True:
         states = stage(walked(states, table, parts))
@@ -462,7 +532,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
             break
 
     def listing(batches):
-        for query, _, ids, sims, _ in rows_of(batches):
+        for query, _, _, ids, _, _ in rows_of(batches):
             ids = np.frombuffer(ids, np.int64)[:RESCORED]
             yield pa.record_batch([pa.array([query] * len(ids), pa.int64()), pa.array(ids)], ["query", "node"])
 

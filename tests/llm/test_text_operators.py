@@ -144,6 +144,16 @@ def test_neighbours_of_different_lengths(spark):
     assert recall(spark, points) >= 0.95
 
 
+def test_neighbours_beside_very_long_vectors(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "FIRST", 64)  # so that the band of most is walked
+    points = np.random.default_rng(6).standard_normal((1500, 32))
+    points[7] *= 1e4
+    points[8] *= 1e200
+    assert recall(spark, points) >= 0.95
+    points = np.array([[1.7e308] * 64, [5e-324] * 64, [1.0] * 64])
+    assert np.isfinite(neighbours.log_lengths(points)).all()
+
+
 def test_descent_goes_on_until_settled(spark, monkeypatch):
     fresh = iter([32, 20, 10, 6, 3, 1, 0])
 
@@ -152,7 +162,7 @@ def test_descent_goes_on_until_settled(spark, monkeypatch):
 
     monkeypatch.setattr(neighbours, "descended", round_of)
     points = np.random.default_rng(4).standard_normal((100, 8))
-    nodes = spark.createDataFrame([(k, bytearray(c)) for k, c in enumerate(neighbours.encode(points / 20, 1.0))], "node long, code binary")
+    nodes = spark.createDataFrame([(k, bytearray(c)) for k, c in enumerate(neighbours.encode(points / 20, 1.0))], "node long, code binary").withColumn("band", F.lit(0))
     neighbours.build(nodes, 100)
     assert list(fresh) == []
 
