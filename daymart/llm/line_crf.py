@@ -157,6 +157,8 @@ def train(
 ) -> Field:
     """A field from at most ``sample_docs`` labelled rows (a hash of the id chooses them) and
     ``sample_lines`` of their lines; label 1 is good. This is the only bounded sample of the operator.
+    Of a document with more lines than a fiftieth of ``sample_lines`` a run of so many, which a hash of the
+    id chooses, takes part. Documents come in hash order, and one that does not fit is skipped.
     Null labels, ids or texts take no part; without labelled rows every line is content."""
     chosen = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
@@ -165,24 +167,27 @@ def train(
         .limit(sample_docs)
     )
 
+    longest = max(1, sample_lines // 50)
+
     def reading(batches):
         for batch in batches:
-            rows = [line_features((t or "").encode().split(b"\n"))[0] for t in batch.column(1).to_pylist()]
-            yield pa.record_batch(
-                [batch.column(0), batch.column(2), pa.array([r.astype(np.float32).tobytes() for r in rows], pa.binary())],
-                ["id", "label", "rows"],
-            )
+            rows = []
+            for text, place in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                own = line_features((text or "").encode().split(b"\n"))[0]
+                start = place % max(1, len(own) - longest + 1)
+                rows.append(own[start : start + longest].astype(np.float32).tobytes())
+            yield pa.record_batch([batch.column(3), batch.column(0), batch.column(2), pa.array(rows, pa.binary())], ["place", "id", "label", "rows"])
 
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # The chosen ids are at most sample_docs rows.
-    found = own.join(F.broadcast(chosen), "id").select("id", "text", "label").where("text is not null")
-    schema = f"id {own.schema['id'].dataType.simpleString()}, label int, rows binary"
+    found = own.join(F.broadcast(chosen), "id").select("id", "text", "label", F.xxhash64("id").alias("place")).where("text is not null")
+    schema = f"place long, id {own.schema['id'].dataType.simpleString()}, label int, rows binary"
     sample, used = [], 0
-    for _, label, raw in sorted(found.mapInArrow(reading, schema).collect()):
+    for _, _, label, raw in sorted(found.mapInArrow(reading, schema).collect()):
         rows = np.frombuffer(raw, np.float32).reshape(-1, len(FEATURES)).astype(float)
+        if used + len(rows) > sample_lines:
+            continue
         used += len(rows)
-        if used > sample_lines:
-            break
         sample.append((rows, CONTENT if label == 1 else BOILERPLATE))
     return Field(*fit(sample), share)
 

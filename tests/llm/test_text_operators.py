@@ -124,6 +124,16 @@ def test_neighbours(spark):
     assert neighbours.search(frame.limit(0), lambda i: i % 20 == 0).collect() == []
 
 
+def test_line_sample_survives_a_very_long_document(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(line_crf, "fit", lambda sample: seen.append(sample) or (np.zeros((2, len(line_crf.FEATURES))), np.zeros((2, 2))))
+    rows = [(0, "some words here\n" * 500, 0)] + [(k, "good words\nmore words", 1) for k in range(1, 30)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    line_crf.train(table.select("doc_id", "text"), table.select("doc_id", "quality"), sample_lines=100)
+    sizes = [len(x) for x, _ in seen[0]]
+    assert len(sizes) == 30 and max(sizes) == 2 and sum(sizes) <= 100
+
+
 def recall(spark, points):
     """Share of the 20 rows of largest inner product that search finds, over every 10th row."""
     frame = spark.createDataFrame([(k, p) for k, p in enumerate(points.tolist())], "vec_id long, embedding array<double>")
