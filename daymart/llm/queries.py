@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daymart.llm import bpe, hmm, line_crf, line_dedup, mixing, neighbours, repeats, secret_scan, simhash, wordpiece
+from daymart.llm import (
+    bpe,
+    fill_in_middle,
+    hmm,
+    line_crf,
+    line_dedup,
+    matrix_bpe,
+    mixing,
+    neighbours,
+    repeats,
+    secret_scan,
+    simhash,
+    spelling,
+    wordpiece,
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -93,6 +107,31 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_table(documents(spark, folder))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, folder))
+
+
+def op12_matrix_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text encoded by ranks and decoded again, as digests."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return matrix_bpe.encode(documents(spark, folder), path, public_tokenizers.PATTERN, decoded=True).select(
+        "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text's transformed form and the text rebuilt from it, as digests."""
+
+    def digest(text):
+        return F.sha2(F.encode(text, "UTF-8"), 256)
+
+    made = fill_in_middle.fill_in_middle(documents(spark, folder))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest(back).alias("restored_sha256")
+    )
+
+
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_graph_neighbours": op2_graph_neighbours,
@@ -104,6 +143,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_source_mix": op10_source_mix,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_matrix_bpe": op12_matrix_bpe,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 #: Word counts, targets by repeated sharing out, and the sample by one running sum for each source.
@@ -171,4 +213,22 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN kept USING (r)
 """
 
-ORACLES: dict[str, str] = {"op6_repeated_passages": OP6, "op10_source_mix": OP10}
+#: Lines cut out one by one, and the parts put together as the form says.
+OP13 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS l,
+                  sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+h AS (SELECT *, len(l) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+             CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+cut AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+               CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+                    WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+parts AS (SELECT *, array_to_string(l[1:a], '') AS p, array_to_string(l[a + 1:b], '') AS m, array_to_string(l[b + 1:], '') AS s FROM cut)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END)
+         AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""
+
+ORACLES: dict[str, str] = {"op6_repeated_passages": OP6, "op10_source_mix": OP10, "op13_fill_in_middle": OP13}
