@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from daymart.functions.scalars import finite_or_null
-from daymart.operators.quantiles import exact_quantiles
+from daymart.operators.fingerprints import distinct_rows, text_counts
+from daymart.operators.frequent import ranked
+from daymart.operators.gram import correlations
+from daymart.operators.quantiles import from_order_key, keyed_quantiles, with_order_key
+from daymart.session import stage
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -48,88 +52,90 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 
 def top_values(counts: DataFrame, k: int = 10) -> DataFrame:
-    """The k most frequent values of each column; ties go to the smaller value.
+    """The k most frequent values of each column from all counts; ties go to the smaller value.
 
     Each task keeps its own k before the shuffle, so a column of unique values costs no more.
+    ``frequent.frequent_values`` gives the same without counting every value.
     """
-    frequent = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("value"))
-    return (
-        counts.where(F.col("value").isNotNull())
-        .withColumn("position", F.row_number().over(frequent))
-        .where(F.col("position") <= k)
-    )
+    return ranked(counts, k)
 
 
-NUMBER_STATS = {
-    "n_zero": lambda v: F.count(F.when(v == 0, 1)),
-    "n_negative": lambda v: F.count(F.when(v < 0, 1)),
-    "mean": F.avg,
-    "std": F.stddev_samp,
-}
+def _number_stats(df: DataFrame, exact_distinct: bool) -> DataFrame:
+    """Counts, mean, deviation, range and quartiles of numeric columns, one row per column."""
+    counts = with_order_key(_numbers(df), "value", "_key").select("column_name", "_key", F.lit(1).cast("long").alias("_n"))
+    distinct = F.approx_count_distinct("_key")
+    if exact_distinct:
+        # Numbers by order key, null included: all that follows reads these counts alone.
+        counts = stage(counts.groupBy("column_name", "_key").agg(F.count(F.lit(1)).alias("_n")))
+        distinct = F.count("_key")
+    known = counts.where(F.col("_key").isNotNull()).withColumn("_v", from_order_key(F.col("_key")))
+
+    def total(condition):
+        return F.coalesce(F.sum(F.when(condition, F.col("_n"))), F.lit(0))
+
+    outline = stage(
+        counts.withColumn("_v", from_order_key(F.col("_key")))
+        .groupBy("column_name")
+        .agg(
+            F.sum("_n").alias("n_rows"),
+            total(F.col("_key").isNull()).alias("n_null"),
+            distinct.alias("n_distinct"),
+            total(F.col("_v") == 0).alias("n_zero"),
+            total(F.col("_v") < 0).alias("n_negative"),
+            (F.sum(F.col("_v") * F.col("_n")) / F.nullif(total(F.col("_key").isNotNull()), F.lit(0))).alias("mean"),
+        )
+    )
+    # Around the mean, so that a small spread of large numbers is not lost. A row per column.
+    away = F.col("_v") - F.col("mean")
+    spread = known.join(F.broadcast(outline.select("column_name", "mean")), "column_name").groupBy("column_name").agg(
+        F.sqrt(F.sum(F.col("_n") * away * away) / F.nullif(F.sum("_n") - 1, F.lit(0))).alias("std")
+    )
+    keyed = known.select(F.struct("column_name").alias("_by"), "_key", "_n")
+    quartiles = keyed_quantiles(keyed, QUARTILES, ["column_name"]).drop("n")
+    quartiles = quartiles.withColumnsRenamed({"q0": "p25", "q1": "p50", "q2": "p75"})
+    unknown = F.col("n_rows") == F.col("n_null")
+    described = outline.join(F.broadcast(spread), "column_name", "left").join(F.broadcast(quartiles), "column_name", "left")
+    # A column without a known number has no statistics.
+    return described.withColumns({c: F.when(~unknown, F.col(c)) for c in ("n_zero", "n_negative")}).select(
+        "column_name", F.lit("number").alias("kind"), "n_rows", "n_null", "n_distinct",
+        "n_zero", "n_negative", "mean", "std", "min_value", "max_value", "p25", "p50", "p75",
+    )
 
 
 def column_profile(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
     """One row per column: rows, nulls, distinct values, zeros, negatives, mean, deviation, range, quartiles.
 
-    Columns are rows of one grouped aggregation instead of hundreds of aggregates side by side: generated
-    code stays small enough to be compiled, and everything combines map-side. Exact distinct counts
-    shuffle each column's distinct values once; ``exact_distinct=False`` uses a sketch instead.
+    Columns are rows of grouped aggregations instead of hundreds of aggregates side by side: generated code
+    stays small enough to be compiled, and everything combines map-side. Numbers are counted once by a 64-bit
+    key, and all their statistics come from those stored counts, quartiles in four passes over them at most.
+    Of other columns fingerprints are counted, and only repeated values are read a second time.
+    ``exact_distinct=False`` counts distinct values by a sketch, stores nothing and reads the numbers again for
+    each pass. An empty table has no rows.
     """
     numeric = numeric_columns(df)
-    if exact_distinct:
-        # Numbers are counted as numbers; writing them out as text would cost more than counting them.
-        others = _texts(df, [c for c in df.columns if c not in numeric])
-        parts = [part for part in (_numbers(df), others) if part is not None]
-        counts = [
-            part.groupBy("column_name", "value")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .select("column_name", "n", F.col("value").isNull().alias("absent"))
-            for part in parts
-        ]
-        counted = reduce(DataFrame.unionByName, counts).groupBy("column_name").agg(
-            F.sum("n").alias("n_rows"),
-            F.coalesce(F.sum(F.when(F.col("absent"), F.col("n"))), F.lit(0)).alias("n_null"),
-            F.count(F.when(~F.col("absent"), 1)).alias("n_distinct"),
-        )
-    else:
-        counted = _texts(df, df.columns).groupBy("column_name").agg(
+    others = [c for c in df.columns if c not in numeric]
+    parts = []
+    if numeric:
+        parts.append(_number_stats(df, exact_distinct))
+    if others:
+        texts = _texts(df, others)
+        rough = texts.groupBy("column_name").agg(
             F.count(F.lit(1)).alias("n_rows"),
             F.count(F.when(F.col("value").isNull(), 1)).alias("n_null"),
             F.approx_count_distinct("value").alias("n_distinct"),
         )
-    kind = F.when(F.col("column_name").isin(numeric), "number").otherwise("other").alias("kind")
-    counted = counted.select("column_name", kind, "n_rows", "n_null", "n_distinct")
-    if not numeric:
-        return counted
-    numbers = exact_quantiles(_numbers(df), "value", QUARTILES, ["column_name"], NUMBER_STATS)
-    described = numbers.drop("n").withColumnsRenamed({"q0": "p25", "q1": "p50", "q2": "p75"})
-    # One row per column on either side.
-    return counted.join(F.broadcast(described), "column_name", "left")
+        parts.append((text_counts(texts) if exact_distinct else rough).withColumn("kind", F.lit("other")))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(left_column, right_column, correlation) for each pair of numeric columns, over rows knowing both.
 
-    One pass with one row per left column, so that a group needs only one aggregate per right column.
+    One pass; see ``gram``. NaN counts as unknown.
     """
-    names = list(columns or numeric_columns(df))
-    doubles = [F.col(c).cast("double").alias(c) for c in names]
-    copies = [F.col(c).cast("double").alias(f"left_{c}") for c in names[:-1]]
-    long = df.select(*doubles, *copies).unpivot(names, [f"left_{c}" for c in names[:-1]], "left_column", "_x")
-    measured = long.groupBy(F.regexp_replace("left_column", "^left_", "").alias("left_column")).agg(
-        *[F.corr("_x", c).alias(c) for c in names[1:]]
-    )
-    order = F.array(*[F.lit(c) for c in names])
-    return measured.unpivot(["left_column"], names[1:], "right_column", "correlation").where(
-        F.array_position(order, F.col("left_column")) < F.array_position(order, F.col("right_column"))
-    )
+    return correlations(df, list(columns or numeric_columns(df)))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows, distinct rows and surplus copies of the table, one row."""
-    copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    return copies.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
-        F.count(F.lit(1)).alias("n_distinct_rows"),
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("n_duplicates"),
-    )
+    """Rows, distinct rows and surplus copies of the table, one row; see ``fingerprints``."""
+    return distinct_rows(df)

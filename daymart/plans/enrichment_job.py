@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from daymart.operators.asof import enrich_mart
-from daymart.operators.profile import column_profile, correlation_matrix, infinities_to_null, top_values, value_counts
+from daymart.operators.frequent import frequent_values
+from daymart.operators.profile import column_profile, correlation_matrix, infinities_to_null
 from daymart.operators.snapshots import entity_series, latest_snapshot, yearly_snapshot
 from daymart.operators.tiers import tier_roster, tier_series, tiers
 from daymart.sources.sinks import write_csv, write_mart, write_table
@@ -45,7 +46,7 @@ def run(
     clean = infinities_to_null(enriched)
     write_csv(column_profile(clean), f"{out}/profile", ["column_name"])
     write_csv(correlation_matrix(clean), f"{out}/correlations")
-    write_csv(top_values(value_counts(clean)), f"{out}/top_values", ["column_name", "position"])
+    write_csv(frequent_values(clean), f"{out}/top_values", ["column_name", "position"])
 
     for metric in metrics:
         if entities:

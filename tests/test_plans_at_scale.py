@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,22 +106,30 @@ def test_skewed_comments(spark):
     assert latest.count() == 200 + 20_000
 
 
-def test_quantiles_list_no_more_for_more_rows(spark, monkeypatch):
-    """Every window of the exact quantiles has at most BUCKETS rows of a range, at any size."""
-    seen = []
-    inner = quantiles._narrowed
+def test_quantiles_take_four_passes_at_most(spark, monkeypatch):
+    """Whatever the size and the magnitudes; every window has at most PARTS rows of a group and part."""
+    passes = []
+    inner = quantiles._counted
 
-    def watched(known, wanted, by):
-        ranges = wanted.where("low < high").select(*by, "low", "high").distinct().count()
-        seen.append(ranges)
-        return inner(known, wanted, by)
+    def watched(rows, digit, *keys):
+        counted = inner(rows, digit, *keys)
+        passes.append(counted.groupBy(*keys).count().agg(F.max("count")).first()[0])
+        return counted
 
-    monkeypatch.setattr(quantiles, "_narrowed", watched)
+    monkeypatch.setattr(quantiles, "_counted", watched)
     for n in (20_000, 400_000):
+        passes.clear()
         df = spark.range(n).select((F.col("id") * 7919 % n).cast("double").alias("x"))
         got = quantiles.exact_quantiles(df, "x", [0.0, 0.37, 0.5, 1.0]).first()
         assert [got.q0, got.q1, got.q2, got.q3] == pytest.approx([0, 0.37 * (n - 1), 0.5 * (n - 1), n - 1])
-    assert max(seen) <= 8 and len(seen) <= 8
+        assert len(passes) <= quantiles.PASSES and max(passes) <= quantiles.PARTS
+    passes.clear()
+    wide = spark.range(30_000).select(F.pow(F.lit(10.0), (F.rand(3) - 0.5) * 600).alias("x"), F.when(F.col("id") % 3 > 0, "g").alias("g")).persist()
+    for row in quantiles.exact_quantiles(wide, "x", [0.1, 0.5, 0.9], ["g"]).collect():
+        values = [r.x for r in wide.where(F.col("g").eqNullSafe(F.lit(row.g))).collect()]
+        assert [row.q0, row.q1, row.q2] == pytest.approx(list(np.quantile(values, [0.1, 0.5, 0.9])), rel=1e-12)
+    assert len(passes) <= 4
+    wide.unpersist()
 
 
 def test_quantiles_of_extreme_values(spark):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from daymart.functions import fixed_values as fixed
 from daymart.functions.scalars import clamp_day, ordered_range
-from daymart.operators import annotations, canonical, clustering, features, forecast, patterns, profile, quantiles, series
+from daymart.operators import annotations, canonical, clustering, features, forecast, frequent, patterns, profile, quantiles, series
 from daymart.operators import snapshots, tiers
 from daymart.operators.asof import enrich_mart
 from daymart.plans import cluster_run, metric_series, pattern_query
@@ -377,7 +377,7 @@ def value_quartiles(spark, folder):
 
 
 def top_values(spark, folder):
-    return profile.top_values(profile.value_counts(v.table(spark, folder, "lineitem")))
+    return frequent.frequent_values(v.table(spark, folder, "lineitem"))
 
 
 def correlation_matrix(spark, folder):
