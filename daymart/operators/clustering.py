@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Sequence
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daymart.functions.fixed_values import CLUSTERS, RESTARTS, SEED
 from daymart.operators.features import FEATURES
+from daymart.operators.gram import principal_axes
+from daymart.session import stage
 
-FITS_AT_ONCE = 10
-TOLERANCE = 1e-4
+ITERATIONS, TOLERANCE = 300, 1e-4
 
 
 def cluster_count(n: int) -> int:
@@ -25,8 +24,114 @@ def cluster_count(n: int) -> int:
     return max(CLUSTERS[0], min(CLUSTERS[1], n))
 
 
-def with_vector(df: DataFrame, columns: Sequence[str] = FEATURES, out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(columns), outputCol=out).transform(df)
+def chance(seed: int, restart: int, step: int, name: str) -> float:
+    """A number between 0 and 1 that depends on the names alone, so that re-runs and other engines agree."""
+    digits = hashlib.md5(f"{seed}/{restart}/{step}/{name}".encode()).hexdigest()[:13]
+    return (int(digits, 16) + 0.5) / 2.0**52
+
+
+def _squared(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distance of each point to each centre, as (points, ...centres)."""
+    flat = centres.reshape(-1, centres.shape[-1])
+    out = np.empty((len(points), len(flat)))
+    for i, centre in enumerate(flat):
+        out[:, i] = ((points - centre) ** 2).sum(1)
+    return out.reshape(len(points), *centres.shape[:-1])
+
+
+def _points_of(batch: pa.RecordBatch) -> np.ndarray:
+    return np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]).astype(float)
+
+
+def _seeded(rows: DataFrame, k: int, restarts: int, seed: int) -> np.ndarray:
+    """Start points of every restart (k-means++): each next one at random by squared distance to those chosen.
+
+    A point's place in the race is -log(chance) / distance, so the smallest wins with the right probability
+    and a step is one minimum for each restart, taken map-side first. k steps, whatever the restarts.
+    """
+    width = len(rows.columns) - 1
+    coordinates = [f"c{i}" for i in range(width)]
+    chosen = np.zeros((restarts, 0, width))
+    for step in range(k):
+
+        def racing(batches, step=step, chosen=chosen):
+            best: dict[int, tuple] = {}
+            for batch in batches:
+                points, names = _points_of(batch), batch.column(0).to_pylist()
+                away = _squared(points, chosen).min(2) if step else np.ones((len(points), restarts))
+                for restart in range(restarts):
+                    drawn = np.array([-math.log(chance(seed, restart, step, name)) for name in names])
+                    race = np.divide(drawn, away[:, restart], out=np.full(len(drawn), np.inf), where=away[:, restart] > 0)
+                    for i in np.nonzero(race == race.min())[0].tolist() if len(race) else ():
+                        best[restart] = min(best.get(restart, (math.inf, "\U0010ffff")), (float(race[i]), names[i], *points[i].tolist()))
+            found = sorted((r, *b) for r, b in best.items() if len(b) > 2)
+            columns = list(zip(*found, strict=True)) if found else [()] * (3 + width)
+            kinds = [pa.int32(), pa.float64(), pa.string(), *[pa.float64()] * width]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["restart", "race", "id", *coordinates])
+
+        schema = "restart int, race double, id string, " + ", ".join(f"{c} double" for c in coordinates)
+        first = F.min(F.struct("race", "id", *coordinates)).alias("best")
+        met = {r["restart"]: r["best"] for r in rows.mapInArrow(racing, schema).groupBy("restart").agg(first).collect()}
+        # Fewer different points than clusters: the first start point again, to which nothing will belong.
+        news = [
+            [met[r][c] for c in coordinates] if r in met and math.isfinite(met[r]["race"]) else (chosen[r, 0] if step else np.zeros(width))
+            for r in range(restarts)
+        ]
+        chosen = np.concatenate([chosen, np.array(news, float)[:, None]], axis=1)
+    return chosen
+
+
+def _assigned(rows: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every (restart, cluster): points nearest to its centre, their sum and their summed squared distance.
+
+    One aggregation for all restarts. Each task hands on a row for each restart and cluster.
+    """
+    restarts, k, width = centres.shape
+    totals = [f"t{i}" for i in range(width)]
+
+    def assigning(batches):
+        n, total, cost = np.zeros((restarts, k)), np.zeros((restarts, k, width)), np.zeros((restarts, k))
+        for batch in batches:
+            points = _points_of(batch)
+            away = _squared(points, centres)
+            nearest = away.argmin(2)
+            for r in range(restarts):
+                n[r] += np.bincount(nearest[:, r], minlength=k)
+                cost[r] += np.bincount(nearest[:, r], away[np.arange(len(points)), r, nearest[:, r]], k)
+                for i in range(width):
+                    total[r, :, i] += np.bincount(nearest[:, r], points[:, i], k)
+        at = np.argwhere(n > 0)
+        columns = [at[:, 0].astype(np.int32), at[:, 1].astype(np.int32), n[n > 0], cost[n > 0], *total[n > 0].T]
+        yield pa.record_batch([pa.array(c) for c in columns], ["restart", "cluster", "n", "cost", *totals])
+
+    schema = "restart int, cluster int, n double, cost double, " + ", ".join(f"{t} double" for t in totals)
+    summed = rows.mapInArrow(assigning, schema).groupBy("restart", "cluster").agg(*[F.sum(c).alias(c) for c in ("n", "cost", *totals)])
+    n, total, cost = np.zeros((restarts, k)), np.zeros((restarts, k, width)), np.zeros((restarts, k))
+    for row in summed.collect():  # restarts times k rows
+        at = row["restart"], row["cluster"]
+        n[at], cost[at], total[at] = row["n"], row["cost"], [row[t] for t in totals]
+    return n, total, cost
+
+
+def kmeans_centres(rows: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED) -> np.ndarray:
+    """Centres of the best of several seeded k-means fits, sorted, of rows ``id string, c0 double, c1 ...``.
+
+    All restarts share each pass over the rows; one that has settled (its centres together move less than
+    TOLERANCE of the mean variance, squared) drops out. Only centres and their sums come to the driver.
+    """
+    variance = rows.agg(sum(F.var_pop(c) for c in rows.columns[1:]) / (len(rows.columns) - 1)).first()[0] or 0.0
+    centres = _seeded(rows, k, restarts, seed)
+    moving = np.arange(restarts)
+    for _ in range(ITERATIONS):
+        n, total, _ = _assigned(rows, centres[moving])
+        moved = np.where(n[..., None] > 0, total / np.maximum(n, 1)[..., None], centres[moving])
+        shift = ((moved - centres[moving]) ** 2).sum((1, 2))
+        centres[moving] = moved
+        moving = moving[shift > TOLERANCE * variance]
+        if not moving.size:
+            break
+    cost = _assigned(rows, centres)[2].sum(1)
+    return np.array(sorted(centres[cost.argmin()].tolist()))
 
 
 def kmeans_labels(
@@ -35,29 +140,22 @@ def kmeans_labels(
     columns: Sequence[str] = FEATURES,
     restarts: int = RESTARTS,
     seed: int = SEED,
+    entity: str = "country",
 ) -> DataFrame:
-    """Add ``cluster``: the best of several seeded k-means fits, numbered by centroid order.
+    """Add ``cluster``: the nearest centre of the best of several seeded k-means fits.
 
-    Every iteration of every fit reads the points, which are kept in memory, so ``points`` should
-    be quick to rebuild, as from staged features. Only the k centroids come to the driver. Numbering by sorted centroids makes labels independent of the winning seed.
+    Clusters are numbered by sorted centres, so labels do not depend on which fit won. The points are stored
+    once, since every pass reads them.
     """
-    vectors = with_vector(points, columns).persist()
-    variance = points.agg(sum(F.var_pop(c) for c in columns) / len(columns)).first()[0] or 0.0
-    # A fit ends when all centroids together move less than TOLERANCE of the mean variance, squared.
-    step = (TOLERANCE * variance / k) ** 0.5
-
-    def fit(offset: int):
-        return KMeans(k=k, seed=seed + offset, maxIter=300, tol=step, featuresCol="features").fit(vectors)
-
-    # Independent fits are small jobs waiting on the scheduler; a few at a time keep executors busy.
-    with ThreadPool(min(FITS_AT_ONCE, restarts)) as pool:
-        models = pool.map(inheritable_thread_target(points.sparkSession)(fit), range(restarts))
-    best = min(models, key=lambda model: model.summary.trainingCost)
-    vectors.unpersist()
-    order = sorted(range(len(best.clusterCenters())), key=lambda i: tuple(best.clusterCenters()[i]))
-    renumbered = F.array(*[F.lit(order.index(i)) for i in range(len(order))])
-    labelled = best.setPredictionCol("_raw").transform(vectors)
-    return labelled.withColumn("cluster", F.get(renumbered, F.col("_raw"))).drop("_raw", "features")
+    stored = stage(points)
+    own = [F.col(f"`{c}`").cast("double") for c in columns]
+    rows = stored.select(F.col(f"`{entity}`").cast("string").alias("id"), *[c.alias(f"c{i}") for i, c in enumerate(own)])
+    centres = kmeans_centres(rows, k, restarts, seed)
+    away = [
+        F.struct(sum((c - F.lit(float(x))) * (c - F.lit(float(x))) for c, x in zip(own, centre, strict=True)).alias("far"), F.lit(i).alias("of"))
+        for i, centre in enumerate(centres)
+    ]
+    return stored.withColumn("cluster", F.array_min(F.array(*away))["of"])
 
 
 def cluster_order(labelled: DataFrame, columns: Sequence[str] = FEATURES) -> DataFrame:
@@ -67,20 +165,16 @@ def cluster_order(labelled: DataFrame, columns: Sequence[str] = FEATURES) -> Dat
 
 
 def principal_view(points: DataFrame, columns: Sequence[str] = FEATURES, keep: Sequence[str] = ("country", "cluster")) -> DataFrame:
-    """First two principal coordinates of each entity.
+    """First two principal coordinates of each entity, from the merged moments of one pass (see ``gram``).
 
-    Columns are centred first, since the transform itself does not. A component's sign is
-    arbitrary; the loading of largest size is made positive.
+    A component's sign is arbitrary; the loading of largest size is made positive.
     """
-    means = points.agg(F.struct(*[F.avg(c).alias(c) for c in columns])).scalar()
-    centred = with_vector(points.withColumns({c: F.col(c) - means[c] for c in columns}), columns)
-    model = PCA(k=2, inputCol="features", outputCol="_pc").fit(centred)
-    loadings = model.pc.toArray()
-    signs = [1.0 if loadings[np.abs(loadings[:, j]).argmax(), j] >= 0 else -1.0 for j in range(2)]
-    coordinates = vector_to_array("_pc")
-    return model.transform(centred).select(
-        *keep, *[(coordinates[j] * signs[j]).alias(f"pc{j + 1}") for j in range(2)]
-    )
+    means, axes = principal_axes(points, columns, 2)
+
+    def along(axis):
+        return sum((F.col(c) - F.lit(float(m))) * F.lit(float(w)) for c, m, w in zip(columns, means, axis, strict=True))
+
+    return points.select(*keep, *[along(axes[:, j]).alias(f"pc{j + 1}") for j in range(2)])
 
 
 def silhouette_widths(labelled: DataFrame, columns: Sequence[str] = FEATURES, entity: str = "country") -> DataFrame:

@@ -20,14 +20,20 @@ from daymart.session import stage
 class ClusterRun:
     """Results of one run. Without enough data ``labels`` is None and ``warnings`` says why.
 
-    Silhouette and view are computed when they are first asked for.
+    Labels, silhouette and view are computed when they are first asked for; a report costs no fit.
     """
 
     report: DataFrame
     features: DataFrame
-    labels: DataFrame | None = None
+    points: DataFrame | None = None
+    clusters: int = 0
     warnings: list[str] = field(default_factory=list)
 
+    @cached_property
+    def labels(self) -> DataFrame | None:
+        """The points that were clustered, with their cluster."""
+        return None if self.points is None else stage(kmeans_labels(self.points, self.clusters))
+
     @cached_property
     def labelled(self) -> DataFrame | None:
         """Features as measured, with their cluster."""
@@ -64,11 +70,13 @@ def cluster_entities(
     # Staged because every model fit goes back to it.
     features = stage(weekly_features(weekly_mean(daily, value), value))
     names = requested if requested is not None else mart.select("country")
-    report = series_report(names, series_stats(daily, value))
+    described = features.select("country", F.lit(True).alias("_described"))
+    stats = series_stats(daily, value).join(described, "country", "left")
+    report = series_report(names, stats, has_features=F.coalesce("_described", F.lit(False)))
     n = features.count()
     if n == 0:
         return ClusterRun(report, features, warnings=[f"no usable series ({FEW_WEEKS}); widen window or selection"])
     if n < 2:
         return ClusterRun(report, features, warnings=["one usable series; select more entities"])
     points = standardize(features) if scaled else features
-    return ClusterRun(report, features, kmeans_labels(points, cluster_count(n)))
+    return ClusterRun(report, features, points, cluster_count(n))

@@ -2,7 +2,6 @@ import datetime
 import math
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,7 +148,7 @@ def test_history_is_untouched_and_gaps_count_as_days(spark):
 def test_gates(spark):
     assert forecast.forecast_all(series(spark, [1.0] * 20, metric=fixed.GDP_METRIC)).count() == 0
     with pytest.raises(ValueError):
-        forecast.forecast_all(series(spark, [1.0] * 20), 91)
+        forecast_metric(spark.createDataFrame([], "country string, d date, new_cases double"), "new_cases", 91)
 
 
 def test_request_gates_and_covers_every_entity(week_mart):
@@ -160,9 +159,124 @@ def test_request_gates_and_covers_every_entity(week_mart):
         forecast_metric(week_mart(2), "gdp_ppp_per_capita")
 
 
-def test_fit_reduces_error_against_a_flat_guess():
+def plain_errors(y, weights, season):
+    """The recursion for one series and one row of weights, day by day."""
+    alpha, beta, gamma, phi = weights
+    level, trend, pattern = forecast._start(y, season)
+    pattern, out = list(pattern), []
+    for t, value in enumerate(y):
+        s, base = pattern[t % len(pattern)], level + phi * trend
+        out.append(value - base - s)
+        risen = alpha * (value - s) + (1 - alpha) * base
+        trend = beta * (risen - level) + (1 - beta) * phi * trend
+        if season:
+            pattern[t % len(pattern)] = gamma * (value - base) + (1 - gamma) * s
+        level = risen
+    return np.array(out)
+
+
+def some_series():
     rng = np.random.default_rng(0)
-    y = np.cumsum(rng.normal(0, 1, 80)) + 50
-    residuals, _ = forecast._fit(y, 7, 7)
-    assert (residuals**2).mean() < y.var()
-    assert isinstance(pd.Series(residuals).std(), float)
+    out = []
+    for i in range(36):
+        n = int(rng.choice([10, 13, 14, 15, 30, 61, 120]))
+        t = np.arange(n)
+        kinds = (rng.integers(0, 50, n), np.cumsum(rng.normal(0, 1, n)) + 50, 10 + 5 * np.sin(t * 2 * np.pi / 7) + rng.normal(0, 1, n), t * 2.0 + rng.normal(0, 3, n), np.zeros(n) + 5, np.exp(rng.normal(0, 2, n)))
+        out.append(kinds[i % 6].astype(float).clip(0))
+    return out
+
+
+def test_fits_are_never_worse_than_the_grid():
+    """Packed by length, all fitted together: each ends at or below its own best point of the grid, most far below it."""
+    every = some_series()
+    rows = forecast._rows_of([(str(i), "m", list(range(100, 100 + len(y))), y.tolist(), None) for i, y in enumerate(every)], 7)
+    names = [f.strip().split()[0] for f in forecast.FITTED.split(",")]
+    gained = 0
+    for found in (dict(zip(names, r, strict=True)) for r in rows):
+        y = every[int(found["country"])]
+        season = 7 if len(y) >= 14 else 0
+        weights = [found[c] for c in ("alpha", "beta", "gamma", "phi")]
+        errors = plain_errors(y, weights, season)
+        grid = min((plain_errors(y, w, season) ** 2).sum() for w in forecast.GRID)
+        assert found["squared_error"] == pytest.approx((errors**2).sum()) and found["start_error"] == pytest.approx(grid)
+        assert found["squared_error"] <= grid * (1 + 1e-9)
+        assert found["spread"] == pytest.approx(errors.std(ddof=1)) and found["n_days"] == len(y)
+        assert (np.array(weights) >= forecast.LOWEST).all() and (np.array(weights) <= forecast.HIGHEST).all()
+        gained += found["squared_error"] < grid * 0.99
+    assert gained > 18
+
+
+def test_given_weights_are_used(spark):
+    y = some_series()[6]
+    points = series(spark, y.tolist()).withColumns({"a": F.lit(0.3), "b": F.lit(0.05), "c": F.lit(0.2), "p": F.lit(0.9)})
+    found = forecast.fit_series(points, 7, ("a", "b", "c", "p")).first()
+    assert found.squared_error == pytest.approx((plain_errors(y, (0.3, 0.05, 0.2, 0.9), 7 if len(y) >= 14 else 0) ** 2).sum()) and found.start_error is None
+
+
+def test_kmeans_equals_a_plain_run(spark):
+    """Same seeded starts, then Lloyd's rounds of each restart by itself."""
+    rng = np.random.default_rng(3)
+    table = rng.normal(0, 1, (150, 6)) + rng.integers(0, 3, (150, 1))
+    names = [f"e{i}" for i in range(150)]
+    rows = spark.createDataFrame([(n, *map(float, p)) for n, p in zip(names, table, strict=True)], "id string, " + ", ".join(f"c{i} double" for i in range(6))).repartition(5)
+    ends = []
+    for restart in range(6):
+        centres = []
+        for step in range(3):
+            away = np.min([((table - c) ** 2).sum(1) for c in centres], axis=0) if centres else np.ones(150)
+            race = [-math.log(clustering.chance(9, restart, step, n)) / a if a else math.inf for n, a in zip(names, away, strict=True)]
+            centres.append(table[int(np.argmin(race))])
+        centres = np.array(centres)
+        for _ in range(300):
+            nearest = ((table[:, None] - centres) ** 2).sum(2).argmin(1)
+            moved = np.array([table[nearest == c].mean(0) if (nearest == c).any() else centres[c] for c in range(3)])
+            shift, centres = ((moved - centres) ** 2).sum(), moved
+            if shift <= clustering.TOLERANCE * table.var(0).mean():
+                break
+        ends.append((((table[:, None] - centres) ** 2).sum(2).min(1).sum(), sorted(centres.tolist())))
+    want = min(ends, key=lambda x: x[0])[1]
+    assert np.allclose(clustering.kmeans_centres(rows, 3, 6, 9), want)
+
+
+def test_restarts_share_their_passes(spark, monkeypatch):
+    """A pass serves all restarts, so more of them take no more seeding passes and only as many rounds as the slowest."""
+    rows = blobs(spark).select(F.col("country").alias("id"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(COLUMNS)]).persist()
+    passes = []
+    inner = clustering._assigned
+    monkeypatch.setattr(clustering, "_assigned", lambda *a: passes.append(len(a[1])) or inner(*a))
+    rounds = {}
+    for restarts in (1, 10):
+        passes.clear()
+        clustering.kmeans_centres(rows, 4, restarts)
+        rounds[restarts] = len(passes)
+    assert rounds[10] <= rounds[1] + 12 and passes[0] == 10 and passes == sorted(passes[:-1], reverse=True) + [10]
+    rows.unpersist()
+
+
+def test_fewer_points_than_clusters(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "id string, c0 double")
+    assert clustering.kmeans_centres(rows, 3, 4).tolist() == [[1.0]] * 3
+
+
+def test_a_report_costs_no_fit(week_mart, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("fitted")
+
+    monkeypatch.setattr(clustering, "kmeans_centres", refuse)
+    run = cluster_entities(week_mart(5), "NEW_CASES", "2024-02-14", 60)
+    assert run.report.count() == 5
+    with pytest.raises(AssertionError, match="fitted"):
+        run.labels
+
+
+def test_series_without_features_are_named(spark):
+    stats = spark.createDataFrame([("a", 30, 30, 5, True), ("b", 30, 30, 5, False)], "country string, len int, nnz int, weeks int, described boolean")
+    stats = stats.withColumns({"first": F.lit(None).cast("date"), "last": F.lit(None).cast("date")})
+    got = {r.country: (r.ok, r.reason) for r in run_report(stats)}
+    assert got == {"a": (True, ""), "b": (False, fixed.NO_FEATURES)}
+
+
+def run_report(stats):
+    from daymart.operators.series import series_report
+
+    return series_report(stats, stats, has_features=F.col("described")).collect()

@@ -15,9 +15,8 @@ def con():
     return open_tables(SMALL)
 
 
-IN_PYTHON = ("forecast", "forecast_segments")
-#: What SQL does not state; tests/test_models.py holds these against plain versions.
-WITHOUT_SQL = ("forecast", "clusters", "pca_points", "silhouette")
+#: Fits and matrix products run on Arrow batches inside tasks; all else is built-in expressions.
+IN_PYTHON = ("forecast", "forecast_fit", "forecast_request", "forecast_segments", "correlation_matrix")
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
@@ -25,16 +24,14 @@ def test_query_equals_sql(spark, con, name):
     df = queries()[name](spark, SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-    python_nodes = re.findall(r"FlatMap\w+InPandas|ArrowEvalPython|BatchEvalPython|MapInPandas", plan)
+    python_nodes = re.findall(r"FlatMap\w+InPandas|ArrowEvalPython|BatchEvalPython|MapInPandas|MapInArrow", plan)
     assert bool(python_nodes) == (name in IN_PYTHON)
-    if name in WITHOUT_SQL:
-        assert df.count() > 0 and name not in oracle_sql()
-    else:
-        assert compare(name, spark, con, SMALL, df) == ""
+    assert compare(name, spark, con, SMALL, df) == ""
 
 
 def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) <= set(oracle_sql())
 
 
 def test_entry(spark):

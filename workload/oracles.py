@@ -151,6 +151,94 @@ STANDARD = "standard AS (SELECT country, " + ", ".join(
     f"coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0) AS {c}" for c in _FEATURE_NAMES
 ) + " FROM features)"
 
+_CENTRE = [f"m{i}" for i in range(len(_FEATURE_NAMES))]
+_AWAY = " + ".join(f"(p.{c} - l.{m}) ** 2" for c, m in zip(_FEATURE_NAMES, _CENTRE))
+
+
+def _clustered() -> str:
+    """K-means of the recent features: seeded starts drawn one by one, then every restart until it settles."""
+    ps, cs = ", ".join(f"p.{c}" for c in _FEATURE_NAMES), ", ".join(_CENTRE)
+    drawn = f"""-ln((CAST('0x' || substr(md5('{fixed.SEED}/' || r || '/{{step}}/' || country), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)"""
+    packed = ", ".join(f"{m} := p.{c}" for c, m in zip(_FEATURE_NAMES, _CENTRE))
+    steps = [
+        f"""chosen0 AS (SELECT r, 0 AS c, unnest(arg_min(struct_pack({packed}), struct_pack(race := {drawn.format(step=0)}, country := country)))
+  FROM standard p, restarts GROUP BY r)"""
+    ]
+    for step in range(1, 4):
+        steps.append(
+            f"""away{step} AS (SELECT p.country, l.r, min({_AWAY}) AS away, {", ".join(f"any_value(p.{c}) AS {c}" for c in _FEATURE_NAMES)}
+  FROM standard p, chosen{step - 1} l GROUP BY p.country, l.r),
+chosen{step} AS (SELECT * FROM chosen{step - 1} UNION ALL
+  SELECT r, {step} AS c, unnest(arg_min(struct_pack({packed}), struct_pack(race := {drawn.format(step=step)} / away, country := country)))
+  FROM away{step} p WHERE away > 0 GROUP BY r)"""
+        )
+    moved = ", ".join(f"coalesce(a.{m}, l.{m}) AS {m}, (coalesce(a.{m}, l.{m}) - l.{m}) ** 2 AS s{m}" for m in _CENTRE)
+    variance = "(SELECT (" + " + ".join(f"var_pop({c})" for c in _FEATURE_NAMES) + f") / {len(_FEATURE_NAMES)} FROM standard)"
+    return f"""restarts AS (SELECT unnest(range({fixed.RESTARTS})) AS r), {", ".join(steps)},
+lloyd AS (
+  SELECT 0 AS it, r, c, {cs}, false AS settled FROM chosen3
+  UNION ALL
+  SELECT it + 1, r, c, {cs}, sum({" + ".join(f"s{m}" for m in _CENTRE)}) OVER (PARTITION BY r) <= 1e-4 * {variance}
+  FROM (
+    SELECT l.it, l.r, l.c, {moved} FROM lloyd l LEFT JOIN (
+      SELECT r, c, {", ".join(f"avg({c}) AS {m}" for c, m in zip(_FEATURE_NAMES, _CENTRE))} FROM (
+        SELECT p.country, l.r, arg_min(l.c, struct_pack(d := {_AWAY}, c := l.c)) AS c, {", ".join(f"any_value(p.{c}) AS {c}" for c in _FEATURE_NAMES)}
+        FROM standard p, lloyd l WHERE NOT l.settled GROUP BY p.country, l.r) GROUP BY r, c) a ON a.r = l.r AND a.c = l.c
+    WHERE NOT l.settled AND l.it < 300)),
+finals AS (SELECT * FROM lloyd QUALIFY it = max(it) OVER (PARTITION BY r)),
+costs AS (SELECT r, sum(d) AS cost FROM (SELECT l.r, p.country, min({_AWAY}) AS d FROM standard p, finals l GROUP BY 1, 2) GROUP BY r),
+centres AS (SELECT {cs}, row_number() OVER (ORDER BY {cs}) - 1 AS k FROM finals WHERE r = (SELECT arg_min(r, cost) FROM costs)),
+labelled AS (SELECT p.country, {ps}, k AS cluster FROM (
+  SELECT p.country, arg_min(l.k, struct_pack(d := {_AWAY}, k := l.k)) AS k FROM standard p, centres l GROUP BY 1) x JOIN standard p USING (country))"""
+
+
+def _axis(name: str, matrix: str) -> str:
+    """First principal axis of a matrix (i, j, x), by squaring it until one axis is left."""
+    return f"""{name}_powers AS (
+  SELECT 0 AS it, i, j, x / (SELECT sum(x) FROM {matrix} WHERE i = j) AS x FROM {matrix}
+  UNION ALL
+  SELECT it + 1, i, j, x / sum(CASE WHEN i = j THEN x END) OVER () FROM (
+    SELECT a.it, a.i, b.j, sum(a.x * b.x) AS x FROM {name}_powers a JOIN {name}_powers b ON a.j = b.i GROUP BY 1, 2, 3) WHERE it < 40),
+{name}_column AS (
+  SELECT i, x FROM {name}_powers WHERE it = 40 AND j = (SELECT arg_max(i, x) FROM {name}_powers WHERE it = 40 AND i = j)),
+{name} AS (SELECT i, x / sqrt(sum(x * x) OVER ()) * sign(first(x) OVER (ORDER BY abs(x) DESC)) AS x FROM {name}_column)"""
+
+
+_RECENT = f"""{USER_DAY},
+  windowed AS (SELECT country, d, coalesce(daily_vaccinations, 0.0) AS v FROM user_day WHERE d BETWEEN DATE '2024-01-02' AND DATE '2024-01-28'),
+  {_daily('windowed', 'v')}, {FEATURES}, {STANDARD}, {_clustered()}"""
+
+def _smoothed(weights: str) -> str:
+    """Damped trend with a weekly season, day by day, for every series of ``daily`` and row of weights (country, w, a, b, c, p)."""
+    return f"""ys AS (SELECT country, row_number() OVER (PARTITION BY country ORDER BY d) - 1 AS t, greatest(v, 0) AS y, d FROM daily),
+shapes AS (
+  SELECT country, count(*) AS n, count(*) >= 14 AS weekly, least(5, count(*) // 7) AS cycles, min(d) AS first_day, max(d) AS last_day
+  FROM ys WHERE country IN (SELECT country FROM points GROUP BY 1 HAVING count(v) >= 10) GROUP BY 1),
+slopes AS (
+  SELECT country, any_value(n) AS n, any_value(cycles) AS cycles,
+         (avg(y) FILTER (WHERE t >= (cycles - 1) * 7 AND t < cycles * 7) - avg(y) FILTER (WHERE t < 7)) / greatest((any_value(cycles) - 1) * 7, 1) AS slope
+  FROM ys JOIN shapes USING (country) WHERE weekly GROUP BY 1),
+turns AS (
+  SELECT country, t % 7 AS k, avg(y - slope * t) AS x FROM ys JOIN slopes USING (country) WHERE t < cycles * 7 GROUP BY 1, 2),
+patterns AS (SELECT country, list(x - m ORDER BY k) AS pattern FROM (SELECT *, avg(x) OVER (PARTITION BY country) AS m FROM turns) GROUP BY 1),
+flats AS (
+  SELECT country, t + 1 AS t, y - CASE WHEN weekly THEN pattern[t % 7 + 1] ELSE 0 END AS f
+  FROM ys JOIN shapes USING (country) LEFT JOIN patterns USING (country) WHERE t < 10),
+starts AS (
+  SELECT country, regr_intercept(f, t) AS level, regr_slope(f, t) AS trend FROM flats GROUP BY 1),
+smoothed AS (
+  SELECT s.country, w.w, 0 AS t, level, trend, coalesce(pattern, [0, 0, 0, 0, 0, 0, 0]::DOUBLE[]) AS pattern, CAST(NULL AS DOUBLE) AS error, a, b, c, p, weekly
+  FROM starts s JOIN shapes USING (country) LEFT JOIN patterns USING (country) JOIN {weights} w ON w.country = s.country
+  UNION ALL
+  SELECT country, w, t + 1, risen, b * (risen - level) + (1 - b) * p * trend,
+         CASE WHEN weekly THEN list_concat(list_concat(pattern[1:t % 7], [c * (y - base) + (1 - c) * s]), pattern[t % 7 + 2:]) ELSE pattern END,
+         y - base - s, a, b, c, p, weekly
+  FROM (
+    SELECT m.*, ys.y, level + p * trend AS base, pattern[m.t % 7 + 1] AS s, a * (ys.y - pattern[m.t % 7 + 1]) + (1 - a) * (level + p * trend) AS risen
+    FROM smoothed m JOIN ys ON ys.country = m.country AND ys.t = m.t)),
+fits AS (SELECT country, w, sum(error ** 2) AS squares, coalesce(stddev_samp(error), 0) AS spread FROM smoothed GROUP BY 1, 2)"""
+
+
 TIERED = """maxima AS (SELECT country, max(gdp_ppp_per_capita) AS m FROM enriched GROUP BY 1),
 edges AS (SELECT quantile_cont(m, 1.0/3) AS q1, quantile_cont(m, 2.0/3) AS q2, min(m) AS lo, max(m) AS hi FROM maxima),
 cuts AS (
@@ -393,6 +481,27 @@ ORACLES: dict[str, str] = {
     SELECT country, own, max(CASE WHEN own = other THEN total / nullif(n - 1, 0) END) AS a, min(CASE WHEN own <> other THEN total / n END) AS b
     FROM pairs GROUP BY 1, 2)
   SELECT country, CAST(own AS INTEGER) AS cluster, round(coalesce((b - a) / nullif(greatest(a, b), 0), 0), 4) AS width FROM sides""",
+    "clusters": f"""WITH RECURSIVE {_RECENT}
+  SELECT f.country, {", ".join(f"f.{c}" if c == "time_to_peak" else f"round(f.{c}, 3) AS {c}" for c in _FEATURE_NAMES)}, CAST(cluster AS INTEGER) AS cluster
+  FROM features f JOIN labelled USING (country)""",
+    "pca_points": f"""WITH RECURSIVE {_RECENT},
+  long AS (UNPIVOT labelled ON {", ".join(_FEATURE_NAMES)} INTO NAME i VALUE x),
+  cov AS (SELECT a.i, b.i AS j, covar_pop(a.x, b.x) AS x FROM long a JOIN long b USING (country) GROUP BY 1, 2),
+  {_axis("first_axis", "cov")},
+  pulled AS (SELECT sum(a.x * cov.x * b.x) AS strength FROM cov JOIN first_axis a ON a.i = cov.i JOIN first_axis b ON b.i = cov.j),
+  rest AS (SELECT cov.i, cov.j, cov.x - strength * a.x * b.x AS x FROM cov, pulled, first_axis a, first_axis b WHERE a.i = cov.i AND b.i = cov.j),
+  {_axis("second_axis", "rest")},
+  means AS (SELECT i, avg(x) AS x FROM long GROUP BY 1)
+  SELECT country, CAST(any_value(cluster) AS INTEGER) AS cluster, round(sum((l.x - m.x) * a.x), 4) AS pc1, round(sum((l.x - m.x) * b.x), 4) AS pc2
+  FROM long l JOIN means m USING (i) JOIN first_axis a USING (i) JOIN second_axis b USING (i) GROUP BY country""",
+    "silhouette": f"""WITH RECURSIVE {_RECENT},
+  pairs AS (
+    SELECT a.country, a.cluster AS own, b.cluster AS other, sum({' + '.join(f'(a.{c} - b.{c}) ** 2' for c in _FEATURE_NAMES)}) AS total, count(*) AS n
+    FROM labelled a, labelled b GROUP BY 1, 2, 3),
+  sides AS (
+    SELECT country, own, max(CASE WHEN own = other THEN total / nullif(n - 1, 0) END) AS a, min(CASE WHEN own <> other THEN total / n END) AS b
+    FROM pairs GROUP BY 1, 2)
+  SELECT count(*) AS n, count(DISTINCT own) AS labels, round(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 5) AS silhouette FROM sides""",
     "cluster_report": f"""WITH {USER_DAY},
   windowed AS (SELECT country, d, coalesce(daily_vaccinations, 0.0) AS v FROM user_day WHERE d BETWEEN DATE '2024-01-02' AND DATE '2024-01-28'),
   {_daily('windowed', 'v')},
@@ -403,6 +512,33 @@ ORACLES: dict[str, str] = {
          CASE WHEN len IS NULL THEN 'empty-or-non-datetime' WHEN weeks < 4 THEN 'insufficient-weekly-points' ELSE '' END AS reason,
          coalesce(len, 0) AS len, coalesce(nnz, 0) AS nnz, first, last
   FROM (SELECT DISTINCT country FROM user_day) LEFT JOIN stats USING (country) ORDER BY ok DESC, country""",
+    "forecast": f"""WITH RECURSIVE {EVENT_DAY}, {_daily('event_day', 'new_cases')},
+  weights AS (SELECT DISTINCT country, 0 AS w, 0.1 + 0.05 * length(country) AS a, 0.02 * length(country) AS b, 0.3 - 0.02 * length(country) AS c,
+                     0.8 + 0.02 * length(country) AS p FROM event_day),
+  {_smoothed('weights')},
+  ahead AS (
+    SELECT m.country, CAST(last_day + CAST(h AS INTEGER) AS DATE) AS date, level + trend * p * (1 - p ** h) / (1 - p) + pattern[(n + h - 1) % 7 + 1] AS value, spread
+    FROM smoothed m JOIN shapes s ON s.country = m.country AND s.n = m.t JOIN fits f ON f.country = m.country, range(1, 15) r(h))
+  SELECT country, 'NEW_CASES' AS metric, date, round(value, 4) AS value, kind FROM (
+    SELECT country, d AS date, new_cases AS value, 'history' AS kind FROM event_day
+    UNION ALL SELECT country, date, value, 'forecast' FROM ahead
+    UNION ALL SELECT country, date, greatest(value - 1.96 * spread, 0), 'conf_low' FROM ahead
+    UNION ALL SELECT country, date, value + 1.96 * spread, 'conf_high' FROM ahead)""",
+    "forecast_fit": f"""WITH RECURSIVE {EVENT_DAY}, {_daily('event_day', 'new_cases')},
+  weights AS (
+    SELECT country, row_number() OVER () AS w, a, b, c, p FROM (SELECT DISTINCT country FROM event_day),
+    (VALUES (0.1), (0.3), (0.6), (0.9)) x(a), (VALUES (0.01), (0.1), (0.3)) y(b), (VALUES (0.01), (0.1), (0.3)) z(c), (VALUES (0.8), (0.9), (0.98)) u(p)),
+  {_smoothed('weights')}
+  SELECT s.country, 'NEW_CASES' AS metric, first_day, CAST(n AS INTEGER) AS n_days, round(min(squares), 2) AS start_error, true AS no_worse
+  FROM shapes s JOIN fits USING (country) GROUP BY ALL""",
+    "forecast_request": f"""WITH {NATION_DAY}, chosen AS (
+    SELECT country, d, coalesce(new_cases, 0.0) AS v FROM nation_day
+    WHERE d BETWEEN DATE '1996-03-01' AND DATE '1996-12-31' AND country IN {TWELVE}),
+  spans AS (SELECT country, count(*) AS n, min(d) AS lo, max(d) AS hi, sum(v) AS total FROM chosen GROUP BY 1)
+  SELECT country, 'NEW_CASES' AS metric, 'history' AS kind, n, lo AS first_day, hi AS last_day, round(total, 2) AS history_total FROM spans
+  UNION ALL
+  SELECT country, 'NEW_CASES', kind, 21, CAST(hi + 1 AS DATE), CAST(hi + 21 AS DATE), NULL
+  FROM spans, (VALUES ('forecast'), ('conf_low'), ('conf_high')) AS k(kind) WHERE n >= 10""",
     "forecast_segments": f"""WITH {USER_DAY}, spans AS (
     SELECT country, count(*) AS n, min(d) AS lo, max(d) AS hi, sum(coalesce(daily_vaccinations, 0.0)) AS total FROM user_day GROUP BY 1)
   SELECT country, 'DAILY_VACCINATIONS' AS metric, 'history' AS kind, n, lo AS first_day, hi AS last_day, round(total, 2) AS history_total FROM spans

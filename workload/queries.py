@@ -12,7 +12,7 @@ from daymart.functions.scalars import clamp_day, ordered_range
 from daymart.operators import annotations, canonical, clustering, features, forecast, frequent, patterns, profile, quantiles, series
 from daymart.operators import snapshots, tiers
 from daymart.operators.asof import enrich_mart
-from daymart.plans import cluster_run, metric_series, pattern_query
+from daymart.plans import cluster_run, forecast_run, metric_series, pattern_query
 from daymart.sources.sql import run_sql
 from daymart.sources.tables import clean_yearly, csv_rows, wide_numbers
 from daymart.session import stage
@@ -321,11 +321,11 @@ def clusters(spark, folder):
 
 
 def pca_points(spark, folder):
-    return _run(spark, folder).view
+    return rounded(_run(spark, folder).view, "pc1", "pc2", places=4)
 
 
 def silhouette(spark, folder):
-    return _run(spark, folder).silhouette
+    return rounded(_run(spark, folder).silhouette, "silhouette", places=5)
 
 
 def cluster_report(spark, folder):
@@ -341,23 +341,42 @@ def silhouette_widths(spark, folder):
 
 
 def forecast_series(spark, folder):
+    """Every event type's series under weights that its name gives."""
     points = metric_series.metric_response(metric_series.metric_series(v.event_day(spark, folder), "NEW_CASES"))
-    return forecast.forecast_all(points)
+    size = F.char_length("country")
+    weighted = points.withColumns({"a": 0.1 + 0.05 * size, "b": 0.02 * size, "c": 0.3 - 0.02 * size, "p": 0.8 + 0.02 * size})
+    return rounded(forecast.forecast_all(weighted, weights=("a", "b", "c", "p")), "value", places=4)
+
+
+def forecast_fit(spark, folder):
+    """How far the fit of every event type's series gets below the best point of the grid it starts from."""
+    points = metric_series.metric_response(metric_series.metric_series(v.event_day(spark, folder), "NEW_CASES"))
+    fitted = forecast.fit_series(points)
+    return fitted.select(
+        "country", "metric", F.date_from_unix_date("first").alias("first_day"), "n_days",
+        F.round("start_error", 2).alias("start_error"), (F.col("squared_error") <= F.col("start_error")).alias("no_worse"),
+    )
+
+
+def forecast_request(spark, folder):
+    """A whole request: some entities, a range, a horizon of their own; fitted values are counted, history is summed."""
+    named = [f"NATION_{i}" for i in range(12)]
+    return _counted(forecast_run.forecast_metric(v.nation_day(spark, folder), "new_cases", 21, "1996-03-01", "1996-12-31", named))
+
+
+def _counted(segments):
+    return segments.groupBy("country", "metric", "kind").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("date").alias("first_day"),
+        F.max("date").alias("last_day"),
+        F.round(F.sum(F.when(F.col("kind") == "history", F.col("value"))), 2).alias("history_total"),
+    )
 
 
 def forecast_history(spark, folder):
     """Every user's series: many short fits; history rows can be checked in SQL, forecasts by count."""
     points = metric_series.metric_response(metric_series.metric_series(v.user_day(spark, folder), PRICE.upper()))
-    return (
-        forecast.forecast_all(points)
-        .groupBy("country", "metric", "kind")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("date").alias("first_day"),
-            F.max("date").alias("last_day"),
-            F.round(F.sum(F.when(F.col("kind") == "history", F.col("value"))), 2).alias("history_total"),
-        )
-    )
+    return _counted(forecast.forecast_all(points))
 
 
 def column_profile(spark, folder):
@@ -494,6 +513,8 @@ QUERIES: dict[str, Query] = {
     "silhouette_widths": silhouette_widths,
     "cluster_report": cluster_report,
     "forecast": forecast_series,
+    "forecast_fit": forecast_fit,
+    "forecast_request": forecast_request,
     "forecast_segments": forecast_history,
     "column_profile": column_profile,
     "mart_profile": mart_profile,
