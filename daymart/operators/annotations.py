@@ -36,7 +36,10 @@ def accepted_requests(requests: DataFrame, alias: DataFrame, first: str = FIRST_
 
 
 def upsert_counts(log: DataFrame, incoming: DataFrame) -> DataFrame:
-    """How many incoming comments meet an existing document and how many documents are new."""
+    """How many incoming comments meet an existing document and how many documents are new.
+
+    ``log`` may be the comments themselves or any headers of them; only their keys are read.
+    """
     new_keys = incoming.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
     # Distinct first, which combines map-side: a busy key of the log crosses the shuffle once per task.
     old_keys = log.select(*KEYS).distinct().withColumn("old", F.lit(True))
@@ -56,6 +59,11 @@ def annotation_docs(log: DataFrame) -> DataFrame:
     return log.groupBy(*KEYS).agg(F.min("ts").alias("created_at"), F.count(F.lit(1)).alias("n_comments"))
 
 
+def merged_headers(deltas: DataFrame) -> DataFrame:
+    """Headers of several parts of a log as those of the whole: they add up in any order and grouping."""
+    return deltas.groupBy(*KEYS).agg(F.min("created_at").alias("created_at"), F.sum("n_comments").alias("n_comments"))
+
+
 def read_annotations(rows: DataFrame, country: str, metric: str, start: str, end: str) -> DataFrame:
     """Headers or comments of one entity and metric (exact names) dated in the inclusive range."""
     return rows.where(

@@ -93,3 +93,45 @@ def gdp_with_cases(
         )
         .unpivot(["country", "date"], ["GDP_PPP_PER_CAPITA", "NEW_CASES_PER_100K"], "metric", "value")
     )
+
+
+def asof_union(
+    days: DataFrame,
+    yearly: DataFrame,
+    entity: str = "country",
+    day: str = "d",
+    value: str = "gdp_ppp_per_capita",
+    span_years: int = 4,
+) -> DataFrame:
+    """``asof_join`` for two large sides, without a join and without the key of ``days`` being unique.
+
+    Both sides are one stream of events of an entity, and a day takes the last value before it by a window. The
+    stream is cut into spans of years, so that an entity with a third of all rows spreads over tasks; what an
+    earlier span leaves behind is put in front of each later one, once per entity and span, until a new
+    value takes its place. A day without entity or date, or before the first value, has none.
+    """
+    span = F.floor(F.col("_year") / span_years)
+    left = days.select(
+        match_key(F.col(entity)).alias("_key"), F.year(day).alias("_year"), F.struct(*[F.col(f"`{c}`") for c in days.columns]).alias("_row")
+    ).withColumn("_span", span)
+    known = yearly.where(F.col("country").isNotNull() & F.col("year").isNotNull())
+    # One row per entity and year, as in validity_intervals; a struct, so that an unknown value is a value too.
+    per_year = (
+        known.groupBy(match_key(F.col("country")).alias("_key"), F.col("year").cast("int").alias("_year"))
+        .agg(F.struct(F.max(value).alias("v")).alias("_held"))
+        .withColumn("_span", span)
+    )
+    last = left.agg(F.max("_span")).scalar()
+    by_span = Window.partitionBy("_key").orderBy("_span")
+    left_behind = per_year.groupBy("_key", "_span").agg(F.max_by("_held", "_year").alias("_held"))
+    until = F.coalesce(F.lead("_span").over(by_span), last)
+    carried = (
+        left_behind.withColumn("_until", until)
+        .where(F.col("_until") > F.col("_span"))
+        .select("_key", F.explode(F.sequence(F.col("_span") + 1, "_until")).alias("_span"), "_held")
+    )
+    stream = left.unionByName(per_year, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
+    # In a span: what was carried into it (no year), then year by year its value before its days.
+    before = Window.partitionBy("_key", "_span").orderBy(F.col("_year").asc_nulls_first(), F.col("_row").isNotNull())
+    held = F.last("_held", ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return stream.withColumn("_held", held).where(F.col("_row").isNotNull()).select("_row.*", F.col("_held.v").alias(value))

@@ -193,3 +193,88 @@ def with_headings(matches: DataFrame, pattern: str) -> DataFrame:
     """Keep the pattern's columns that are present, in order, under their display headings."""
     headings = PATTERN_HEADINGS[pattern]
     return matches.select(*[c for c in headings if c in matches.columns]).withColumnsRenamed(headings)
+
+
+def run_summaries(df: DataFrame, value: str, entity: str = "country", day: str = "d") -> DataFrame:
+    """What a month's rows say about rising runs, so that months can be summarised apart and stitched later.
+
+    ``entity, month, part, n, first_day, first_value, second_day, second_value, last_day, last_value, rest_total``:
+    a month's rows are cut before every row that does not rise, and each stretch is a row, numbered by ``part``.
+    Only the first stretch may go on from the month before, only the last into the month after; of those between
+    only the ones with a rise are kept. Summaries of different months add up by union.
+    """
+    month = Window.partitionBy(entity, "month").orderBy(day)
+    rows = df.select(entity, day, value, F.trunc(day, "month").alias("month"))
+    up = F.coalesce(F.col(value) > F.lag(value).over(month), F.lit(False))
+    parts = rows.withColumn("_up", up).withColumn("part", F.sum(F.when(F.col("_up"), 0).otherwise(1)).over(month) - 1)
+    second = F.when(F.col("_up"), F.struct(F.col(day).alias("d"), F.col(value).alias("v")))
+    summed = parts.groupBy(entity, "month", "part").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(day).alias("first_day"),
+        F.min_by(value, day).alias("first_value"),
+        F.min(second).alias("_second"),
+        F.max(day).alias("last_day"),
+        F.max_by(value, day).alias("last_value"),
+        F.sum(F.when(F.col("_up"), F.col(value))).alias("rest_total"),
+    )
+    ends = Window.partitionBy(entity, "month")
+    kept = summed.withColumn("_last", F.max("part").over(ends)).where((F.col("n") > 1) | (F.col("part") == 0) | (F.col("part") == F.col("_last")))
+    return kept.select(
+        entity, "month", "part", "n", "first_day", "first_value", F.col("_second.d").alias("second_day"),
+        F.col("_second.v").alias("second_value"), "last_day", "last_value", "rest_total",
+    )
+
+
+def stitched_runs(summaries: DataFrame, min_len: int, entity: str = "country") -> DataFrame:
+    """``rising_runs`` of all months whose summaries are given, without the rows themselves.
+
+    The first stretch of a month goes on from the stretch before it if its first value rises above that one's
+    last. Of a run of stretches only the very first row is no rise.
+    """
+    order = Window.partitionBy(entity).orderBy("month", "part")
+    goes_on = F.coalesce((F.col("part") == 0) & (F.col("first_value") > F.lag("last_value").over(order)), F.lit(False))
+    chained = summaries.withColumn("_on", goes_on).withColumn("_run", F.sum(F.when(F.col("_on"), 0).otherwise(1)).over(order))
+    begun = F.when(F.col("_on"), F.struct(F.col("first_day").alias("d"), F.col("first_value").alias("v"))).otherwise(
+        F.when(F.col("n") > 1, F.struct(F.col("second_day").alias("d"), F.col("second_value").alias("v")))
+    )
+    total = F.coalesce("rest_total", F.lit(0)) + F.when(F.col("_on"), F.col("first_value")).otherwise(F.lit(0))
+    return (
+        chained.groupBy(entity, "_run")
+        .agg(
+            F.min(begun).alias("_begun"),
+            F.max("last_day").alias("end_day"),
+            F.sum(F.col("n") - F.when(F.col("_on"), 0).otherwise(1)).alias("n_days"),
+            F.max_by("last_value", "last_day").alias("end_value"),
+            F.sum(total).alias("total_value"),
+        )
+        .where((F.col("n_days") >= min_len) & (F.col("n_days") > 0))
+        .select(entity, F.col("_begun.d").alias("start_day"), "end_day", "n_days", F.col("_begun.v").alias("start_value"), "end_value", "total_value")
+    )
+
+
+def tag_spans(
+    days: DataFrame, spans: DataFrame, entity: str = "country", day: str = "d", start: str = "start_day", end: str = "end_day", keep_all: bool = False
+) -> DataFrame:
+    """Days beside every span of their entity that holds them, first and last day included; spans may overlap.
+
+    Spans are listed under each week they touch and days under theirs, so both meet by equality and a range check
+    is left for few candidates; an entity spreads over its weeks. Any stored matches serve as spans. With
+    ``keep_all`` a day without a span stays, its span columns null. A span that ends before it starts holds none.
+    """
+    def week(column):
+        return F.floor(F.unix_date(column) / 7)
+
+    others = [c for c in spans.columns if c != entity]
+    valid = spans.where(F.col(start) <= F.col(end))
+    listed = valid.select(
+        F.col(entity).alias("_entity"),
+        F.explode(F.sequence(week(F.col(start)), week(F.col(end)))).alias("_week"),
+        F.struct(*[F.col(c) for c in others]).alias("_span"),
+    )
+    binned = days.withColumn("_at", week(F.col(day)))
+    inside = (
+        (F.col(entity) == F.col("_entity"))
+        & (F.col("_at") == F.col("_week"))
+        & F.col(day).between(F.col(f"_span.{start}"), F.col(f"_span.{end}"))
+    )
+    return binned.join(listed, inside, "left" if keep_all else "inner").select(*days.columns, "_span.*")

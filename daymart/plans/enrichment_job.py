@@ -11,8 +11,9 @@ from daymart.operators.frequent import frequent_values
 from daymart.operators.profile import column_profile, correlation_matrix, infinities_to_null
 from daymart.operators.snapshots import entity_series, latest_snapshot, yearly_snapshot
 from daymart.operators.tiers import tier_roster, tier_series, tiers
-from daymart.sources.sinks import write_csv, write_mart, write_table
-from daymart.sources.tables import read_mart
+from daymart.sources.sinks import by_year, write_csv
+from daymart.sources.tables import mart_rows
+from daymart.sources.versions import read_table, replace_table
 
 GDP = "gdp_ppp_per_capita"
 
@@ -28,18 +29,20 @@ def run(
 ) -> dict[str, int]:
     """Write every output under ``out``; returns row counts of the two tables.
 
+    Tables are replaced by a commit, so whoever reads them meanwhile, or after a job that failed, reads the last whole ones.
+
     The enriched mart is written first and read back: all other outputs start from a stored table, so
     a lost executor costs a re-read and never a new join.
     """
     counts = {
-        "yearly": write_table(yearly, f"{out}/yearly"),
-        "enriched": write_mart(enrich_mart(mart, yearly, alias), f"{out}/enriched"),
+        "yearly": replace_table(yearly, f"{out}/yearly"),
+        "enriched": replace_table(by_year(enrich_mart(mart, yearly, alias)), f"{out}/enriched", "year"),
     }
-    enriched = read_mart(spark, f"{out}/enriched")
+    enriched = mart_rows(read_table(spark, f"{out}/enriched"))
     write_csv(enriched, f"{out}/enriched_csv", ["country", "d"])
 
-    write_table(tiers(enriched), f"{out}/tiers")
-    tiered = spark.read.parquet(f"{out}/tiers")
+    replace_table(tiers(enriched), f"{out}/tiers")
+    tiered = read_table(spark, f"{out}/tiers")
     write_csv(tiered, f"{out}/tiers_csv", ["tier_ord", f"max_{GDP}"])
     write_csv(tier_roster(tiered), f"{out}/tier_roster", ["tier_ord", "country"])
 

@@ -35,6 +35,17 @@ COMMENT_LOG = T.StructType(
     ]
 )
 
+# What a batch adds to a document: its first time there and the number of its comments.
+COMMENT_HEADERS = T.StructType(
+    [
+        T.StructField("country", T.StringType()),
+        T.StructField("date", T.DateType()),
+        T.StructField("metric", T.StringType()),
+        T.StructField("created_at", T.TimestampNTZType()),
+        T.StructField("n_comments", T.LongType()),
+    ]
+)
+
 # A comment as it is submitted: everything is text, and one comment may name several entities.
 COMMENT_REQUEST = T.StructType(
     [

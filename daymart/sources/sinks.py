@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> int:
-    """Replace a parquet table and return the rows written, counted during the write itself."""
+    """Replace a parquet table and return the rows written, counted during the write itself.
+
+    The old files go first; ``versions.replace_table`` replaces without a moment in which there is no table.
+    """
     seen = Observation()
     counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
     counted.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
@@ -23,9 +26,14 @@ def write_mart(mart: DataFrame, path: str) -> int:
     and keeps the column statistics of each file narrow, so entity filters skip files. A large mart
     therefore never turns into one file per year.
     """
+    return write_table(by_year(mart), path, ["year"])
+
+
+def by_year(mart: DataFrame) -> DataFrame:
+    """The mart with its year, laid out as ``write_mart`` stores it."""
     dated = mart.withColumn("year", F.year("d"))
     keys = [F.col("year"), F.col("country"), F.col("d")]
-    return write_table(dated.repartitionByRange(*keys).sortWithinPartitions("year", "country", "d"), path, ["year"])
+    return dated.repartitionByRange(*keys).sortWithinPartitions("year", "country", "d")
 
 
 def write_bucketed(df: DataFrame, table: str, buckets: int, entity: str = "country", day: str = "d") -> None:

@@ -23,7 +23,17 @@ def read_mart(
 
     On a mart written by :func:`daymart.sources.sinks.write_mart` the range also prunes year folders.
     """
-    mart = spark.read.parquet(path)
+    return mart_rows(spark.read.parquet(path), columns, start, end, entities)
+
+
+def mart_rows(
+    mart: DataFrame,
+    columns: Sequence[str] | None = None,
+    start: str | None = None,
+    end: str | None = None,
+    entities: Sequence[str] | None = None,
+) -> DataFrame:
+    """``read_mart`` of a table that was opened in another way."""
     partitioned = "year" in mart.columns
     if partitioned and start:
         mart = mart.where(F.col("year") >= int(start[:4]))

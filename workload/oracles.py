@@ -324,6 +324,9 @@ ORACLES: dict[str, str] = {
     "canonical_entities": f"""WITH {NATION_DAY}, {ALIAS}
   SELECT DISTINCT coalesce(canonical, country) AS country FROM nation_day LEFT JOIN lookup ON alias_key = upper(country) ORDER BY 1""",
     "asof_yearly": f"WITH {ASOF_RAW} SELECT country, d AS date, 'GDP_PPP_PER_CAPITA' AS metric, gdp AS value FROM joined",
+    "asof_union": f"WITH {ASOF_RAW} SELECT country, d AS date, 'GDP_PPP_PER_CAPITA' AS metric, gdp AS value FROM joined",
+    "pivot_back": f"""WITH {NATION_DAY} SELECT country, d AS date, new_cases AS "NEW_CASES", new_deaths AS "NEW_DEATHS",
+  daily_vaccinations AS "DAILY_VACCINATIONS", new_cases_per_100k AS "NEW_CASES_PER_100K", CAST(year(d) AS INTEGER) AS year FROM nation_day""",
     "two_metric_stack": f"WITH {ASOF_RAW}, {STACK} SELECT * FROM stack ORDER BY country, date, metric",
     "pivot_points": f"""WITH {ASOF_RAW}, {ELIGIBLE},
   points AS (
@@ -349,6 +352,16 @@ ORACLES: dict[str, str] = {
     "rising_streaks": f"""WITH {NATION_DAY}, {_flags('daily_vaccinations')}
   SELECT country, start_day, end_day, n AS streak_len, first_v AS start_cases, last_v AS end_cases FROM runs WHERE n >= 3
   ORDER BY country, start_day""",
+    "stitched_streaks": f"""WITH {NATION_DAY}, {_flags('daily_vaccinations')}
+  SELECT country, start_day, end_day, n AS streak_len, first_v AS start_cases, last_v AS end_cases FROM runs WHERE n >= 3""",
+    "stitched_surges": f"""WITH {NATION_DAY}, {_flags('daily_vaccinations')}
+  SELECT country, start_day, end_day, n AS surge_len, round(total, 2) AS total_new_shots, first_v AS start_shots, last_v AS end_shots
+  FROM runs WHERE n >= 5""",
+    "span_overlay": f"""WITH {NATION_DAY}, {_prefixed('new_cases', 'c_')}, {_prefixed('daily_vaccinations', 'p_')},
+  spans AS (SELECT country, 'prices' AS pattern, start_day, end_day FROM p_runs WHERE n >= 3
+            UNION ALL SELECT country, 'orders', start_day, end_day FROM c_runs WHERE n >= 2)
+  SELECT m.country, m.d, m.new_cases, s.pattern, s.start_day, s.end_day FROM nation_day m
+  LEFT JOIN spans s ON s.country = m.country AND m.d BETWEEN s.start_day AND s.end_day""",
     "spike_days": f"""WITH {NATION_DAY}, {_flags('daily_vaccinations')}
   SELECT country, d AS spike_day, prev AS prev_cases, v AS spike_cases, round((v / nullif(prev, 0) - 1) * 100, 1) AS pct_jump
   FROM flags WHERE prev > 0 AND v >= 1.5 * prev ORDER BY country, spike_day""",
@@ -434,13 +447,14 @@ ORACLES: dict[str, str] = {
   marked AS (SELECT k.*, o.country IS NOT NULL AS old FROM keys k LEFT JOIN olds o USING (country, date, metric))
   SELECT CAST(coalesce(sum(CASE WHEN old THEN n ELSE n - 1 END), 0) AS BIGINT) AS matched,
          CAST(coalesce(sum(CASE WHEN old THEN 0 ELSE 1 END), 0) AS BIGINT) AS created, CAST(coalesce(sum(n), 0) AS BIGINT) AS accepted FROM marked""",
+    "merged_documents": f"WITH {TOPIC_COMMENTS}, {_docs('topics')} SELECT * FROM docs",
     "annotation_range": f"""WITH {TOPIC_COMMENTS}, {_docs('topics')}
   SELECT * FROM docs WHERE country = 'click' AND metric = 'NEW_CASES' AND date BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'""",
     "annotated_comments": f"""WITH {USER_COMMENTS} SELECT country, date, metric, "user", text, ts FROM log WHERE metric = 'NEW_DEATHS'""",
     "chosen_entities": f"""WITH {NATION_DAY} SELECT country, d, new_cases FROM nation_day
   WHERE country IN (SELECT DISTINCT country FROM nation_day ORDER BY 1 LIMIT 7)""",
     "pattern_request": f"""WITH all_days AS (WITH {NATION_DAY} SELECT * FROM nation_day),
-  nation_day AS (SELECT * FROM all_days WHERE d BETWEEN DATE '1996-03-01' AND DATE '1999-06-30' AND country IN {TWELVE}), {_flags('new_cases')}
+  nation_day AS (SELECT * FROM all_days WHERE d BETWEEN DATE '1996-03-01' AND DATE '1999-06-30' AND country IN {TWELVE}), {_flags('daily_vaccinations')}
   SELECT country, start_day, end_day, n AS streak_len, first_v AS start_cases, last_v AS end_cases FROM runs WHERE n >= 2""",
     "spike_request": f"""WITH all_days AS (WITH {NATION_DAY} SELECT * FROM nation_day),
   nation_day AS (SELECT * FROM all_days WHERE d BETWEEN DATE '1996-03-01' AND DATE '1999-06-30'), {_flags('new_cases')}, spikes AS (

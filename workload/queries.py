@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from daymart.functions import fixed_values as fixed
 from daymart.functions.scalars import clamp_day, ordered_range
-from daymart.operators import annotations, canonical, clustering, features, forecast, frequent, patterns, profile, quantiles, series
+from daymart.operators import annotations, asof, canonical, clustering, features, forecast, frequent, patterns, profile, quantiles, series
 from daymart.operators import snapshots, tiers
 from daymart.operators.asof import enrich_mart
 from daymart.plans import cluster_run, forecast_run, metric_series, pattern_query
@@ -39,6 +39,13 @@ def asof_yearly(spark, folder):
     )
 
 
+def asof_union(spark, folder):
+    """The same as ``asof_yearly`` from one stream of days and yearly values."""
+    days = v.nation_day(spark, folder).select("country", "d")
+    joined = asof.asof_union(days, v.nation_year(spark, folder))
+    return joined.select("country", F.col("d").alias("date"), F.lit("GDP_PPP_PER_CAPITA").alias("metric"), F.col(GDP).alias("value"))
+
+
 def two_metric_stack(spark, folder):
     return metric_series.metric_series(
         v.nation_day(spark, folder), fixed.GDP_VS_CASES_METRIC, yearly=v.nation_year(spark, folder)
@@ -143,6 +150,37 @@ def rising_streaks(spark, folder):
     return patterns.rising_streaks(v.nation_day(spark, folder), value=PRICE).orderBy("country", "start_day")
 
 
+def stitched_streaks(spark, folder):
+    """Streaks from stored summaries of the years before and of the last one, each summarised by itself."""
+    mart = v.nation_day(spark, folder)
+    early = F.col("d") < F.lit("1998-01-01").cast("date")
+    parts = [stage(patterns.run_summaries(mart.where(part), PRICE)) for part in (early, ~early)]
+    runs = patterns.stitched_runs(parts[0].unionByName(parts[1]), 3)
+    return runs.select(
+        "country", "start_day", "end_day", F.col("n_days").alias("streak_len"), F.col("start_value").alias("start_cases"), F.col("end_value").alias("end_cases")
+    ).orderBy("country", "start_day")
+
+
+def stitched_surges(spark, folder):
+    """Surges of every month summarised by itself, with the doses given along each."""
+    runs = patterns.stitched_runs(patterns.run_summaries(v.nation_day(spark, folder), PRICE), 5)
+    shown = runs.select(
+        "country", "start_day", "end_day", F.col("n_days").alias("surge_len"), F.col("total_value").alias("total_new_shots"),
+        F.col("start_value").alias("start_shots"), F.col("end_value").alias("end_shots"),
+    )
+    return rounded(shown, "total_new_shots", places=2)
+
+
+def span_overlay(spark, folder):
+    """Every day under the stored matches of two patterns at once; a day may lie in several."""
+    mart = v.nation_day(spark, folder)
+    stored = [
+        patterns.rising_runs(mart, value, length).select("country", F.lit(name).alias("pattern"), "start_day", "end_day")
+        for name, value, length in (("prices", PRICE, 3), ("orders", "new_cases", 2))
+    ]
+    return patterns.tag_spans(mart.select("country", "d", "new_cases"), stage(stored[0].unionByName(stored[1])), keep_all=True)
+
+
 def spike_days(spark, folder):
     return patterns.spike_days(v.nation_day(spark, folder), value=PRICE).orderBy("country", "spike_day")
 
@@ -266,13 +304,24 @@ def comment_fanout(spark, folder):
 
 
 def comment_batches(spark, folder):
-    """Requests before a day and those from it on: what the second batch meets of the first."""
+    """Requests before a day and those from it on: what the second batch meets of the first, by its headers alone."""
     accepted = annotations.accepted_requests(v.comment_requests(spark, folder), v.alias(spark, folder), "1996-01-01", "2000-12-31")
     early = F.col("date") < F.lit("1998-01-01").cast("date")
     again = F.col("user").endswith("7")
-    first, second = accepted.where(early | again), accepted.where(~early)
-    counts = annotations.upsert_counts(first, second)
-    return counts.withColumn("accepted", second.agg(F.count(F.lit(1))).scalar())
+    second = accepted.where(~early)
+    # Two deltas of the first batch, as two appends would leave them.
+    deltas = [
+        annotations.annotation_docs(part.withColumn("ts", F.col("date").cast("timestamp_ntz"))) for part in (accepted.where(early), accepted.where(again & ~early))
+    ]
+    headers = annotations.merged_headers(deltas[0].unionByName(deltas[1]))
+    return annotations.upsert_counts(headers, second).withColumn("accepted", second.agg(F.count(F.lit(1))).scalar())
+
+
+def merged_documents(spark, folder):
+    """Headers of the whole log from the headers of its batches, one a day."""
+    log = v.topic_comments(spark, folder)
+    deltas = log.groupBy(*annotations.KEYS, F.hour("ts").alias("batch")).agg(F.min("ts").alias("created_at"), F.count(F.lit(1)).alias("n_comments"))
+    return annotations.merged_headers(deltas)
 
 
 def densify_interpolate(spark, folder):
@@ -414,9 +463,17 @@ def chosen_entities(spark, folder):
 
 
 def pattern_request(spark, folder):
-    """Streaks of named entities in a range, with the caller's own length."""
+    """Streaks of some entities in a range, with the caller's own length; the case count is the day's turnover."""
+    mart = v.nation_day(spark, folder).withColumn("new_cases", F.col(PRICE))
     named = [f"NATION_{i}" for i in range(12)]
-    return pattern_query.pattern_matches(v.nation_day(spark, folder), fixed.STREAKS, "1996-03-01", "1999-06-30", named, min_len=2)
+    return pattern_query.pattern_matches(mart, fixed.STREAKS, "1996-03-01", "1999-06-30", named, min_len=2)
+
+
+def pivot_back(spark, folder):
+    """Metric rows as columns again, null where a day has no value."""
+    mart = v.nation_day(spark, folder)
+    names = [c.upper() for c in mart.columns if c.upper() in fixed.METRIC_COLUMNS]
+    return snapshots.pivot_metrics(metric_series.all_metrics(mart, names), names)
 
 
 def spike_request(spark, folder):
@@ -464,8 +521,10 @@ QUERIES: dict[str, Query] = {
     "date_span_defaults": date_span_defaults,
     "canonical_entities": canonical_entities,
     "asof_yearly": asof_yearly,
+    "asof_union": asof_union,
     "two_metric_stack": two_metric_stack,
     "pivot_points": pivot_points,
+    "pivot_back": pivot_back,
     "gdp_bars": gdp_bars,
     "melt_years": melt_years,
     "yearly_clean": yearly_clean,
@@ -473,6 +532,9 @@ QUERIES: dict[str, Query] = {
     "wide_csv": wide_csv,
     "yearly_last": yearly_last,
     "rising_streaks": rising_streaks,
+    "stitched_streaks": stitched_streaks,
+    "stitched_surges": stitched_surges,
+    "span_overlay": span_overlay,
     "spike_days": spike_days,
     "surges": surges,
     "pattern_dispatch": pattern_dispatch,
@@ -497,6 +559,7 @@ QUERIES: dict[str, Query] = {
     "comment_upserts": comment_upserts,
     "comment_fanout": comment_fanout,
     "comment_batches": comment_batches,
+    "merged_documents": merged_documents,
     "annotation_range": annotation_range,
     "annotated_comments": annotated_comments,
     "densify_interpolate": densify_interpolate,
