@@ -13,8 +13,6 @@ from pyspark.sql.window import WindowSpec
 
 from daymart.functions.fixed_values import (
     PATTERN_HEADINGS,
-    RUN_LENGTH_BOUNDS,
-    SPIKE_BOUNDS,
     SPIKE_MULTIPLIER,
     SPIKES,
     STREAK_LENGTH,
@@ -161,12 +159,6 @@ def tag_spikes(
     )
 
 
-def _bounded(number: float, bounds: tuple[float, float], what: str) -> float:
-    if not bounds[0] <= number <= bounds[1]:
-        raise ValueError(f"{what} must lie in {bounds[0]}..{bounds[1]}, got {number}")
-    return number
-
-
 def find_pattern(
     df: DataFrame,
     pattern: str,
@@ -175,17 +167,13 @@ def find_pattern(
     entity: str = "country",
     day: str = "d",
 ) -> DataFrame:
-    """The named pattern with its default parameter where none is given; bounds are checked first."""
+    """The named pattern with its default parameter where none is given."""
     if pattern == STREAKS:
-        length = _bounded(min_len or STREAK_LENGTH, RUN_LENGTH_BOUNDS, "streak length")
-        return rising_streaks(df, int(length), entity=entity, day=day)
+        return rising_streaks(df, min_len or STREAK_LENGTH, entity=entity, day=day)
     if pattern == SPIKES:
-        return spike_days(
-            df, _bounded(multiplier or SPIKE_MULTIPLIER, SPIKE_BOUNDS, "multiplier"), entity=entity, day=day
-        )
+        return spike_days(df, multiplier or SPIKE_MULTIPLIER, entity=entity, day=day)
     if pattern == SURGES:
-        length = _bounded(min_len or SURGE_LENGTH, RUN_LENGTH_BOUNDS, "surge length")
-        return surges(df, int(length), entity=entity, day=day)
+        return surges(df, min_len or SURGE_LENGTH, entity=entity, day=day)
     raise ValueError(f"unknown pattern {pattern!r}; choose one of {sorted(PATTERN_HEADINGS)}")
 
 

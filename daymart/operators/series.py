@@ -11,7 +11,6 @@ from daymart.functions.fixed_values import (
     NO_FEATURES,
     NO_SERIES,
     WINDOW_DAYS,
-    WINDOW_DAYS_BOUNDS,
 )
 from daymart.functions.scalars import lenient_date, lenient_double, number_or_null, week_ending
 
@@ -31,8 +30,6 @@ def valid_points(df: DataFrame, day: str = "date", value: str = "value") -> Data
 
 def look_back(df: DataFrame, end: str, days: int = WINDOW_DAYS, not_before: str | None = None, day: str = "d") -> DataFrame:
     """The last ``days`` days up to and including ``end``, but never before ``not_before``."""
-    if not WINDOW_DAYS_BOUNDS[0] <= days <= WINDOW_DAYS_BOUNDS[1]:
-        raise ValueError(f"window must lie in {WINDOW_DAYS_BOUNDS[0]}..{WINDOW_DAYS_BOUNDS[1]} days, got {days}")
     last = F.lit(end).cast("date")
     first = F.date_sub(last, days)
     if not_before:

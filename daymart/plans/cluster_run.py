@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daymart.functions.fixed_values import FEW_WEEKS, WINDOW_DAYS
+from daymart.functions.fixed_values import FEW_WEEKS, WINDOW_DAYS, WINDOW_DAYS_BOUNDS
 from daymart.functions.scalars import zero_if_null
 from daymart.operators.clustering import cluster_count, kmeans_labels, principal_view, silhouette
 from daymart.operators.features import standardize, weekly_features
@@ -62,6 +62,8 @@ def cluster_entities(
     scaled: bool = True,
 ) -> ClusterRun:
     """Cluster all requested entities (default: all in the mart) by their recent weekly behaviour."""
+    if not WINDOW_DAYS_BOUNDS[0] <= window_days <= WINDOW_DAYS_BOUNDS[1]:
+        raise ValueError(f"window must lie in {WINDOW_DAYS_BOUNDS[0]}..{WINDOW_DAYS_BOUNDS[1]} days, got {window_days}")
     value = metric.lower()
     days = look_back(mart.select("country", "d", value), end, window_days, not_before)
     if requested is not None:

@@ -6,12 +6,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from daymart.functions.fixed_values import SPIKES, STREAK_LENGTH, SURGE_LENGTH, SURGES
+from daymart.functions.fixed_values import RUN_LENGTH_BOUNDS, SPIKE_BOUNDS, SPIKES, STREAK_LENGTH, SURGE_LENGTH, SURGES
 from daymart.operators.patterns import find_pattern, tag_runs, tag_spikes, with_headings
 from daymart.plans.metric_series import in_range
 from daymart.sources.sinks import write_csv
 
 
+def check_bounds(pattern: str, min_len: int | None, multiplier: float | None) -> None:
+    """What a request may ask for; the operators themselves take any length or multiplier."""
+    number, bounds, what = (multiplier, SPIKE_BOUNDS, "multiplier") if pattern == SPIKES else (min_len, RUN_LENGTH_BOUNDS, "run length")
+    if number is not None and not bounds[0] <= number <= bounds[1]:
+        raise ValueError(f"{what} must lie in {bounds[0]}..{bounds[1]}, got {number}")
+
+
 def pattern_matches(
     mart: DataFrame,
     pattern: str,
@@ -25,6 +32,7 @@ def pattern_matches(
 
     The range is cut before rows are compared, so the first row of the range has no predecessor.
     """
+    check_bounds(pattern, min_len, multiplier)
     return find_pattern(in_range(mart, start, end, entities, exact_names=True), pattern, min_len, multiplier)
 
 
@@ -39,7 +47,8 @@ def pattern_overlay(
 ) -> DataFrame:
     """The full series with each day's match beside it, from the same windows as the matches."""
     days = in_range(mart, start, end, entities, exact_names=True)
-    find_pattern(days, pattern, min_len, multiplier)  # checks the name and the bounds
+    check_bounds(pattern, min_len, multiplier)
+    find_pattern(days, pattern, min_len, multiplier)  # checks the name
     if pattern == SPIKES:
         return tag_spikes(days, multiplier) if multiplier else tag_spikes(days)
     if pattern == SURGES:

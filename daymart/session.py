@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_storing = threading.Lock()
+_stored_now: dict = {}
 
 
 def build_session(app: str = "daymart", master: str | None = None, **conf: str) -> SparkSession:
@@ -38,7 +42,29 @@ def shared_folder(spark: SparkSession) -> str:
     Where nothing is named, staged tables go beside the session's own ones, into the warehouse.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staged"
+    if folder:
+        return folder
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share; the warehouse is one of the driver's machine")
+    return f"{warehouse}/staged"
+
+
+@contextlib.contextmanager
+def _dropping_shuffles(spark: SparkSession):
+    """Shuffle files go as soon as their job is done, while any thread stores a step; then as it was before."""
+    with _storing:
+        if not _stored_now.get("threads"):
+            _stored_now["before"] = spark.conf.get(CLEANUP)
+            spark.conf.set(CLEANUP, "true")
+        _stored_now["threads"] = _stored_now.get("threads", 0) + 1
+    try:
+        yield
+    finally:
+        with _storing:
+            _stored_now["threads"] -= 1
+            if not _stored_now["threads"]:
+                spark.conf.set(CLEANUP, _stored_now["before"])
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -54,10 +80,6 @@ def stage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _dropping_shuffles(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

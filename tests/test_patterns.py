@@ -52,9 +52,9 @@ def test_dispatch_defaults_bounds_and_names(make_series):
     assert [r.streak_len for r in found.collect()] == [3]
     assert patterns.with_headings(found, fixed.STREAKS).columns == list(fixed.PATTERN_HEADINGS[fixed.STREAKS].values())
     with pytest.raises(ValueError):
-        patterns.find_pattern(df, fixed.STREAKS, min_len=1)
+        pattern_query.pattern_matches(df, fixed.STREAKS, min_len=1)
     with pytest.raises(ValueError):
-        patterns.find_pattern(df, fixed.SPIKES, multiplier=10.5)
+        pattern_query.pattern_matches(df, fixed.SPIKES, multiplier=10.5)
     with pytest.raises(ValueError):
         patterns.find_pattern(df, "Unknown")
 
