@@ -82,4 +82,14 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     with _dropping_shuffles(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stage_folder = path
+    return stored
+
+
+def unstage(*stored: DataFrame) -> None:
+    """Delete what ``stage`` wrote, once nothing will read it again; a chain of steps then leaves less behind."""
+    for df in stored:
+        spark, jvm = df.sparkSession, df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._stage_folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
