@@ -10,11 +10,14 @@ every task. Any fixed order makes the filters exact, a good one makes them sharp
 * position: what can still follow the shared word must be enough,
 * and the bits of the sets' signatures must not differ more than similar sets can.
 
-Lines with equal sets are one class with its first line, found by a map-side minimum. Classes that share
-a word meet in the group of that word. There a class is first held against the group's earliest line
-alone; only classes that do not resemble it are joined with all earlier ones, so a large family of near
-copies makes as many pairs as it has members. Pairs are verified on all words (as 64-bit hashes), and a class
-whose resemblance to the earliest line was not confirmed is joined with all earlier ones after all.
+Lines with equal sets are one class with its first line, found by a map-side minimum. Classes are sorted by
+their first line and numbered in that order, so a prefix word is a row of a few numbers. Classes that share
+a word meet in the group of that word, one slice of the words after another, each slice stored before the next,
+so that no more than a slice is ever in the shuffle. In its group a class is first held against the group's
+earliest line alone; only classes that do not resemble it are joined with all earlier ones, so a large family of
+near copies makes as many pairs as it has members. The lines of the pairs are then taken out of their documents
+and compared word by word, and a class whose resemblance to an earliest line was not confirmed is joined with
+all earlier ones after all.
 """
 
 from __future__ import annotations
@@ -24,14 +27,14 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daymart.session import stage
+from daymart.session import stage, unstage
 
 THRESHOLD = Fraction(4, 5)
 #: Cells of the rarity table: 2^SIDE rows of 2^SIDE cells; steps of a doubling of the count.
 SIDE, STEPS = 10, 8
 CELLS = 1 << (2 * SIDE)
-#: Bits of a word's hash in its key, below its rarity.
-HASH_BITS = 54
+#: Bits of a word's hash in its key, below its rarity; slices of the words that are joined one after another.
+HASH_BITS, SLICES = 54, 3
 
 
 def plain_text(text: Column) -> Column:
@@ -51,7 +54,7 @@ def cell_of(word_hash: Column) -> Column:
 def rarity(lines: DataFrame) -> DataFrame:
     """One row with one array: for each cell the logarithm of its words' count in steps."""
     # The outer form keeps the optimizer from splitting each line once more to ask whether it has words.
-    words = lines.select(F.explode_outer(words_of(F.col("line"))).alias("word")).where(F.col("word").isNotNull())
+    words = lines.select(F.explode_outer(F.split("line", " ", -1)).alias("word"))
     counts = words.groupBy(cell_of(F.xxhash64("word")).alias("cell")).agg(F.count("*").alias("n"))
     low = counts.select(F.shiftright("cell", SIDE).alias("row"), F.col("cell").bitwiseAND((1 << SIDE) - 1).alias("place"), F.ceil(STEPS * F.log2("n")).cast("int").alias("step"))
     rows = low.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("place", "step"))).alias("steps"))
@@ -69,25 +72,26 @@ def at_least(share: Fraction, size: Column) -> Column:
     return F.floor((F.lit(share.numerator) * size + (share.denominator - 1)) / share.denominator).cast("int")
 
 
-def signed_lines(docs: DataFrame, threshold: Fraction) -> DataFrame:
-    """A row for each line with a word: ``row_key, id, number``, class hashes, size, signature and prefix.
-
-    ``docs``: id, text. ``row_key`` stands for id and text; rows that are alike in both share their fate.
-    """
+def lines_of(docs: DataFrame) -> DataFrame:
+    """``row_key, id, number, line`` of ``docs`` (id, text). ``row_key`` stands for id and text; rows that are alike in
+    both share their fate."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = docs.select(F.xxhash64("id", text).alias("row_key"), "id", F.posexplode(F.split(plain_text(text), "\n", -1)).alias("number", "line"))
-    lines = lines.where(F.trim("line") != "")
+    return docs.select(F.xxhash64("id", text).alias("row_key"), "id", F.posexplode(F.split(plain_text(text), "\n", -1)).alias("number", "line"))
+
+
+def signed_lines(docs: DataFrame, threshold: Fraction) -> DataFrame:
+    """A row for each line with a word: ``row_key, id, number``, class hashes, size, signature and prefix."""
+    lines = lines_of(docs).where(F.trim("line") != "")
     steps = rarity(lines).scalar()
     low = (1 << HASH_BITS) - 1
 
-    def key(word: Column) -> Column:
-        value = F.xxhash64(word)
+    def key(value: Column) -> Column:
         step = F.get(F.col("steps"), cell_of(value)).cast("long")
         return F.shiftleft(step, HASH_BITS).bitwiseOR(F.shiftrightunsigned(value, 64 - HASH_BITS).bitwiseAND(low))
 
-    keyed = lines.select("*", steps.alias("steps")).select(
-        "row_key", "id", "number", F.sort_array(F.transform(words_of(F.col("line")), key)).alias("keys")
-    )
+    # Words become hashes before anything else is done with them: numbers are cheaper to tell apart and to sort.
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    keyed = lines.select("*", steps.alias("steps")).select("row_key", "id", "number", F.sort_array(F.transform(hashes, key)).alias("keys"))
     size = F.size("keys")
     bits = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
     prefix = F.slice("keys", 1, size - at_least(threshold, size) + 1)
@@ -105,18 +109,17 @@ def signed_lines(docs: DataFrame, threshold: Fraction) -> DataFrame:
     )
 
 
-def earlier(a: str, b: str) -> Column:
-    """Whether line a stands before line b; a null id stands first."""
-    return F.struct(f"{a}.id", f"{a}.spot", f"{a}.row_key") < F.struct(f"{b}.id", f"{b}.spot", f"{b}.row_key")
-
-
-def number_of(spot: str) -> Column:
-    return F.shiftright(F.col(spot), 32).cast("int")
+def numbered_classes(lines: DataFrame) -> DataFrame:
+    """``no`` beside the first line, size, signature and prefix of every class; numbers follow the first lines' order."""
+    first = F.min(F.struct("id", "number", "row_key")).alias("first")
+    classes = lines.groupBy("h1", "h2").agg(first, F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    ordered = classes.orderBy("first")
+    return ordered.select(F.monotonically_increasing_id().alias("no"), "h1", "h2", "first", "size", "bits", "prefix")
 
 
 def may_match(a: str, b: str, threshold: Fraction, meet: bool) -> Column:
     """Length, position and signature filters for two lines that share a prefix word."""
-    n, m = (F.col(f"{x}.spot").bitwiseAND(0xFFFFFFFF).cast("int") for x in (a, b))
+    n, m = F.col(f"{a}.size"), F.col(f"{b}.size")
     least, most = F.least(n, m), F.greatest(n, m)
     need = at_least(threshold / (1 + threshold), n + m)
     fits = least >= at_least(threshold, most)
@@ -127,81 +130,98 @@ def may_match(a: str, b: str, threshold: Fraction, meet: bool) -> Column:
     return fits
 
 
-def matched_lines(classes: DataFrame, docs: DataFrame, threshold: Fraction) -> DataFrame:
-    """``row_key, number`` of class leaders that resemble an earlier leader."""
-    # Line number and size travel as one number.
-    spot = F.shiftleft(F.col("number").cast("long"), 32).bitwiseOR(F.col("size").cast("long")).alias("spot")
-    words = classes.select("row_key", "id", spot, "bits", F.posexplode("prefix").alias("place", "word")).where("word >= 0")
+def prefix_words(classes: DataFrame, part: int) -> DataFrame:
+    """``no, size, bits, place, word`` of one slice of the words."""
+    words = classes.select("no", "size", "bits", F.posexplode("prefix").alias("place", "word"))
     # Nothing here is null; saying so keeps both sides of the join alike, so that one shuffle by word serves
     # the window and the join.
-    words = words.where("bits is not null and spot is not null")
-    order = Window.partitionBy("word").orderBy("id", "spot", "row_key")
-    fields = ("row_key", "id", "spot", "bits")
-    held = words.select("*", F.struct(*[F.first(c).over(order).alias(c) for c in fields]).alias("lead")).alias("y")
-    is_lead = (F.col("y.row_key") == F.col("lead.row_key")) & (F.col("y.spot") == F.col("lead.spot"))
-    held = held.withColumn("like_lead", ~is_lead & may_match("y", "lead", threshold, False))
-    meeting = earlier("x", "y") & may_match("x", "y", threshold, True)
+    return words.where((F.col("word") >= 0) & (F.col("word") % SLICES == part) & F.col("bits").isNotNull() & F.col("size").isNotNull() & F.col("no").isNotNull())
 
-    def pairs(some: DataFrame, how: str, only: Column) -> DataFrame:
-        return some.alias("y").join(words.alias("x"), (F.col("y.word") == F.col("x.word")) & only & meeting, how)
-
-    def pair(key: str, spot: str) -> list[Column]:
-        own = [F.col("y.row_key").alias("row_key"), number_of("y.spot").alias("number")]
-        return [*own, F.col(key).alias("x_key"), number_of(spot).alias("x_number")]
 
+def lead_pairs(words: DataFrame, threshold: Fraction) -> DataFrame:
+    """``no, x_no, by_lead``: a class with the earliest of a word's group where it resembles that one, else with all
+    earlier ones it may match."""
+    order = Window.partitionBy("word").orderBy("no")
+    held = words.select("*", F.struct(*[F.first(c).over(order).alias(c) for c in ("no", "size", "bits")]).alias("lead")).alias("y")
+    like_lead = (F.col("y.no") != F.col("lead.no")) & may_match("y", "lead", threshold, False)
+    held = held.withColumn("like_lead", like_lead).alias("y")
     # A row that resembles its lead meets nobody else: the outer join keeps it as it is.
-    met = pairs(held, "left", ~F.col("y.like_lead"))
     lead = F.col("y.like_lead")
-    by_lead = met.where(lead | F.col("x.row_key").isNotNull()).select(
-        F.col("y.row_key").alias("row_key"),
-        number_of("y.spot").alias("number"),
-        F.when(lead, F.col("y.lead.row_key")).otherwise(F.col("x.row_key")).alias("x_key"),
-        F.when(lead, number_of("y.lead.spot")).otherwise(number_of("x.spot")).alias("x_number"),
-        lead.alias("by_lead"),
-    )
-    candidates = stage(by_lead.distinct())
-    confirmed = stage(verified(candidates, docs, threshold))
+    meeting = (F.col("y.word") == F.col("x.word")) & ~lead & (F.col("x.no") < F.col("y.no")) & may_match("x", "y", threshold, True)
+    met = held.join(words.alias("x"), meeting, "left").where(lead | F.col("x.no").isNotNull())
+    return met.select(F.col("y.no").alias("no"), F.when(lead, F.col("y.lead.no")).otherwise(F.col("x.no")).alias("x_no"), lead.alias("by_lead")).distinct()
+
+
+def all_pairs(words: DataFrame, left: DataFrame, threshold: Fraction) -> DataFrame:
+    """``no, x_no`` of the classes named in ``left`` with all earlier ones they may match."""
+    some = words.join(left, "no", "left_semi").alias("y")
+    meeting = (F.col("y.word") == F.col("x.word")) & (F.col("x.no") < F.col("y.no")) & may_match("x", "y", threshold, True)
+    return some.join(words.alias("x"), meeting).select(F.col("y.no").alias("no"), F.col("x.no").alias("x_no")).distinct()
+
+
+def matched_classes(classes: DataFrame, docs: DataFrame, threshold: Fraction) -> DataFrame:
+    """``no`` of the classes that resemble an earlier one."""
+    parts = [stage(lead_pairs(prefix_words(classes, part), threshold)) for part in range(SLICES)]
+    candidates = union(parts)
+    confirmed = stage(verified(candidates.select("no", "x_no").distinct(), classes, docs, threshold))
     # Classes that only seemed to resemble a lead go through the whole join.
-    left = stage(candidates.where("by_lead").select("row_key", "number").distinct().join(confirmed, ["row_key", "number"], "left_anti"))
-    if left.limit(1).count() == 0:
+    left = stage(candidates.where("by_lead").select("no").distinct().join(confirmed, "no", "left_anti"))
+    unstage(*parts)
+    if left.isEmpty():
         return confirmed
-    again = words.join(left.select("row_key", F.col("number").alias("_n")), (words["row_key"] == left["row_key"]) & (number_of("spot") == F.col("_n")), "left_semi")
-    rest = verified(stage(pairs(again, "inner", F.lit(True)).select(*pair("x.row_key", "x.spot")).distinct()), docs, threshold)
+    parts = [stage(all_pairs(prefix_words(classes, part), left, threshold)) for part in range(SLICES)]
+    rest = stage(verified(union(parts).distinct(), classes, docs, threshold))
+    unstage(left, *parts)
     return confirmed.unionByName(rest).distinct()
 
 
-def verified(candidates: DataFrame, docs: DataFrame, threshold: Fraction) -> DataFrame:
-    """Those of ``row_key, number`` with a candidate whose words are similar enough. Only lines that
-    stand in some candidate leave their documents."""
-    wanted = candidates.select("row_key", "number").unionByName(candidates.select(F.col("x_key").alias("row_key"), F.col("x_number").alias("number"))).distinct()
-    text = F.coalesce(F.col("text"), F.lit(""))
-    numbers = wanted.groupBy("row_key").agg(F.collect_list("number").alias("numbers"))  # at most the lines of a document
-    own = docs.select(F.xxhash64("id", text).alias("row_key"), text.alias("text"))
-    found = own.join(numbers, "row_key").select("row_key", F.explode("numbers").alias("number"), F.split(plain_text(F.col("text")), "\n", -1).alias("lines"))
-    hashes = F.transform(words_of(F.get("lines", F.col("number"))), lambda w: F.xxhash64(w))
-    sets = stage(found.select("row_key", "number", hashes.alias("words")).dropDuplicates(["row_key", "number"]))
-    others = sets.select(F.col("row_key").alias("x_key"), F.col("number").alias("x_number"), F.col("words").alias("x_words"))
-    both = candidates.join(sets, ["row_key", "number"]).join(others, ["x_key", "x_number"])
+def union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def marks_of(places: DataFrame) -> DataFrame:
+    """``row_key, marks``: the numbers of ``places (row_key, number)`` as bits, 64 numbers a map entry."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("number").bitwiseAND(63))
+    blocks = places.groupBy("row_key", F.shiftright("number", 6).alias("block")).agg(F.bit_or(bit).alias("bits"))
+    # At most the lines of a document, a 64th of them in entries.
+    return blocks.groupBy("row_key").agg(F.map_from_entries(F.collect_list(F.struct("block", "bits"))).alias("marks"))
+
+
+def is_marked(marks: Column, number: Column) -> Column:
+    bits = F.element_at(marks, F.shiftright(number, 6))
+    return F.coalesce(F.call_function("shiftright", bits, number.bitwiseAND(63)).bitwiseAND(1) == 1, F.lit(False))
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: Fraction) -> DataFrame:
+    """Those ``no`` of ``no, x_no`` whose words are similar enough to a partner's. Only lines that stand in some pair
+    leave their documents, once each."""
+    wanted = pairs.select("no").unionByName(pairs.select(F.col("x_no").alias("no"))).distinct()
+    places = stage(classes.select("no", "first.row_key", "first.number").join(wanted, "no", "left_semi"))
+    own = docs.withColumn("row_key", F.xxhash64("id", F.coalesce("text", F.lit(""))))
+    marked = own.join(stage(marks_of(places)), "row_key").select("row_key", "marks", F.posexplode(F.split(plain_text(F.col("text")), "\n", -1)).alias("number", "line"))
+    found = marked.where(is_marked(F.col("marks"), F.col("number"))).select("row_key", "number", "line")
+    # Repeated rows hold the same line again.
+    lines = stage(found.join(places, ["row_key", "number"]).groupBy("no").agg(F.first("line").alias("line")))
+    both = pairs.join(lines, "no").join(lines.select(F.col("no").alias("x_no"), F.col("line").alias("x_line")), "x_no")
+    both = both.select("no", words_of(F.col("line")).alias("words"), words_of(F.col("x_line")).alias("x_words"))
     shared = F.size(F.array_intersect("words", "x_words"))
     enough = shared * threshold.denominator >= (F.size("words") + F.size("x_words") - shared) * threshold.numerator
-    return both.where(enough).select("row_key", "number").distinct()
+    return both.where(enough).select("no").distinct()
 
 
 def removed_lines(docs: DataFrame, threshold: Fraction) -> DataFrame:
-    """``row_key, gone array<int>``: numbers of the lines that go, for rows that lose any."""
-    lines = stage(signed_lines(docs, threshold))
-    first = F.min(F.struct("id", "number", "row_key")).alias("first")
-    classes = stage(
-        lines.groupBy("h1", "h2").agg(first, F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-        .select("h1", "h2", "first.*", "size", "bits", "prefix")
-    )
-    matched = stage(matched_lines(classes, docs, threshold))
-    lead = classes.select("h1", "h2", F.struct("id", "number").alias("first"), "row_key", "number").join(
-        matched.withColumn("matched", F.lit(True)), ["row_key", "number"], "left"
-    ).select("h1", "h2", "first", F.coalesce("matched", F.lit(False)).alias("matched"))
-    own = lines.select("h1", "h2", "row_key", "id", "number")
-    gone = own.join(lead, ["h1", "h2"]).where(F.col("matched") | (F.struct("id", "number") != F.col("first")))
-    return gone.groupBy("row_key").agg(F.collect_set("number").alias("gone"))  # at most the lines of a document
+    """``row_key, marks``: the lines that go, for rows that lose any."""
+    signed = stage(signed_lines(docs, threshold))
+    classes = stage(numbered_classes(signed))
+    lines = stage(signed.select("h1", "h2", "row_key", "id", "number"))
+    unstage(signed)
+    matched = stage(matched_classes(classes, docs, threshold))
+    lead = classes.select("h1", "h2", F.struct("first.id", "first.number").alias("first"), "no").join(matched.withColumn("matched", F.lit(True)), "no", "left")
+    own = lines.join(lead.select("h1", "h2", "first", F.coalesce("matched", F.lit(False)).alias("matched")), ["h1", "h2"])
+    return stage(marks_of(own.where(F.col("matched") | (F.struct("id", "number") != F.col("first"))).select("row_key", "number")))
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: Fraction = THRESHOLD) -> DataFrame:
@@ -211,19 +231,24 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     Lines are split at line feeds and compared as sets of words (runs without ASCII white space). Lines
     without words stay. The order of lines is that of id (null first), then line number; equal lines at
     equal places, as in repeated rows, are the same line. A null text stays null, an empty one has one
-    line without words; other columns pass through unless one is called ``line_dedup``; an empty table
-    gives an empty one.
+    line without words; other columns of any name pass through, but one called ``line_dedup`` is replaced; an
+    empty table gives an empty one.
     """
+    id_col, text_col = f"`{id_col}`", f"`{text_col}`"
     lean = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     gone = removed_lines(lean, threshold)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains(F.col("line_dedup_gone.gone"), i))
-    whole = F.col("line_dedup_gone").isNull()
-    keyed = docs.withColumn("line_dedup_key", F.xxhash64(id_col, text))
-    found = gone.select(F.col("row_key").alias("line_dedup_key"), F.struct("gone").alias("line_dedup_gone"))
+    # The caller's columns travel as one, so that their names meet none of those used here.
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    lines = F.split(F.col("text"), "\n", -1)
+    kept = F.filter(lines, lambda _, i: ~is_marked(F.col("marks"), i))
+    whole = F.col("marks").isNull()
+    count = F.size(F.split(text, "\n", -1))
     result = F.struct(
-        F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"),
-        F.when(whole, 0).otherwise(F.size("line_dedup_gone.gone")).cast("long").alias("n_removed"),
-        F.when(whole, F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
+        count.cast("long").alias("n_lines"),
+        F.when(whole, 0).otherwise(F.aggregate(F.map_values("marks"), F.lit(0), lambda n, bits: n + F.bit_count(bits))).cast("long").alias("n_removed"),
+        F.when(whole, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
     )
-    return keyed.join(found, "line_dedup_key", "left").select(*docs.columns, result.alias("line_dedup"))
+    found = own.withColumn("row_key", F.xxhash64("id", text)).join(gone, "row_key", "left")
+    found = found.select("row", result.alias("result"))
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "line_dedup"], F.col("result").alias("line_dedup"))

@@ -411,6 +411,28 @@ def test_line_dedup(spark, docs, rows, none):
     assert line_dedup.without_repeated_lines(none).collect() == []
 
 
+def test_line_dedup_of_null_ids_and_clashing_names(spark):
+    """A null id stands before all others; its lines count as earlier, and no name of a caller's column is in the way."""
+    one, two = "a b c d e f g h i j", "a b c d e f g h i k l"
+    rows = [(None, one), (3, f"{one} \nnew words"), (3, f"{one} \nnew words"), (1, two), (5, ""), (6, None), (None, None)]
+    names = ["row", "row_key", "id", "marks", "line_dedup", "line_dedup_gone", "a.b"]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    found = line_dedup.without_repeated_lines(docs)
+    assert found.columns == ["doc_id", "text", *[n for n in names if n != "line_dedup"], "line_dedup"]
+    got = [(r.doc_id, r.text, r.line_dedup.n_lines, r.line_dedup.n_removed, r.line_dedup.kept_text, r["a.b"]) for r in found.collect()]
+    want = [(None, one, 1, 0, one, 6), *[(3, f"{one} \nnew words", 2, 1, "new words", 6)] * 2]
+    want += [(1, two, 1, 0, two, 6), (5, "", 1, 0, "", 6), (6, None, 1, 0, None, 6), (None, None, 1, 0, None, 6)]
+    same(got, want)
+
+
+def test_line_dedup_of_a_long_document(spark):
+    """Line numbers beyond one block of marks, each repeated far behind."""
+    lines = [f"w{k} x{k} y{k} z{k}" for k in range(400)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join([*lines[::-1], "fresh", *lines]))], "doc_id long, text string")
+    got = {r.doc_id: r.line_dedup for r in line_dedup.without_repeated_lines(docs).collect()}
+    assert got[1].n_removed == 0 and got[2].n_removed == 800 and got[2].kept_text == "fresh"
+
+
 def test_line_dedup_runs_in_the_jvm(docs):
     plan = line_dedup.without_repeated_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
