@@ -16,7 +16,7 @@ a word meet in the group of that word, one slice of the words after another, eac
 so that no more than a slice is ever in the shuffle. In its group a class is first held against the group's
 earliest line alone; only classes that do not resemble it are joined with all earlier ones, so a large family of
 near copies makes as many pairs as it has members. The lines of the pairs are then taken out of their documents
-and compared word by word, and a class whose resemblance to an earliest line was not confirmed is joined with
+and compared on all words (as 64-bit hashes), and a class whose resemblance to an earliest line was not confirmed is joined with
 all earlier ones after all.
 """
 
@@ -31,10 +31,10 @@ from daymart.session import stage, unstage
 
 THRESHOLD = Fraction(4, 5)
 #: Cells of the rarity table: 2^SIDE rows of 2^SIDE cells; steps of a doubling of the count.
-SIDE, STEPS = 10, 8
+SIDE, STEPS = 8, 8
 CELLS = 1 << (2 * SIDE)
 #: Bits of a word's hash in its key, below its rarity; slices of the words that are joined one after another.
-HASH_BITS, SLICES = 54, 3
+HASH_BITS, SLICES = 54, 2
 
 
 def plain_text(text: Column) -> Column:
@@ -203,12 +203,15 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: F
     own = docs.withColumn("row_key", F.xxhash64("id", F.coalesce("text", F.lit(""))))
     marked = own.join(stage(marks_of(places)), "row_key").select("row_key", "marks", F.posexplode(F.split(plain_text(F.col("text")), "\n", -1)).alias("number", "line"))
     found = marked.where(is_marked(F.col("marks"), F.col("number"))).select("row_key", "number", "line")
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     # Repeated rows hold the same line again.
-    lines = stage(found.join(places, ["row_key", "number"]).groupBy("no").agg(F.first("line").alias("line")))
-    both = pairs.join(lines, "no").join(lines.select(F.col("no").alias("x_no"), F.col("line").alias("x_line")), "x_no")
-    both = both.select("no", words_of(F.col("line")).alias("words"), words_of(F.col("x_line")).alias("x_words"))
-    shared = F.size(F.array_intersect("words", "x_words"))
-    enough = shared * threshold.denominator >= (F.size("words") + F.size("x_words") - shared) * threshold.numerator
+    sets = found.join(places, ["row_key", "number"]).select("no", hashes.alias("words")).groupBy("no").agg(F.first("words").alias("words"))
+    sets = stage(sets.withColumn("size", F.size("words")))
+    others = sets.select(F.col("no").alias("x_no"), F.col("words").alias("x_words"), F.col("size").alias("x_size"))
+    both = pairs.join(sets, "no").join(others, "x_no")
+    # Shared words against threshold times all words of both, with what is shared written once.
+    up, down = threshold.numerator, threshold.denominator
+    enough = F.size(F.array_intersect("words", "x_words")) * (up + down) >= (F.col("size") + F.col("x_size")) * up
     return both.where(enough).select("no").distinct()
 
 
