@@ -179,8 +179,9 @@ def train(
             yield pa.record_batch([batch.column(3), batch.column(0), batch.column(2), pa.array(rows, pa.binary())], ["place", "id", "label", "rows"])
 
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    # The chosen ids are at most sample_docs rows.
-    found = own.join(F.broadcast(chosen), "id").select("id", "text", "label", F.xxhash64("id").alias("place")).where("text is not null")
+    # The chosen ids are at most sample_docs rows, and of the rows of one id one text is taken.
+    labelled = own.where("text is not null").join(F.broadcast(chosen), "id")
+    found = labelled.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("id", "text", "label", F.xxhash64("id").alias("place"))
     schema = f"place long, id {own.schema['id'].dataType.simpleString()}, label int, rows binary"
     sample, used = [], 0
     for _, _, label, raw in sorted(found.mapInArrow(reading, schema).collect()):
@@ -270,13 +271,15 @@ def judge(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text is kept, with all their columns, in one pass."""
-    place = docs.columns.index(text_col)
+    """The rows of ``docs`` whose text is kept, with all their columns, of any name, in one pass."""
 
     def keeping(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(start, TOGETHER)
-                yield part.filter(pa.array(verdicts(part.column(place).to_pylist(), field)["kept"], pa.bool_()))
+                kept = pa.array(verdicts(part.column(1).to_pylist(), field)["kept"], pa.bool_())
+                yield part.select([0]).filter(kept)
 
-    return docs.mapInArrow(keeping, docs.schema)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    nested = docs.select(row, F.col(f"`{text_col}`").cast("string").alias("text"))
+    return nested.mapInArrow(keeping, nested.select("row").schema).select("row.*")

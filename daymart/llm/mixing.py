@@ -188,12 +188,13 @@ def mix_table(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with all their columns, each as often as the mix takes it. Columns whose
-    names begin with ``mix_`` are not allowed."""
-    names = docs.columns
-    return (
-        beside_plan(docs, id_col, source_col, text_col)
-        .where("mix_copies > 0")
-        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
-        .select(*names)
+    """The rows of ``docs`` with all their columns, of any name, each as often as the mix takes it."""
+    # The caller's columns travel as one, so that their names meet none of those used here.
+    lean = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(f"`{id_col}`").alias("id"),
+        F.col(f"`{source_col}`").cast("string").alias("source"),
+        F.col(f"`{text_col}`").cast("string").alias("text"),
     )
+    taken = beside_plan(lean, "id", "source", "text").where("mix_copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select("row.*")
