@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daymart.llm import bpe, line_crf, line_dedup, mixing, simhash
+from daymart.llm import bpe, line_crf, line_dedup, mixing, near_texts
 from daymart.session import stage
 
 
@@ -26,13 +26,14 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     found = line_dedup.without_repeated_lines(docs)
     text = F.col("line_dedup.kept_text")
     changed = {"text": text, "n_chars": F.char_length(text).cast("long")}
-    columns = [changed.get(c, F.col(c)).alias(c) for c in docs.columns]
-    return found.select(*columns).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    # A word is left; the row's other columns may have any name.
+    found = found.where(text.rlike(r"[^\x20\x09-\x0D]"))
+    return found.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id."""
-    return simhash.one_of_each_group(docs)
+    """Of documents whose five-word shingles are alike by 0.8 or more the one with the smallest id stays."""
+    return near_texts.without_near_copies(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
