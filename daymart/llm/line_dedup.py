@@ -31,7 +31,7 @@ from daymart.session import stage, unstage
 
 THRESHOLD = Fraction(4, 5)
 #: Cells of the rarity table: 2^SIDE rows of 2^SIDE cells; steps of a doubling of the count.
-SIDE, STEPS = 8, 8
+SIDE, STEPS = 10, 8
 CELLS = 1 << (2 * SIDE)
 #: Bits of a word's hash in its key, below its rarity; slices of the words that are joined one after another.
 HASH_BITS, SLICES = 54, 2
@@ -162,16 +162,25 @@ def all_pairs(words: DataFrame, left: DataFrame, threshold: Fraction) -> DataFra
 def matched_classes(classes: DataFrame, docs: DataFrame, threshold: Fraction) -> DataFrame:
     """``no`` of the classes that resemble an earlier one."""
     parts = [stage(lead_pairs(prefix_words(classes, part), threshold)) for part in range(SLICES)]
-    candidates = union(parts)
-    confirmed = stage(verified(candidates.select("no", "x_no").distinct(), classes, docs, threshold))
+    candidates = stage(union(parts).groupBy("no", "x_no").agg(F.max("by_lead").alias("by_lead")))
+    unstage(*parts)
+    pairs = candidates.select("no", "x_no")
+    sets = stage(word_sets(pairs, classes, docs))
+    # The earliest partner first: the lines of most classes meet no other.
+    earliest = pairs.groupBy("no").agg(F.min("x_no").alias("x_no"))
+    confirmed = stage(verified(earliest, sets, threshold))
+    others = stage(pairs.join(confirmed, "no", "left_anti").join(earliest, ["no", "x_no"], "left_anti"))
+    confirmed = confirmed.unionByName(stage(verified(others, sets, threshold)))
     # Classes that only seemed to resemble a lead go through the whole join.
     left = stage(candidates.where("by_lead").select("no").distinct().join(confirmed, "no", "left_anti"))
-    unstage(*parts)
+    unstage(candidates, others, sets)
     if left.isEmpty():
         return confirmed
     parts = [stage(all_pairs(prefix_words(classes, part), left, threshold)) for part in range(SLICES)]
-    rest = stage(verified(union(parts).distinct(), classes, docs, threshold))
-    unstage(left, *parts)
+    pairs = union(parts).distinct()
+    sets = stage(word_sets(pairs, classes, docs))
+    rest = stage(verified(pairs, sets, threshold))
+    unstage(left, sets, *parts)
     return confirmed.unionByName(rest).distinct()
 
 
@@ -195,9 +204,8 @@ def is_marked(marks: Column, number: Column) -> Column:
     return F.coalesce(F.call_function("shiftright", bits, number.bitwiseAND(63)).bitwiseAND(1) == 1, F.lit(False))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: Fraction) -> DataFrame:
-    """Those ``no`` of ``no, x_no`` whose words are similar enough to a partner's. Only lines that stand in some pair
-    leave their documents, once each."""
+def word_sets(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``no, words array<long>, size`` of the classes in ``no, x_no``. Only their lines leave the documents, once each."""
     wanted = pairs.select("no").unionByName(pairs.select(F.col("x_no").alias("no"))).distinct()
     places = stage(classes.select("no", "first.row_key", "first.number").join(wanted, "no", "left_semi"))
     own = docs.withColumn("row_key", F.xxhash64("id", F.coalesce("text", F.lit(""))))
@@ -206,7 +214,11 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: F
     hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     # Repeated rows hold the same line again.
     sets = found.join(places, ["row_key", "number"]).select("no", hashes.alias("words")).groupBy("no").agg(F.first("words").alias("words"))
-    sets = stage(sets.withColumn("size", F.size("words")))
+    return sets.withColumn("size", F.size("words"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """Those ``no`` of ``no, x_no`` whose words are similar enough to a partner's."""
     others = sets.select(F.col("no").alias("x_no"), F.col("words").alias("x_words"), F.col("size").alias("x_size"))
     both = pairs.join(sets, "no").join(others, "x_no")
     # Shared words against threshold times all words of both, with what is shared written once.
