@@ -33,8 +33,10 @@ THRESHOLD = Fraction(4, 5)
 #: Cells of the rarity table: 2^SIDE rows of 2^SIDE cells; steps of a doubling of the count.
 SIDE, STEPS = 10, 8
 CELLS = 1 << (2 * SIDE)
-#: Bits of a word's hash in its key, below its rarity; slices of the words that are joined one after another.
-HASH_BITS, SLICES = 54, 2
+#: Bits of a word's hash in its key, below its rarity.
+HASH_BITS = 54
+#: Slices of the words, and of the pairs, that are joined one after another.
+SLICES, PAIR_SLICES = 2, 3
 
 
 def plain_text(text: Column) -> Column:
@@ -76,7 +78,9 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """``row_key, id, number, line`` of ``docs`` (id, text). ``row_key`` stands for id and text; rows that are alike in
     both share their fate."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.xxhash64("id", text).alias("row_key"), "id", F.posexplode(F.split(plain_text(text), "\n", -1)).alias("number", "line"))
+    # Split and hashed once for each document, and no line carries its document's text along.
+    split = docs.select(F.xxhash64("id", text).alias("row_key"), "id", F.split(plain_text(text), "\n", -1).alias("lines"))
+    return split.select("row_key", "id", F.posexplode("lines").alias("number", "line"))
 
 
 def signed_lines(docs: DataFrame, threshold: Fraction) -> DataFrame:
@@ -168,19 +172,19 @@ def matched_classes(classes: DataFrame, docs: DataFrame, threshold: Fraction) ->
     sets = stage(word_sets(pairs, classes, docs))
     # The earliest partner first: the lines of most classes meet no other.
     earliest = pairs.groupBy("no").agg(F.min("x_no").alias("x_no"))
-    confirmed = stage(verified(earliest, sets, threshold))
+    confirmed = union(verified(earliest, sets, threshold))
     others = stage(pairs.join(confirmed, "no", "left_anti").join(earliest, ["no", "x_no"], "left_anti"))
-    confirmed = confirmed.unionByName(stage(verified(others, sets, threshold)))
+    confirmed = confirmed.unionByName(union(verified(others, sets, threshold)))
     # Classes that only seemed to resemble a lead go through the whole join.
     left = stage(candidates.where("by_lead").select("no").distinct().join(confirmed, "no", "left_anti"))
     unstage(candidates, others, sets)
     if left.isEmpty():
         return confirmed
     parts = [stage(all_pairs(prefix_words(classes, part), left, threshold)) for part in range(SLICES)]
-    pairs = union(parts).distinct()
+    pairs = stage(union(parts).distinct())
     sets = stage(word_sets(pairs, classes, docs))
-    rest = stage(verified(pairs, sets, threshold))
-    unstage(left, sets, *parts)
+    rest = union(verified(pairs, sets, threshold))
+    unstage(left, pairs, sets, *parts)
     return confirmed.unionByName(rest).distinct()
 
 
@@ -209,7 +213,8 @@ def word_sets(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     wanted = pairs.select("no").unionByName(pairs.select(F.col("x_no").alias("no"))).distinct()
     places = stage(classes.select("no", "first.row_key", "first.number").join(wanted, "no", "left_semi"))
     own = docs.withColumn("row_key", F.xxhash64("id", F.coalesce("text", F.lit(""))))
-    marked = own.join(stage(marks_of(places)), "row_key").select("row_key", "marks", F.posexplode(F.split(plain_text(F.col("text")), "\n", -1)).alias("number", "line"))
+    split = own.join(stage(marks_of(places)), "row_key").select("row_key", "marks", F.split(plain_text(F.col("text")), "\n", -1).alias("lines"))
+    marked = split.select("row_key", "marks", F.posexplode("lines").alias("number", "line"))
     found = marked.where(is_marked(F.col("marks"), F.col("number"))).select("row_key", "number", "line")
     hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     # Repeated rows hold the same line again.
@@ -217,14 +222,19 @@ def word_sets(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     return sets.withColumn("size", F.size("words"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """Those ``no`` of ``no, x_no`` whose words are similar enough to a partner's."""
+def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> list[DataFrame]:
+    """Those ``no`` of ``no, x_no`` whose words are similar enough to a partner's, in stored slices: a pair carries
+    words through the shuffle, so only a part of the pairs does at a time."""
     others = sets.select(F.col("no").alias("x_no"), F.col("words").alias("x_words"), F.col("size").alias("x_size"))
-    both = pairs.join(sets, "no").join(others, "x_no")
     # Shared words against threshold times all words of both, with what is shared written once.
     up, down = threshold.numerator, threshold.denominator
     enough = F.size(F.array_intersect("words", "x_words")) * (up + down) >= (F.col("size") + F.col("x_size")) * up
-    return both.where(enough).select("no").distinct()
+    parts = []
+    for part in range(PAIR_SLICES):
+        own = F.pmod(F.xxhash64("no"), F.lit(PAIR_SLICES)) == part
+        both = pairs.where(own).join(sets.where(own), "no").join(others, "x_no")
+        parts.append(stage(both.where(enough).select("no").distinct()))
+    return parts
 
 
 def removed_lines(docs: DataFrame, threshold: Fraction) -> DataFrame:
