@@ -433,6 +433,27 @@ def test_line_dedup_of_a_long_document(spark):
     assert got[1].n_removed == 0 and got[2].n_removed == 800 and got[2].kept_text == "fresh"
 
 
+def test_line_dedup_compares_few_pairs(spark, monkeypatch):
+    """Long lines that share frequent words but are not alike are no pairs, and a family of copies makes few."""
+    rng = random.Random(4)
+    words = [f"w{k:04d}" for k in range(1500)]
+    lines = [rng.sample(words, 120) for _ in range(300)]
+    family = [[w if rng.random() > 0.02 else f"v{k:04d}" for w in lines[0]] for k in range(60)]
+    docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate([*lines, *family])], "doc_id long, text string")
+    compared, verified = [], line_dedup.verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "verified", counted)
+    got = {r.doc_id: r.line_dedup.n_removed for r in line_dedup.without_repeated_lines(docs).collect()}
+    sets = [set(x) for x in [*lines, *family]]
+    want = {k: int(any(5 * len(x & y) >= 4 * len(x | y) for y in sets[:k])) for k, x in enumerate(sets)}
+    assert got == want and sum(want.values()) == len(family)
+    assert sum(compared) < 4 * len(family)
+
+
 def test_line_dedup_runs_in_the_jvm(docs):
     plan = line_dedup.without_repeated_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
